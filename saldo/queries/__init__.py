@@ -1,8 +1,8 @@
 """All registered queries by id, each over whole given tables, with the same question as SQL."""
 
-from saldo.queries import relational
+from saldo.queries import reads, relational
 
-MODULES = (relational,)
+MODULES = (reads, relational)
 
 
 def queries() -> dict:
