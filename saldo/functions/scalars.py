@@ -29,6 +29,14 @@ def safe_str(c) -> Column:
     return F.coalesce(strip(c), F.lit(""))
 
 
+def unescape(c) -> Column:
+    """Predefined XML entities as characters."""
+    text = col(c)
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def first_token(c) -> Column:
     return F.regexp_extract(col(c), r"^\s*(\S+)", 1)
 

@@ -47,9 +47,9 @@ def extract_envelopes(blobs: DataFrame) -> DataFrame:
     """One row per request with an envelope, numbered in order of appearance within its blob."""
     carried = [c for c in blobs.columns if c != "content"]
     # The text before the first request line is no request.
-    chunks = F.slice(F.split(F.decode("content", "ISO-8859-1"), REQUEST_LINE), 2, 2147483647)
+    chunks = F.split(F.decode("content", "ISO-8859-1"), REQUEST_LINE)
     bodies = F.transform(
-        F.filter(chunks, lambda c: F.contains(c, F.lit(HEADER_END))),
+        F.filter(chunks, lambda c, i: (i > 0) & F.contains(c, F.lit(HEADER_END))),
         lambda c: F.substring(c, F.instr(c, HEADER_END) + 4, F.length(c)),
     )
     texts = F.transform(bodies, lambda b: F.trim(F.replace(_body_text(b), F.lit("\x00"), F.lit(""))))
@@ -66,7 +66,7 @@ def describe_requests(envelopes: DataFrame) -> DataFrame:
         return F.nullif(F.trim(F.regexp_extract("envelope", rf"<{name}(?: [^>]*)?>([^<]*)</{name}>", 1)), F.lit(""))
 
     def listed(column: Column) -> Column:
-        parts = F.transform(F.split(column, ","), F.trim)
+        parts = F.transform(F.split(column, ","), lambda p: F.trim(p))
         return F.coalesce(F.filter(parts, lambda p: p != ""), F.array())
 
     collection = F.regexp_extract("envelope", r"(?s)<COLLECTION[ >].*?<TYPE>([^<]*)</TYPE>", 1)
@@ -77,7 +77,7 @@ def describe_requests(envelopes: DataFrame) -> DataFrame:
         tag("ID").alias("id"),
         F.nullif(F.trim(collection), F.lit("")).alias("object_type"),
         listed(tag("FETCH")).alias("fetch"),
-        F.transform(computed, F.trim).alias("compute"),
+        F.transform(computed, lambda c: F.trim(c)).alias("compute"),
         tag("SVFROMDATE").alias("from_date"),
         tag("SVTODATE").alias("to_date"),
         tag("SVCURRENTCOMPANY").alias("company"),

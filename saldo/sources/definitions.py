@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from saldo.functions import scalars as S
 from saldo.functions.transforms import transform_for
+from saldo.sources.responses import once
 
 CORRUPT = "_corrupt_record"
 # Where collection rows and messages sit below the envelope.
@@ -273,14 +274,8 @@ def parse_documents(checked: DataFrame, section: Section) -> DataFrame:
         schema,
         {"columnNameOfCorruptRecord": CORRUPT, "attributePrefix": "_", "mode": "PERMISSIVE"},
     )
-    return (
-        checked.withColumn("doc", doc)
-        .withColumn(
-            "error",
-            F.coalesce("error", F.when(F.col(f"doc.{CORRUPT}").isNotNull(), F.lit("Malformed document"))),
-        )
-        .drop("text")
-    )
+    cut_short = F.when(F.col(f"doc.{CORRUPT}").isNotNull(), F.lit("Malformed document"))
+    return once(checked, "doc", doc).withColumn("error", F.coalesce("error", cut_short)).drop("text")
 
 
 def _row_array(section: Section) -> Column:

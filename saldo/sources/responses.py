@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from saldo.functions import scalars as S
+
 # Markers of a usable document, control characters and references XML does not allow.
 MARKERS = r"(?i)<ENVELOPE|<RESPONSE"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
@@ -42,42 +44,59 @@ def read_landing(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _utf16(content: Column, latin: Column, charset: str, run: str) -> Column:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly column that is computed a single time.
+
+    A filter on a plain projection is pushed below it with the whole expression copied in at every mention,
+    so a chain of decode, clean, check and parse would run many times over. Nothing is pushed below a
+    generator whose output it reads.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(value)).alias(name))
+
+
+def _utf16(content: Column, charset: str) -> Column:
     """Text of well-formed UTF-16, else null (a strict ``decode`` would fail the job)."""
-    well_formed = F.when(~latin.rlike(r"[\xD8-\xDF]"), F.length(latin) % 2 == 0).otherwise(
+    latin = F.decode(content, "ISO-8859-1")
+    run = LE_RUN if charset == "UTF-16LE" else BE_RUN
+    well_formed = F.when(~latin.rlike(r"[\xD8-\xDF]"), F.length(content) % 2 == 0).otherwise(
         F.regexp_replace(latin, run, "") == ""
     )
     return F.when(well_formed, F.decode(content, charset))
 
 
-def decode_text(content, content_type=None) -> Column:
+def decode_responses(responses: DataFrame) -> DataFrame:
     """Bytes to text: UTF-16 when announced, marked or apparent, else the declared charset, else UTF-8."""
-    content = F.col(content) if isinstance(content, str) else content
-    kind = F.lower(F.coalesce(content_type if content_type is not None else F.lit(None).cast("string"), F.lit("")))
+    kind = F.lit("")
+    if "content_type" in responses.columns:
+        kind = F.lower(F.coalesce("content_type", F.lit("")))
+    content = F.col("content")
     start = F.hex(F.substring(content, 1, 2))
-    little, big = start == "FFFE", start == "FEFF"
     head = F.decode(F.substring(content, 1, 64), "ISO-8859-1")
-    looks_utf16 = (
-        kind.contains("utf-16") | little | big | head.contains("\x00<") | head.contains("<\x00")
+    little, big = start == "FFFE", start == "FEFF"
+    form = F.struct(
+        big.alias("big"),
+        (kind.contains("utf-16") | little | big | head.contains("\x00<") | head.contains("<\x00")).alias("wide"),
+        F.when(little | big, F.substring(content, 3, 2147483647)).otherwise(content).alias("body"),
     )
-
-    body = F.when(little | big, F.substring(content, 3, 2147483647)).otherwise(content)
-    latin = F.decode(body, "ISO-8859-1")
-    as_le = _utf16(body, latin, "UTF-16LE", LE_RUN)
-    as_be = _utf16(body, latin, "UTF-16BE", BE_RUN)
-    usable_le = F.when(as_le.rlike(MARKERS), as_le)
-    usable_be = F.when(as_be.rlike(MARKERS), as_be)
-    utf16 = F.when(big, F.coalesce(usable_be, usable_le)).otherwise(F.coalesce(usable_le, usable_be))
-
+    rows = once(responses, "__form", form)
+    wide, big, body = F.col("__form.wide"), F.col("__form.big"), F.col("__form.body")
+
+    # The byte order of the mark first, little end first without one, then the other.
+    first = F.when(big, _utf16(body, "UTF-16BE")).otherwise(_utf16(body, "UTF-16LE"))
+    second = F.when(big, _utf16(body, "UTF-16LE")).otherwise(_utf16(body, "UTF-16BE"))
+    rows = once(rows, "__first", F.when(wide, first))
+    usable_first = F.coalesce(F.col("__first").rlike(MARKERS), F.lit(False))
+    rows = once(rows, "__second", F.when(wide & ~usable_first, second))
     plain = F.when(kind.rlike(r"iso-8859-1|latin-?1"), F.decode(content, "ISO-8859-1")).otherwise(
         F.make_valid_utf8(content.cast("string"))
     )
-    return F.coalesce(F.when(looks_utf16, utf16), plain)
-
-
-def decode_responses(responses: DataFrame) -> DataFrame:
-    kind = F.col("content_type") if "content_type" in responses.columns else None
-    return responses.withColumn("text", decode_text("content", kind)).drop("content", "content_type")
+    text = (
+        F.when(usable_first, F.col("__first"))
+        .when(F.col("__second").rlike(MARKERS), F.col("__second"))
+        .otherwise(plain)
+    )
+    return once(rows, "text", text).drop("content", "content_type", "__form", "__first", "__second")
 
 
 def clean_text(text) -> Column:
@@ -88,13 +107,7 @@ def clean_text(text) -> Column:
 
 
 def clean_responses(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("text", clean_text("text"))
-
-
-def _unescape(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    return once(responses, "text", clean_text("text"))
 
 
 def response_error(text) -> Column:
@@ -102,7 +115,7 @@ def response_error(text) -> Column:
     text = F.col(text) if isinstance(text, str) else text
 
     def plain(found: Column) -> Column:
-        message = _unescape(F.trim(F.regexp_replace(F.trim(found), r"<[^>]+>", " ")))
+        message = S.unescape(F.trim(F.regexp_replace(F.trim(found), r"<[^>]+>", " ")))
         return F.coalesce(F.nullif(message, F.lit("")), F.lit("Unknown error"))
 
     return (
@@ -114,7 +127,7 @@ def response_error(text) -> Column:
 
 
 def check_responses(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("error", response_error("text"))
+    return once(responses, "error", response_error("text"))
 
 
 def usable(checked: DataFrame) -> DataFrame:
@@ -131,7 +144,7 @@ def company_names(responses: DataFrame) -> DataFrame:
     by_tag = F.regexp_extract_all("text", F.lit(NAME_TAG), F.lit(1))
 
     def named(found: Column) -> Column:
-        return F.filter(F.transform(found, F.trim), lambda n: n != "")
+        return F.filter(F.transform(found, lambda n: F.trim(n)), lambda n: n != "")
 
     attributes = named(by_attribute)
     names = F.when(F.size(attributes) > 0, attributes).otherwise(named(by_tag))
