@@ -110,7 +110,9 @@ def dense_or_summary(stock: DataFrame, summary: DataFrame, scope: list[str] = ("
     scope = list(scope)
     carries = (F.coalesce("closing_value", F.lit(0)) != 0) | (F.coalesce("rate", F.lit(0)) != 0)
     dense = stock.filter(carries).select(*scope).distinct()
-    return stock.join(dense, scope, "left_semi").unionByName(summary.join(dense, scope, "left_anti"))
+    return stock.join(dense, scope, "left_semi").unionByName(
+        summary.join(dense, scope, "left_anti").select(*stock.columns)
+    )
 
 
 def split_vouchers(vouchers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,8 +1,8 @@
 """All registered queries by id, each over whole given tables, with the same question as SQL."""
 
-from saldo.queries import ingest, reads, relational
+from saldo.queries import changes, ingest, reads, relational
 
-MODULES = (reads, relational, ingest)
+MODULES = (reads, relational, ingest, changes)
 
 
 def queries() -> dict:

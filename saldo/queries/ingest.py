@@ -121,7 +121,7 @@ register(
     lambda m: parsed(E.groups(m), NAMES).select("company_id", "name", "parent"),
     sql("SELECT company_id, name, parent FROM acct_groups"),
 )
-MESSAGE_LEDGERS = Section("message_ledgers", rows=("messages/LEDGER",), required="name", fields=fields("name string NAME @NAME\nguid string GUID"), finish=D.LEDGERS.finish)
+MESSAGE_LEDGERS = Section("message_ledgers", rows=("messages/LEDGER",), required="name", fields=fields("name string NAME @NAME\nguid string GUID"), keep=D.LEDGERS.keep)
 register(
     "src_message_rows",
     lambda m: parsed(E.ledgers(m), MESSAGE_LEDGERS).select("company_id", "name", "guid"),
@@ -385,7 +385,8 @@ ALL_TRANSFORMS = Section(
 )
 register(
     "def_transforms",
-    lambda m: parsed(E.stock_items(m), ALL_TRANSFORMS).drop("chunk", "pos"),
+    # Adding 0 turns the -0.0 of an empty stock into 0.0, which prints alike everywhere.
+    lambda m: parsed(E.stock_items(m), ALL_TRANSFORMS).drop("chunk", "pos").withColumn("t_float", F.col("t_float") + F.lit(0.0)),
     sql(
         """SELECT company_id, name AS t_string, CAST(signed_qty AS BIGINT) AS t_int, CAST(-closing_value AS DOUBLE) + 0.0 AS t_float,
         CAST(closing_value AS DOUBLE) AS t_abs, NULL AS t_date, CAST(closing_qty AS DOUBLE) AS t_quantity, 'Nos' AS t_unit, FALSE AS t_yes
@@ -406,19 +407,18 @@ register(
 )
 
 
-def unknown_section(m: Model) -> DataFrame:
-    """Whether each customer's segment names a section; an unknown name raises on the driver."""
-    known = []
-    for name in [*D.SECTIONS, "no_such_section"]:
-        try:
-            known.append(D.section(name).name)
-        except KeyError:
-            pass
-    segments = m.table("customer").select("c_custkey", F.element_at(F.array(*map(F.lit, [*known, "no_such_section"])), -1).alias("asked"))
-    return segments.withColumn("is_known", F.col("asked").isin(*known))
+def asked_sections(m: Model) -> DataFrame:
+    """A landed response per event, of a section named after the event unless it is a purchase or a signup."""
+    kind = F.col("event_type")
+    name = F.when(kind == "purchase", "vouchers").when(kind == "signup", "ledgers").otherwise(kind)
+    return m.table("events").select("event_id", name.alias("section"))
 
 
-register("def_unknown_section", unknown_section, "SELECT c_custkey, 'no_such_section' AS asked, FALSE AS is_known FROM customer")
+register(
+    "def_unknown_section",
+    lambda m: D.unknown_sections(asked_sections(m)),
+    "SELECT event_id, event_type AS section FROM events WHERE event_type NOT IN ('purchase', 'signup')",
+)
 PATHS = Section(
     "paths", rows=("BODY/DATA/COLLECTION/VOUCHER", "messages/VOUCHER"), required="guid",
     fields=fields("guid string @REMOTEID\nfirst_ledger string LEDGERENTRIES.LIST/LEDGERNAME\nfirst_bill string LEDGERENTRIES.LIST/BILLALLOCATIONS.LIST/NAME\nnone string LEDGERENTRIES.LIST/NONE/NAME"),

@@ -11,7 +11,7 @@ MONEY = "decimal(18,2)"
 QUANTITY = "decimal(18,4)"
 
 ITEM = f"""stock_item_name string, quantity {QUANTITY}, unit string, rate {QUANTITY},
-           discount_pct {QUANTITY}, amount {MONEY}"""
+           discount_pct {QUANTITY}, amount {MONEY}, signed_quantity {QUANTITY}"""
 BILL_ALLOCATION = f"name string, bill_type string, amount {MONEY}"
 LEDGER_ENTRY = f"""ledger_name string, amount {MONEY}, is_party_ledger boolean, is_deemed_positive boolean,
                    bill_allocations array<struct<{BILL_ALLOCATION.replace(' string', ':string').replace(' decimal', ':decimal')}>>"""

@@ -56,6 +56,7 @@ class Section:
     children: tuple[Child, ...] = ()
     required: str | None = None
     finish: Callable[[DataFrame], DataFrame] | None = None
+    keep: Callable[[], Column] | None = None
 
     def __post_init__(self):
         def check(fields, children):
@@ -302,18 +303,20 @@ def _indexed_array(section: Section) -> Column:
     return F.arrays_zip(*lists)
 
 
-def extract(parsed: DataFrame, section: Section) -> DataFrame:
-    """Rows of the parsed documents, one output column per field, ``pos`` being the row's place."""
+def staged_rows(parsed: DataFrame, section: Section) -> DataFrame:
+    """Rows with ``error``, ``pos`` (place in the document) and ``valid``, one pass over the documents.
+
+    A document without rows, or with an error, leaves one row that is not ``valid``: so an empty section can be
+    told from one that was never fetched, and a failure from both.
+    """
     carried = [c for c in parsed.columns if c not in ("doc", "error")]
-    good = parsed.filter(F.col("error").isNull())
 
     if section.mode == "indexed_rows":
-        rows = good.select(*carried, "doc", F.posexplode(_indexed_array(section)).alias("pos", "row"))
-        if section.length in section.index:
-            rows = rows.filter(
-                F.col("pos") < F.size(resolve_all(F.col("doc"), section.index[section.length]))
-            )
-        rows = rows.drop("doc")
+        length = F.size(resolve_all(F.col("doc"), section.index[section.length])) if section.length in section.index else None
+        zipped = _indexed_array(section)
+        if length is not None:
+            zipped = F.slice(zipped, F.lit(1), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)))
+        rows = parsed.select(*carried, "error", F.posexplode_outer(zipped).alias("pos", "row"))
 
         def values(f: Field) -> Column:
             found = []
@@ -326,30 +329,42 @@ def extract(parsed: DataFrame, section: Section) -> DataFrame:
             return F.coalesce(*(F.when(_present(v), v) for v in found))
 
     else:
-        rows = good.select(*carried, F.posexplode(_row_array(section)).alias("pos", "row"))
+        rows = parsed.select(*carried, "error", F.posexplode_outer(_row_array(section)).alias("pos", "row"))
 
         def values(f: Field) -> Column:
             return first_source(F.col("row"), f.sources)
 
     raw = rows.select(
         *carried,
+        "error",
         "pos",
         *(values(f).alias("__" + f.name) for f in section.fields),
         *(_child_rows(F.col("row"), c).alias(c.name) for c in section.children),
     )
     out = raw.select(
         *carried,
+        "error",
         "pos",
         *(typed(F.col("__" + f.name), f).alias(f.name) for f in section.fields),
         *(c.name for c in section.children),
     )
+    valid = F.col("error").isNull() & F.col("pos").isNotNull()
     if section.required:
-        out = out.filter(F.col(section.required) != "")
+        valid = valid & (F.col(section.required) != "")
     if section.mode == "single":
-        out = out.filter(F.col("pos") == 0)
+        valid = valid & (F.col("pos") == 0)
+    if section.keep:
+        valid = valid & section.keep()
+    out = out.withColumn("valid", valid)
     return section.finish(out) if section.finish else out
 
 
+def extract(parsed: DataFrame, section: Section) -> DataFrame:
+    """The section's rows, one output column per field."""
+    good = parsed.withColumn("doc", F.when(F.col("error").isNull(), F.col("doc")))
+    return staged_rows(good, section).filter("valid").drop("valid", "error")
+
+
 def read_section(checked: DataFrame, section: Section) -> DataFrame:
     return extract(parse_documents(checked, section), section)
 
