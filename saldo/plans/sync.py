@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from saldo.functions import scalars as S
 from saldo.operators import changes as C, merge as G, windows as W
-from saldo.plans.store import LedgerStore
+from saldo.plans.store import REPLACED, LedgerStore
+from saldo.schema import TABLES
 from saldo.sources import responses as R, sections as D
 from saldo.sources.definitions import parse_documents, staged_rows
 
@@ -26,6 +28,11 @@ SOURCES = {
     "trial_balance": (("trial_balance",), "need_reports"),
 }
 
+# Columns used of sections that may not have arrived.
+INFO = "company_id string, name string, books_from date, books_to date, gstin string, address string, fetched_at string, path string, pos int"
+MARKS = """company_id string, alter_id string, alt_vch_id string, vch_id string, alt_mst_id string,
+           last_voucher_date date, fetched_at string, path string, pos int"""
+
 
 def together(writes: list[Callable[[], None]]) -> None:
     """Run independent writes as concurrent Spark jobs; the first failure is raised."""
@@ -51,35 +58,31 @@ class Staged:
         self.present = {row["of_section"] for row in known.collect()}
         together([lambda n=name: self._stage(n) for name in sorted(self.present)])
 
-    def _plan(self, name: str) -> DataFrame:
-        checked = self.texts.filter(F.col("of_section") == name).drop("of_section")
-        return staged_rows(parse_documents(checked, D.SECTIONS[name]), D.SECTIONS[name])
-
     def _stage(self, name: str) -> None:
-        self._plan(name).write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        checked = self.texts.filter(F.col("of_section") == name).drop("of_section")
+        rows = staged_rows(parse_documents(checked, D.SECTIONS[name]), D.SECTIONS[name])
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
 
     def all(self, name: str) -> DataFrame:
-        if name in self.present:
-            return self.store.spark.read.parquet(f"{self.folder}/{name}")
-        return self.store.spark.createDataFrame([], self._plan(name).schema)
+        return self.store.spark.read.parquet(f"{self.folder}/{name}")
 
-    def rows(self, name: str) -> DataFrame:
+    def rows(self, name: str, otherwise: str | None = None) -> DataFrame:
+        """Valid rows; of a section that did not arrive none, with the columns ``otherwise`` names."""
+        if name not in self.present:
+            return self.store.spark.createDataFrame([], otherwise)
         return self.all(name).filter("valid")
 
     def errors(self) -> DataFrame:
-        found = None
-        for name in D.SECTIONS:
-            part = self.all(name).filter(F.col("error").isNotNull()).select("company_id", "section", "fetched_at", "path", "error")
-            found = part if found is None else found.unionByName(part)
-        return found
+        columns = ["company_id", "section", "fetched_at", "path", "error"]
+        unknown = D.unknown_sections(self.texts).withColumn("error", F.lit("Unknown section")).select(*columns)
+        for name in sorted(self.present):
+            unknown = unknown.unionByName(self.all(name).filter(F.col("error").isNotNull()).select(*columns))
+        return unknown
 
-    def provided(self, names: tuple[str, ...]) -> DataFrame:
+    def provided(self, names: list[str]) -> DataFrame:
         """Companies for which every one of the sections arrived."""
-        arrived = None
-        for name in names:
-            part = self.all(name).filter(F.col("error").isNull()).select("company_id").distinct()
-            arrived = part if arrived is None else arrived.join(part, "company_id", "left_semi")
-        return arrived
+        parts = [self.all(n).filter(F.col("error").isNull()).select("company_id").distinct() for n in names]
+        return reduce(lambda a, b: a.join(b, "company_id", "left_semi"), parts)
 
 
 def _last_write() -> list:
@@ -104,18 +107,14 @@ def refresh(
     staged = Staged(store, responses, batch_id)
     at = F.lit(synced_at).cast("timestamp")
 
-    landed = staged.texts.select("company_id", "section", "fetched_at", "path")
-    unknown = D.unknown_sections(landed).select(
-        "company_id", "section", "fetched_at", "path", F.lit("Unknown section").alias("error")
-    )
-    store.write("quarantine", staged.errors().unionByName(unknown), batch_id)
+    store.write("quarantine", staged.errors(), batch_id)
     quarantine = store.files("quarantine").filter(F.col("batch_id") == batch_id)
     failed = quarantine.groupBy("company_id").agg(F.min("error").alias("error_message"))
 
     # What changed, per company that is in order.
-    info = W.latest_per_key(staged.rows("company_info"), ["company_id"], _last_write())
-    current = W.latest_per_key(staged.rows("alter_ids"), ["company_id"], _last_write())
-    seen = landed.select("company_id").distinct().join(failed, "company_id", "left_anti")
+    info = W.latest_per_key(staged.rows("company_info", INFO), ["company_id"], _last_write())
+    current = W.latest_per_key(staged.rows("alter_ids", MARKS), ["company_id"], _last_write())
+    seen = staged.texts.select("company_id").distinct().join(failed, "company_id", "left_anti")
     fallback = F.to_date(at)
     years = info.filter(F.col("books_from").isNotNull() & F.col("books_to").isNotNull())
     bounds = seen.join(years.select("company_id", "books_from", "books_to"), "company_id", "left").select(
@@ -129,24 +128,24 @@ def refresh(
 
     provided, writes = None, []
     for table, (names, flag) in SOURCES.items():
-        rows = staged.rows(names[0])
-        if table == "stock_items":
-            rows = G.dense_or_summary(rows, staged.rows("stock_summary"))
-        elif table == "outstanding":
-            rows = G.union_outstanding(rows, staged.rows(names[1]))
+        arrived = [n for n in names if n in staged.present]
+        if not arrived or (table == "outstanding" and len(arrived) < len(names)):
+            continue
+        rows = staged.rows(arrived[0])
+        if len(arrived) == 2:
+            both = G.dense_or_summary if table == "stock_items" else G.union_outstanding
+            rows = both(rows, staged.rows(arrived[1]))
+        there = staged.provided(arrived if table == "outstanding" else arrived[:1])
         rows = C.with_changes(rows, plan, flag)
-        arrived = staged.provided(names if table != "stock_items" else names[:1])
-        there = C.with_changes(arrived, plan, flag).withColumn("section", F.lit(table))
-        provided = there if provided is None else provided.unionByName(there)
-        if table in ("groups", "ledgers", "stock_items"):
-            rows = W.latest_per_key(rows, ["company_id", "name"], _last_write())
-        elif table == "vouchers":
-            rows = W.latest_per_key(rows, ["company_id", "tally_guid"], _last_write())
+        if table in REPLACED:
+            rows = rows.join(there, "company_id", "left_semi")
         else:
-            rows = rows.join(arrived, "company_id", "left_semi")
-        stamped = rows.withColumn("synced_at", at)
-        writes.append(lambda t=table, r=stamped: store.write(t, r, batch_id))
-    writes.append(lambda: store.write("provided", provided, batch_id))
+            rows = W.latest_per_key(rows, list(TABLES[table].key), _last_write())
+        writes.append(lambda t=table, r=rows.withColumn("synced_at", at): store.write(t, r, batch_id))
+        there = C.with_changes(there, plan, flag).withColumn("section", F.lit(table))
+        provided = there if provided is None else provided.unionByName(there)
+    if provided is not None:
+        writes.append(lambda: store.write("provided", provided, batch_id))
 
     changed = C.with_changes(seen, plan)
     named = info.select("company_id", "name", "books_from", "books_to", "gstin", "address")

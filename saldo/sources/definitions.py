@@ -180,37 +180,40 @@ def parse_schema(section: Section) -> StructType:
 
 
 # ---- expressions ------------------------------------------------------------------------------------
+#
+# Where a value sits is written as SQL text: a definition then costs one call per field to build, which matters
+# to a stream that compiles every section for every batch.
 
+TRIMMED = f"btrim(p, '{S.BLANKS}')"
 
-def _get(struct: Column, tag: str) -> Column:
-    return struct.getField("_" + tag[1:] if tag.startswith("@") else tag)
 
+def _member(struct: str, tag: str) -> str:
+    return f"{struct}.`{'_' + tag[1:] if tag.startswith('@') else tag}`"
 
-def resolve_all(struct: Column, path: str) -> Column:
+
+def _at(struct: str, path: str) -> str:
     """Occurrences at a path as an array; a repeated tag on the way counts by its first occurrence."""
     *way, last = path.split("/")
     for tag in way:
-        struct = F.get(_get(struct, tag), F.lit(0))
-    found = _get(struct, last)
-    return F.array(found) if last.startswith("@") else found
-
+        struct = f"get({_member(struct, tag)}, 0)"
+    found = _member(struct, last)
+    return f"array({found})" if last.startswith("@") else found
 
-def _present(values: Column) -> Column:
-    return F.coalesce(F.exists(values, lambda v: F.coalesce(S.strip(v) != "", F.lit(False))), F.lit(False))
 
+def _first_with(options: list[str], condition: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN {condition.format(o)} THEN {o} END" for o in options) + ")"
 
-def first_source(struct: Column, sources: tuple[str, ...]) -> Column:
-    """Values of the first source that holds any text."""
-    found = [resolve_all(struct, s) for s in sources]
-    if not found:
-        return F.lit(None).cast("array<string>")
-    return F.coalesce(*(F.when(_present(v), v) for v in found))
 
-
-def typed(values: Column, f: Field) -> Column:
-    text = S.join_parts(values)
-    number = F.when(F.size(values) == 1, F.get(values, F.lit(0)))
-    return _finish_value(text, number, f)
+def _value(options: list[str]) -> str:
+    """Text and number text of the first option that holds any text."""
+    if not options:
+        return "named_struct('text', '', 'number', CAST(NULL AS STRING))"
+    found = _first_with(options, "exists({0}, p -> " + TRIMMED + " <> '')")
+    text = f"coalesce(array_join(filter(transform(v, p -> {TRIMMED}), p -> p <> ''), ', '), '')"
+    return (
+        f"get(transform(array({found}), v -> named_struct('text', {text}, "
+        "'number', CASE WHEN size(v) = 1 THEN get(v, 0) END)), 0)"
+    )
 
 
 def _finish_value(text: Column, number: Column, f: Field) -> Column:
@@ -223,48 +226,29 @@ def _finish_value(text: Column, number: Column, f: Field) -> Column:
     return value.cast(f.type) if f.type else value
 
 
-def _raw(struct: Column, f: Field) -> Column:
-    """Text and number text of a field, found once and named for the typed step."""
-    values = first_source(struct, f.sources)
-    return F.struct(
-        S.join_parts(values).alias("text"),
-        F.when(F.size(values) == 1, F.get(values, F.lit(0))).alias("number"),
-    )
-
+def _child_values(struct: str, child: Child, depth: int = 0) -> str:
+    """Raw child rows; the first path with rows wins, blank rows and rows without the required field go."""
+    row = f"c{depth}"
+    rows = _first_with([_at(struct, p) for p in child.paths], "size({0}) > 0")
+    members = [f"'{f.name}', {_value([_at(row, s) for s in f.sources])}" for f in child.fields]
+    members += [f"'{c.name}', {_child_values(row, c, depth + 1)}" for c in child.children]
+    if child.required:
+        keep = f"{row}.`{child.required}`.text <> ''"
+    else:
+        filled = [f"{row}.`{f.name}`.text <> ''" for f in child.fields]
+        keep = " OR ".join(filled + [f"size({row}.`{c.name}`) > 0" for c in child.children])
+    read = f"transform({rows}, {row} -> named_struct({', '.join(members)}))"
+    return f"coalesce(filter({read}, {row} -> {keep}), array())"
 
-def _child_rows(struct: Column, child: Child) -> Column:
-    """Typed child rows; the first path with rows wins, blank rows and rows without the required field go."""
-    options = [resolve_all(struct, p) for p in child.paths]
-    rows = F.coalesce(*(F.when(F.size(o) > 0, o) for o in options), options[0])
-    names = [f.name for f in child.fields]
 
-    def read(row: Column) -> Column:
+def _typed_children(raw: Column, child: Child) -> Column:
+    def convert(row: Column) -> Column:
         return F.struct(
-            *(_raw(row, f).alias(f.name) for f in child.fields),
-            *(_child_rows(row, c).alias(c.name) for c in child.children),
+            *(_finish_value(row[f.name]["text"], row[f.name]["number"], f).alias(f.name) for f in child.fields),
+            *(_typed_children(row[c.name], c).alias(c.name) for c in child.children),
         )
 
-    def convert(raw: Column) -> Column:
-        return F.struct(
-            *(
-                _finish_value(raw[f.name]["text"], raw[f.name]["number"], f).alias(f.name)
-                for f in child.fields
-            ),
-            *(raw[c.name].alias(c.name) for c in child.children),
-        )
-
-    def keep(raw: Column) -> Column:
-        if child.required:
-            return raw[child.required]["text"] != ""
-        blank = F.lit(True)
-        for name in names:
-            blank = blank & (raw[name]["text"] == "")
-        for c in child.children:
-            blank = blank & (F.size(raw[c.name]) == 0)
-        return ~blank
-
-    found = F.filter(F.transform(F.coalesce(rows, F.array()), read), keep)
-    return F.transform(found, convert)
+    return F.transform(raw, convert)
 
 
 def parse_documents(checked: DataFrame, section: Section) -> DataFrame:
@@ -279,28 +263,29 @@ def parse_documents(checked: DataFrame, section: Section) -> DataFrame:
     return once(checked, "doc", doc).withColumn("error", F.coalesce("error", cut_short)).drop("text")
 
 
-def _row_array(section: Section) -> Column:
+def _row_array(section: Section) -> str:
     """All rows of a document: path options in order, the first with rows wins."""
 
-    def option(path: str) -> Column:
+    def option(path: str) -> str:
         if path.split("/")[0] != MESSAGES:
-            return resolve_all(F.col("doc"), path)
-        tag = path.split("/", 1)[1]
-        first, second = (resolve_all(F.col("doc"), m) for m in MESSAGE_PATHS)
-        messages = F.when(F.size(first) > 0, first).otherwise(second)
-        return F.flatten(F.filter(F.transform(messages, lambda m: _get(m, tag)), lambda r: r.isNotNull()))
+            return _at("doc", path)
+        first, second = (_at("doc", m) for m in MESSAGE_PATHS)
+        messages = f"CASE WHEN size({first}) > 0 THEN {first} ELSE {second} END"
+        rows = f"transform({messages}, m -> {_member('m', path.split('/', 1)[1])})"
+        return f"flatten(filter({rows}, r -> r IS NOT NULL))"
 
-    options = [option(p) for p in section.rows]
-    return F.coalesce(*(F.when(F.size(o) > 0, o) for o in options))
+    return _first_with([option(p) for p in section.rows], "size({0}) > 0")
 
 
-def _indexed_array(section: Section) -> Column:
-    """Parallel lists zipped by position; a short list gives nulls."""
-    lists = [
-        F.coalesce(resolve_all(F.col("doc"), path), F.array()).alias(alias)
-        for alias, path in section.index.items()
-    ]
-    return F.arrays_zip(*lists)
+def _indexed_array(section: Section) -> str:
+    """Parallel lists zipped by position, as long as the length source, else as the longest; gaps are null."""
+    lists = {alias: f"coalesce({_at('doc', path)}, array())" for alias, path in section.index.items()}
+    names = ", ".join(f"'{alias}', get({found}, i)" for alias, found in lists.items())
+    if section.length in lists:
+        count = f"size({lists[section.length]})"
+    else:
+        count = "greatest(0, " + ", ".join(f"size({found})" for found in lists.values()) + ")"
+    return f"CASE WHEN {count} > 0 THEN transform(sequence(0, {count} - 1), i -> named_struct({names})) END"
 
 
 def staged_rows(parsed: DataFrame, section: Section) -> DataFrame:
@@ -310,43 +295,32 @@ def staged_rows(parsed: DataFrame, section: Section) -> DataFrame:
     told from one that was never fetched, and a failure from both.
     """
     carried = [c for c in parsed.columns if c not in ("doc", "error")]
+    indexed = section.mode == "indexed_rows"
+    found = _indexed_array(section) if indexed else _row_array(section)
+    rows = parsed.select(*carried, "error", F.posexplode_outer(F.expr(found)).alias("pos", "row"))
 
-    if section.mode == "indexed_rows":
-        length = F.size(resolve_all(F.col("doc"), section.index[section.length])) if section.length in section.index else None
-        zipped = _indexed_array(section)
-        if length is not None:
-            zipped = F.slice(zipped, F.lit(1), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)))
-        rows = parsed.select(*carried, "error", F.posexplode_outer(zipped).alias("pos", "row"))
-
-        def values(f: Field) -> Column:
-            found = []
-            for source in f.sources:
-                alias, _, below = source.partition("/")
-                entry = F.col("row")[alias]
-                found.append(resolve_all(entry, below) if below else F.array(entry))
-            if not found:
-                return F.lit(None).cast("array<string>")
-            return F.coalesce(*(F.when(_present(v), v) for v in found))
-
-    else:
-        rows = parsed.select(*carried, "error", F.posexplode_outer(_row_array(section)).alias("pos", "row"))
-
-        def values(f: Field) -> Column:
-            return first_source(F.col("row"), f.sources)
+    def place(source: str) -> str:
+        if not indexed:
+            return _at("row", source)
+        alias, _, below = source.partition("/")
+        return _at(f"row.`{alias}`", below) if below else f"array(row.`{alias}`)"
 
     raw = rows.select(
         *carried,
         "error",
         "pos",
-        *(values(f).alias("__" + f.name) for f in section.fields),
-        *(_child_rows(F.col("row"), c).alias(c.name) for c in section.children),
+        *(F.expr(_value([place(s) for s in f.sources])).alias("__" + f.name) for f in section.fields),
+        *(F.expr(_child_values("row", c)).alias("__" + c.name) for c in section.children),
     )
     out = raw.select(
         *carried,
         "error",
         "pos",
-        *(typed(F.col("__" + f.name), f).alias(f.name) for f in section.fields),
-        *(c.name for c in section.children),
+        *(
+            _finish_value(F.col(f"__{f.name}.text"), F.col(f"__{f.name}.number"), f).alias(f.name)
+            for f in section.fields
+        ),
+        *(_typed_children(F.col("__" + c.name), c).alias(c.name) for c in section.children),
     )
     valid = F.col("error").isNull() & F.col("pos").isNotNull()
     if section.required:
