@@ -26,7 +26,7 @@ NESTED = {
 }
 INTERNAL = {
     "provided": "company_id string, section string",
-    "commits": "committed_at timestamp",
+    "commits": "committed_at timestamp, input string",
     "quarantine": "company_id string, section string, fetched_at string, path string, error string",
 }
 REPLACED = tuple(t.name for t in TABLES.values() if t.rule == "replace")
@@ -73,8 +73,16 @@ class LedgerStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def commit(self, batch_id: int, committed_at) -> None:
-        self.write("commits", self.spark.range(1).select(F.lit(committed_at).cast("timestamp").alias("committed_at")), batch_id)
+    def commit(self, batch_id: int, committed_at, read: str = "") -> None:
+        row = self.spark.range(1).select(
+            F.lit(committed_at).cast("timestamp").alias("committed_at"), F.lit(read).alias("input")
+        )
+        self.write("commits", row, batch_id)
+
+    def input_of(self, batch_id: int) -> str | None:
+        """What a committed batch was read from; null if it was not committed."""
+        row = self.files("commits").filter(F.col("batch_id") == batch_id).select("input").first()
+        return row and row["input"]
 
     def committed(self, table: str) -> DataFrame:
         done = self.files("commits").select("batch_id").distinct()

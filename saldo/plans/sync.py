@@ -96,7 +96,7 @@ def refresh(
     synced_at: datetime,
     enabled: DataFrame | None = None,
 ) -> None:
-    """Merge one batch of landed responses; running the same batch again gives the same tables.
+    """Merge one batch of landed responses. A committed batch is not run again, an uncommitted one starts over.
 
     A company with a failed or cut-off response is left as it is and logged as an error; one whose markers
     are unchanged is logged as skipped. Markers and the commit come last.
@@ -104,6 +104,13 @@ def refresh(
     spark = store.spark
     if enabled is not None:
         responses = responses.join(enabled.select("company_id"), "company_id", "left_semi")
+    marks = responses.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path")).alias("paths")).first()
+    read = f"{marks['n']} responses, {marks['paths']}"
+    before = store.input_of(batch_id)
+    if before == read:
+        return
+    if before is not None:
+        raise ValueError(f"batch {batch_id} is committed with other input: a store goes with one checkpoint")
     staged = Staged(store, responses, batch_id)
     at = F.lit(synced_at).cast("timestamp")
 
@@ -166,7 +173,7 @@ def refresh(
     )
     store.write("sync_log", log, batch_id)
     store.write("change_markers", C.with_changes(current, plan), batch_id)
-    store.commit(batch_id, synced_at)
+    store.commit(batch_id, synced_at, read)
 
 
 def _counts(provided: DataFrame, written: dict[str, DataFrame]) -> DataFrame:
