@@ -1,8 +1,4 @@
-"""The named transforms a section definition may use on the text of a tag.
-
-Each takes ``(text, number_text)``: ``text`` joins a repeated tag, ``number_text`` is null for one, because a
-list of values is not a number.
-"""
+"""The named transforms a section definition may use on the text of a tag."""
 
 from __future__ import annotations
 
@@ -12,19 +8,21 @@ from pyspark.sql import Column
 
 from saldo.functions import scalars as S
 
-TRANSFORMS: dict[str, Callable[[Column, Column], Column]] = {
-    "string": lambda text, number: S.safe_str(text),
-    "int": lambda text, number: S.safe_int(number),
-    "float": lambda text, number: S.safe_float(number),
-    "abs_float": lambda text, number: S.abs_float(number),
-    "date": lambda text, number: S.parse_date(text),
-    "quantity_value_abs": lambda text, number: S.quantity_value(text),
-    "quantity_unit": lambda text, number: S.quantity_unit(text),
-    "bool_yesno": lambda text, number: S.bool_yesno(text),
+TRANSFORMS: dict[str, Callable[[Column], Column]] = {
+    "string": S.safe_str,
+    "int": S.safe_int,
+    "float": S.safe_float,
+    "abs_float": S.abs_float,
+    "date": S.parse_date,
+    "quantity_value_abs": S.quantity_value,
+    "quantity_unit": S.quantity_unit,
+    "bool_yesno": S.bool_yesno,
 }
+# These read a single value: a repeated tag is a list, and a list is not a number.
+NUMERIC = ("int", "float", "abs_float")
 
 
-def transform_for(name: str) -> Callable[[Column, Column], Column]:
+def transform_for(name: str) -> Callable[[Column], Column]:
     if name not in TRANSFORMS:
         raise ValueError(f"Unsupported transform: {name}")
     return TRANSFORMS[name]

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saldo.operators.aggregates import outstanding_by_party
-from saldo.operators.skew import paged_lists
+from saldo.operators.skew import PAGE_ROWS, paged_lists
 
 VOUCHER = ["company_id", "tally_guid"]
 
@@ -48,7 +48,7 @@ def item_entry(items: DataFrame) -> Column:
     return F.struct(*(c for c in items.columns if c not in (*VOUCHER, "voucher_id", "id")))
 
 
-def vouchers_with_items(vouchers: DataFrame, items: DataFrame, page_rows: int = 10_000) -> DataFrame:
+def vouchers_with_items(vouchers: DataFrame, items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Vouchers with their items as a nested array, empty when there are none.
 
     A voucher of more than ``page_rows`` items appears once per page of items (``item_page``).

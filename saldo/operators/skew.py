@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # A key above this many rows is handled in pieces; below it one task holds the group with ease.
 HOT_ROWS = 1_000_000
 SALTS = 64
+KNOWN_KEYS = 10_000
+PAGE_ROWS = 10_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> DataFrame:
@@ -24,20 +26,33 @@ def hot_keys(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> DataF
     )
 
 
-def mark_hot(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> DataFrame:
-    """``df`` with ``hot_rows``, null for ordinary keys.
+def find_hot(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys, or None when there are none, which is what most data gives.
 
-    Joined without a hint, so the measured size of the hot keys decides the way. The result may still be
-    partitioned by ``keys`` alone: repartition it by the finer key before working on the pieces.
+    Runs one counting job over the key columns, so that a plan without hot keys needs no branch for them. Up to
+    ``KNOWN_KEYS`` keys come back as a broadcast of that proven size; more are left to a join by size.
     """
     hot = hot_keys(df.select(*keys), keys, threshold)
-    hot = hot.select(*(F.col(k).alias(f"__hot_{k}") for k in keys), "hot_rows")
+    found = hot.limit(KNOWN_KEYS + 1).collect()
+    if not found:
+        return None
+    if len(found) <= KNOWN_KEYS:
+        return F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    return hot
+
+
+def mark_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``df`` with ``hot_rows``, null for ordinary keys.
+
+    The result may be partitioned by ``keys`` alone: repartition it by the finer key before working on pieces.
+    """
+    renamed = hot.select(*(F.col(k).alias(f"__hot_{k}") for k in keys), "hot_rows")
     condition = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys))
-    return df.join(hot, condition, "left").drop(*(f"__hot_{k}" for k in keys))
+    return df.join(renamed, condition, "left").drop(*(f"__hot_{k}" for k in keys))
 
 
 def paged_lists(
-    rows: DataFrame, keys: list[str], entry: Column, name: str, page_rows: int = 10_000
+    rows: DataFrame, keys: list[str], entry: Column, name: str, page_rows: int = PAGE_ROWS
 ) -> DataFrame:
     """Rows of a key gathered into arrays of about ``page_rows`` entries: (keys, page, name).
 
@@ -45,14 +60,13 @@ def paged_lists(
     rows / page_rows pages by a digest of the entry, and equal entries are first counted and then dealt
     out in runs, so a heap of copies cannot fill a page either. Nothing is dropped; arrays come sorted.
     """
-    marked = mark_hot(rows.select(*keys, entry.alias("entry")), keys, page_rows)
-    small = (
-        marked.filter(F.col("hot_rows").isNull())
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("entry")).alias(name))
-        .withColumn("page", F.lit(0).cast("bigint"))
-    )
+    entries = rows.select(*keys, entry.alias("entry"))
+    hot = find_hot(rows, keys, page_rows)
+    if hot is None:
+        return _gathered(entries, keys, name)
 
+    marked = mark_hot(entries, keys, hot)
+    small = _gathered(marked.filter(F.col("hot_rows").isNull()), keys, name)
     # Counts do not depend on which salt a row gets, so any spread will do.
     salted = marked.filter(F.col("hot_rows").isNotNull()).withColumn(
         "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
@@ -77,3 +91,8 @@ def paged_lists(
         .agg(F.sort_array(F.flatten(F.collect_list(repeated))).alias(name))
     )
     return small.unionByName(large).select(*keys, "page", name)
+
+
+def _gathered(entries: DataFrame, keys: list[str], name: str) -> DataFrame:
+    lists = entries.groupBy(*keys).agg(F.sort_array(F.collect_list("entry")).alias(name))
+    return lists.select(*keys, F.lit(0).cast("bigint").alias("page"), name)

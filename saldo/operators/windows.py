@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saldo.functions import scalars as S
-from saldo.operators.skew import HOT_ROWS, mark_hot
+from saldo.operators.skew import HOT_ROWS, find_hot, mark_hot
 
 PARTY = ["company_id", "party_name"]
 
@@ -25,38 +25,36 @@ def running_balance(
     together. The sums of days come from the same marked rows, and there are few of them.
     """
     signed = S.signed_amount("voucher_type", "amount", debit_types).cast("decimal(28,2)")
-    marked = mark_hot(vouchers.withColumn("signed_amount", signed), PARTY, hot_rows)
-    day = F.when(F.col("hot_rows").isNotNull(), F.col("date"))
-    rows = marked.withColumn("hot_day", day)
+    rows = vouchers.withColumn("signed_amount", signed)
+    order = [F.col("date").asc_nulls_last(), F.col("tally_guid").asc_nulls_last()]
+    hot = find_hot(vouchers, PARTY, hot_rows)
+    if hot is None:
+        running = Window.partitionBy(*PARTY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("running_balance", F.sum("signed_amount").over(running).cast("decimal(28,2)"))
 
+    marked = mark_hot(rows, PARTY, hot)
     by_day = (
         marked.filter(F.col("hot_rows").isNotNull())
         .groupBy(*PARTY, F.col("date").alias("hot_day"))
         .agg(F.sum("signed_amount").alias("day_total"))
     )
-    earlier = Window.partitionBy(*PARTY).orderBy(F.col("hot_day").asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    days = Window.partitionBy(*PARTY).orderBy(F.col("hot_day").asc_nulls_last())
     opening = by_day.select(
         *(F.col(k).alias("d_" + k) for k in (*PARTY, "hot_day")),
-        F.sum("day_total").over(earlier).alias("opening"),
+        F.sum("day_total").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("opening"),
     )
-    within = Window.partitionBy(*PARTY, "hot_day").orderBy(
-        F.col("date").asc_nulls_last(), F.col("tally_guid").asc_nulls_last()
-    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spread = rows.repartition(*PARTY, "hot_day")
-    summed = spread.withColumn("within", F.sum("signed_amount").over(within))
+    spread = marked.withColumn("hot_day", F.when(F.col("hot_rows").isNotNull(), F.col("date")))
+    within = Window.partitionBy(*PARTY, "hot_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = spread.repartition(*PARTY, "hot_day").withColumn("within", F.sum("signed_amount").over(within))
     matched = reduce(
         and_,
         (F.col(k).eqNullSafe(F.col("d_" + k)) for k in (*PARTY, "hot_day")),
         F.col("hot_rows").isNotNull(),
     )
+    total = F.col("within") + F.coalesce(F.col("opening"), F.lit(0))
     return (
         summed.join(opening, matched, "left")
-        .withColumn(
-            "running_balance",
-            (F.col("within") + F.coalesce(F.col("opening"), F.lit(0))).cast("decimal(28,2)"),
-        )
+        .withColumn("running_balance", total.cast("decimal(28,2)"))
         .select(*vouchers.columns, "signed_amount", "running_balance")
     )
 

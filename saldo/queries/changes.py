@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -329,7 +330,7 @@ def land(m: Model, docs: DataFrame, section: str, stamp: str, folder: str) -> No
 class Changed(Model):
     """The ledger tables some time later: cancelled vouchers are worth more, and creditors moved."""
 
-    @property
+    @cached_property
     def vouchers(self) -> DataFrame:
         more = F.when(F.col("is_cancelled"), F.col("amount") + 1).otherwise(F.col("amount"))
         return super().vouchers.withColumn("amount", more.cast("decimal(18,2)"))
@@ -364,7 +365,7 @@ def overlapped(m: Model) -> DataFrame:
     Y.refresh(store, landing_rows(m, {"vouchers": E.vouchers(m)}, "20250401"), 0, STAMP)
 
     class Window(Changed):
-        @property
+        @cached_property
         def vouchers(self) -> DataFrame:
             recent = F.date_sub(F.lit("2001-08-01").cast("date"), C.OVERLAP_DAYS)
             return super().vouchers.filter(F.col("date") >= recent)

@@ -6,6 +6,8 @@ part -> stock items, open orders and lines -> outstanding bills, events -> chang
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from saldo.schema import MONEY
@@ -26,15 +28,18 @@ def text(c) -> Column:
 
 
 class Model:
-    """Ledger tables over one folder of Parquet files; every property builds a fresh lazy DataFrame."""
+    """Ledger tables over one folder of Parquet files, as lazy DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._scans:
+            self._scans[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._scans[name]
 
-    @property
+    @cached_property
     def places(self) -> DataFrame:
         """Nation with its company; one row per nation."""
         region = self.table("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
@@ -42,19 +47,19 @@ class Model:
             "n_nationkey", "n_name", F.col("n_regionkey").cast("string").alias("company_id"), "r_name"
         )
 
-    @property
+    @cached_property
     def companies(self) -> DataFrame:
         return self.table("region").select(text("r_regionkey").alias("company_id"), F.col("r_name").alias("name"))
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
         return self.table("customer").join(self.places, F.col("c_nationkey") == F.col("n_nationkey"))
 
-    @property
+    @cached_property
     def suppliers(self) -> DataFrame:
         return self.table("supplier").join(self.places, F.col("s_nationkey") == F.col("n_nationkey"))
 
-    @property
+    @cached_property
     def vouchers(self) -> DataFrame:
         kinds = F.create_map(*(F.lit(x) for pair in VOUCHER_TYPES.items() for x in pair))
         kind = kinds[F.substring("o_orderpriority", 1, 1)]
@@ -73,7 +78,7 @@ class Model:
             (kind == "Sales").alias("is_invoice"),
         )
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
         """Voucher items. The rate is the amount per unit, cut to two decimals with whole numbers."""
         whole = F.expr("CAST(round(l_extendedprice * 100) AS BIGINT) div CAST(l_quantity AS BIGINT)")
@@ -95,7 +100,7 @@ class Model:
             .select("company_id", "tally_guid", "stock_item_name", "quantity", "unit", "rate", "discount_pct", "amount")
         )
 
-    @property
+    @cached_property
     def entries(self) -> DataFrame:
         """Two ledger entries per voucher: the party's, with a bill, and the account's."""
         bill = F.struct(
@@ -120,7 +125,7 @@ class Model:
             "company_id", "tally_guid", "e.*"
         )
 
-    @property
+    @cached_property
     def ledgers(self) -> DataFrame:
         debtors = self.customers.select(
             "company_id", F.col("c_name").alias("name"), F.lit("Sundry Debtors").alias("group_name"),
@@ -136,7 +141,7 @@ class Model:
         )
         return debtors.unionByName(creditors)
 
-    @property
+    @cached_property
     def segment_ledgers(self) -> DataFrame:
         """Customer ledgers under the lowest level of ``groups``."""
         return self.customers.select(
@@ -145,7 +150,7 @@ class Model:
             money("c_acctbal").alias("closing_balance"),
         )
 
-    @property
+    @cached_property
     def groups(self) -> DataFrame:
         """Sundry Debtors > nation > nation and segment, as far as customers use them."""
         lowest = self.customers.groupBy("company_id", "n_name", "c_mktsegment").agg(F.min("c_custkey").alias("master_id"))
@@ -160,7 +165,7 @@ class Model:
             .select("company_id", "name", "parent", "master_id")
         )
 
-    @property
+    @cached_property
     def cash_ledgers(self) -> DataFrame:
         """A bank and a cash ledger per nation, out of the receipts and payments of its customers."""
         orders = self.table("orders").join(self.customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -173,7 +178,7 @@ class Model:
         )
         return flows.groupBy("company_id", "name", "group_name").agg(money(F.sum("flow")).alias("closing_balance"))
 
-    @property
+    @cached_property
     def stock(self) -> DataFrame:
         """Stock items; lines of status F came in, those of status O went out."""
         moved = F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
@@ -195,7 +200,7 @@ class Model:
             )
         )
 
-    @property
+    @cached_property
     def receivables(self) -> DataFrame:
         due = F.date_add(F.col("o_orderdate").cast("date"), 30)
         orders = self.table("orders").filter(F.col("o_orderstatus") == "O")
@@ -207,7 +212,7 @@ class Model:
             overdue(due).alias("days_overdue"),
         )
 
-    @property
+    @cached_property
     def payables(self) -> DataFrame:
         """Open lines added up to one bill per supplier and order, before the join."""
         bills = (
@@ -226,11 +231,11 @@ class Model:
             overdue(due).alias("days_overdue"),
         )
 
-    @property
+    @cached_property
     def outstanding(self) -> DataFrame:
         return self.receivables.unionByName(self.payables).drop("bill_key")
 
-    @property
+    @cached_property
     def profit_loss(self) -> DataFrame:
         """Month by type. Sales and purchases are main rows, receipts and payments sub rows, the rest is empty."""
         sums = self.vouchers.groupBy(
@@ -249,7 +254,7 @@ class Model:
             .select("company_id", "month", "particulars", "raw_amount", "amount", "is_debit", "is_income", "level")
         )
 
-    @property
+    @cached_property
     def balance_sheet(self) -> DataFrame:
         """Customer balances (main, negative), supplier balances (sub) and stock by brand (debit column)."""
         debt = self.customers.groupBy("company_id", "n_name", "c_mktsegment").agg(money(F.sum(money("c_acctbal"))).alias("v"))
@@ -271,7 +276,7 @@ class Model:
             .withColumn("amount", F.abs(F.coalesce("main", "sub", "debit")))
         )
 
-    @property
+    @cached_property
     def trial_balance(self) -> DataFrame:
         """Debit and credit of every ledger the vouchers touch; each voucher balances."""
         sums = self.entries.groupBy("company_id", F.col("ledger_name").alias("particulars"))
@@ -303,7 +308,7 @@ class Model:
             .drop("known")
         )
 
-    @property
+    @cached_property
     def marked_companies(self) -> DataFrame:
         users = self.table("events").select(text("user_id").alias("company_id")).distinct()
         return users.withColumn("fy_from", F.lit("2024-01-10").cast("date")).withColumn("fy_to", F.lit("2024-12-31").cast("date"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from saldo.functions import scalars as S
-from saldo.functions.transforms import transform_for
+from saldo.functions.transforms import NUMERIC, transform_for
 from saldo.sources.responses import once
 
 CORRUPT = "_corrupt_record"
@@ -184,9 +184,6 @@ def parse_schema(section: Section) -> StructType:
 # Where a value sits is written as SQL text: a definition then costs one call per field to build, which matters
 # to a stream that compiles every section for every batch.
 
-TRIMMED = f"btrim(p, '{S.BLANKS}')"
-
-
 def _member(struct: str, tag: str) -> str:
     return f"{struct}.`{'_' + tag[1:] if tag.startswith('@') else tag}`"
 
@@ -196,28 +193,49 @@ def _at(struct: str, path: str) -> str:
     *way, last = path.split("/")
     for tag in way:
         struct = f"get({_member(struct, tag)}, 0)"
-    found = _member(struct, last)
-    return f"array({found})" if last.startswith("@") else found
+    return _member(struct, last)
 
 
-def _first_with(options: list[str], condition: str) -> str:
-    return "coalesce(" + ", ".join(f"CASE WHEN {condition.format(o)} THEN {o} END" for o in options) + ")"
+def _source(struct: str, path: str) -> tuple[str, bool]:
+    """Where a source sits, and whether that is a plain text and not an array of occurrences."""
+    if path.startswith("@"):
+        return _member(struct, path), True
+    return _at(struct, path), False
 
 
-def _value(options: list[str]) -> str:
-    """Text and number text of the first option that holds any text."""
-    if not options:
-        return "named_struct('text', '', 'number', CAST(NULL AS STRING))"
-    found = _first_with(options, "exists({0}, p -> " + TRIMMED + " <> '')")
-    text = f"coalesce(array_join(filter(transform(v, p -> {TRIMMED}), p -> p <> ''), ', '), '')"
-    return (
-        f"get(transform(array({found}), v -> named_struct('text', {text}, "
-        "'number', CASE WHEN size(v) = 1 THEN get(v, 0) END)), 0)"
-    )
+def _trimmed(text: str) -> str:
+    return f"btrim({text}, '{S.BLANKS}')"
+
+
+def _text(found: str, plain: bool) -> str:
+    """Text of a tag: its only value, or the non-blank values joined; empty when there is none."""
+    if plain:
+        return f"coalesce({_trimmed(found)}, '')"
+    joined = f"array_join(filter(transform({found}, p -> {_trimmed('p')}), p -> p <> ''), ', ')"
+    only = _trimmed(f"get({found}, 0)")
+    return f"coalesce(CASE WHEN size({found}) = 1 THEN {only} WHEN size({found}) > 1 THEN {joined} END, '')"
 
 
-def _finish_value(text: Column, number: Column, f: Field) -> Column:
-    value = transform_for(f.transform)(text, number)
+def _value(sources: list[tuple[str, bool]], numeric: bool) -> str:
+    """Text of the first source that holds any. As a number a repeated tag counts as nothing."""
+    if not sources:
+        return "''"
+    if not numeric:
+        texts = [_text(*source) for source in sources]
+        return texts[0] if len(texts) == 1 else "coalesce(" + ", ".join(f"nullif({t}, '')" for t in texts) + ", '')"
+    branches = []
+    for found, plain in sources:
+        single = found if plain else f"CASE WHEN size({found}) = 1 THEN get({found}, 0) END"
+        branches.append(f"WHEN {_text(found, plain)} <> '' THEN {single}")
+    return "CASE " + " ".join(branches) + " END"
+
+
+def _first_filled(options: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN size({o}) > 0 THEN {o} END" for o in options) + ")"
+
+
+def _finish_value(text: Column, f: Field) -> Column:
+    value = transform_for(f.transform)(text)
     if f.default is not None:
         if f.transform in ("string", "quantity_unit"):
             value = F.when(value != "", value).otherwise(F.lit(f.default))
@@ -229,13 +247,13 @@ def _finish_value(text: Column, number: Column, f: Field) -> Column:
 def _child_values(struct: str, child: Child, depth: int = 0) -> str:
     """Raw child rows; the first path with rows wins, blank rows and rows without the required field go."""
     row = f"c{depth}"
-    rows = _first_with([_at(struct, p) for p in child.paths], "size({0}) > 0")
-    members = [f"'{f.name}', {_value([_at(row, s) for s in f.sources])}" for f in child.fields]
+    rows = _first_filled([_at(struct, p) for p in child.paths])
+    members = [f"'{f.name}', {_value([_source(row, s) for s in f.sources], f.transform in NUMERIC)}" for f in child.fields]
     members += [f"'{c.name}', {_child_values(row, c, depth + 1)}" for c in child.children]
     if child.required:
-        keep = f"{row}.`{child.required}`.text <> ''"
+        keep = f"{row}.`{child.required}` <> ''"
     else:
-        filled = [f"{row}.`{f.name}`.text <> ''" for f in child.fields]
+        filled = [f"coalesce({row}.`{f.name}`, '') <> ''" for f in child.fields]
         keep = " OR ".join(filled + [f"size({row}.`{c.name}`) > 0" for c in child.children])
     read = f"transform({rows}, {row} -> named_struct({', '.join(members)}))"
     return f"coalesce(filter({read}, {row} -> {keep}), array())"
@@ -244,7 +262,7 @@ def _child_values(struct: str, child: Child, depth: int = 0) -> str:
 def _typed_children(raw: Column, child: Child) -> Column:
     def convert(row: Column) -> Column:
         return F.struct(
-            *(_finish_value(row[f.name]["text"], row[f.name]["number"], f).alias(f.name) for f in child.fields),
+            *(_finish_value(row[f.name], f).alias(f.name) for f in child.fields),
             *(_typed_children(row[c.name], c).alias(c.name) for c in child.children),
         )
 
@@ -274,7 +292,7 @@ def _row_array(section: Section) -> str:
         rows = f"transform({messages}, m -> {_member('m', path.split('/', 1)[1])})"
         return f"flatten(filter({rows}, r -> r IS NOT NULL))"
 
-    return _first_with([option(p) for p in section.rows], "size({0}) > 0")
+    return _first_filled([option(p) for p in section.rows])
 
 
 def _indexed_array(section: Section) -> str:
@@ -299,17 +317,20 @@ def staged_rows(parsed: DataFrame, section: Section) -> DataFrame:
     found = _indexed_array(section) if indexed else _row_array(section)
     rows = parsed.select(*carried, "error", F.posexplode_outer(F.expr(found)).alias("pos", "row"))
 
-    def place(source: str) -> str:
+    def place(source: str) -> tuple[str, bool]:
         if not indexed:
-            return _at("row", source)
+            return _source("row", source)
         alias, _, below = source.partition("/")
-        return _at(f"row.`{alias}`", below) if below else f"array(row.`{alias}`)"
+        return _source(f"row.`{alias}`", below) if below else (f"row.`{alias}`", True)
+
+    def value(f: Field) -> Column:
+        return F.expr(_value([place(s) for s in f.sources], f.transform in NUMERIC))
 
     raw = rows.select(
         *carried,
         "error",
         "pos",
-        *(F.expr(_value([place(s) for s in f.sources])).alias("__" + f.name) for f in section.fields),
+        *(value(f).alias("__" + f.name) for f in section.fields),
         *(F.expr(_child_values("row", c)).alias("__" + c.name) for c in section.children),
     )
     out = raw.select(
@@ -317,7 +338,7 @@ def staged_rows(parsed: DataFrame, section: Section) -> DataFrame:
         "error",
         "pos",
         *(
-            _finish_value(F.col(f"__{f.name}.text"), F.col(f"__{f.name}.number"), f).alias(f.name)
+            _finish_value(F.col("__" + f.name), f).alias(f.name)
             for f in section.fields
         ),
         *(_typed_children(F.col("__" + c.name), c).alias(c.name) for c in section.children),
