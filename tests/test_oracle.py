@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from saldo import queries as registry
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -17,13 +18,13 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query_matches_sql(spark, con, name):
     assert compare(spark, con, FOLDER, name) is None
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(registry.oracle_sql()) == set(registry.queries())
 
 
 def test_entry(spark):
