@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import fingerprints, language_id, packing, quality_rules
+from saldo.llm import fingerprints, jaccard_join, language_id, packing, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,3 +41,8 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judged(table(spark, folder, "documents"))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, folder, "documents"))
