@@ -7,14 +7,14 @@ if it passes under all of them:
 
 * by hash, over all documents: prefixes long enough to share a tenth of a document. A document of which fewer shingles
   there occur anywhere else is done with; no counts of all shingles are needed for this.
-* by rarity, among the others: of those shared shingles, as many of the rarest as must hold a shared one. Pairs come
-  from these.
-* by another hash: the full sets of a pair must share a shingle in their prefixes under it, or are not compared.
+* by rarity, among the others: the rarest shingles of each set, of which those that occur nowhere else are left out.
+  Groups of candidates come from these.
+* by hash and by another hash, full sets against each other: the prefixes of a pair must meet under both.
 
-Documents of the same set form a class and are compared once. In a group of documents around one shingle each is first
-compared with one pivot only; what that has connected need not be compared again to know the components, so only pairs
-across them follow. No link is lost. `links` counts, in blocks of classes and without writing out pairs, the links of
-every document within its component.
+Documents of the same set form a class and are compared once. The classes around one rare shingle are first compared with
+one pivot only; what that has connected need not be compared again to know the components. Pairs across them follow, in
+blocks of classes within a task and without writing out the pairs. No link is lost. `n_links` counts the documents that
+each links with, in blocks of the classes of a component.
 
 Hashes have 64 bits; classes are told apart by 128.
 
@@ -160,87 +160,118 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """(token, class, n): of each class the shingles that one of any linked class must be among."""
-    # The sets are ascending, so their first hashes are the prefix under the order by hash.
-    taken = F.expr("n - (4 * n + 4) div 5 + greatest(1, n div 10)").cast("int")
-    short = sets.select(
-        "class",
-        "n",
-        F.slice("tokens", 1, taken).alias("tokens"),
-        F.expr("greatest(1, ((4 * n + 4) div 5) div 10)").alias("need"),
-    )
-    tokens = short.select("class", "n", F.size("tokens").alias("taken"), "need", F.explode("tokens").alias("token"))
+    """(token, class): of each class the shingles that one of any linked class must be among, by rarity."""
+    tokens = sets.select("class", F.explode("tokens").alias("token"))
     rarity = written(tokens.groupBy("token").count().where("count > 1"), "rarity")
-    shared = tokens.join(rarity, "token").groupBy("class").agg(
-        F.first("n").alias("n"),
-        F.first("taken").alias("taken"),
-        F.first("need").alias("need"),
-        F.sort_array(F.collect_list(F.struct("count", F.xxhash64("token").alias("order"), "token"))).alias("shared"),
+    shared = (
+        tokens.join(rarity, "token")
+        .groupBy("class")
+        .agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
+        .join(sets.select("class", "n"), "class")
     )
     # What occurs nowhere else comes first in the order and cannot be shared: so many fewer are left to take.
-    left = F.expr("taken - need + 1 - (taken - size(shared))")
+    left = F.expr("cast(size(shared) - (4 * n + 4) div 5 + 1 AS int)")
     return written(
         shared.where(left > 0)
-        .select("class", "n", F.explode(F.slice("shared", 1, F.least(F.size("shared"), left).cast("int"))).alias("s"))
-        .select("s.token", "class", "n"),
+        .select("class", F.explode(F.slice("shared", 1, left)).alias("s"))
+        .select("s.token", "class"),
         "rare",
     )
 
 
-def _near_sizes(a: str, b: str):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
-
-
 def links_of_classes(sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes that connect all that is connected; not every link within a component."""
     rare = rare_prefixes(sets)
-    pivots = rare.groupBy("token").agg(F.min(F.struct("class", "n")).alias("p"))
-    stars = (
-        rare.join(pivots, "token")
-        .where((F.col("class") != F.col("p.class")) & _near_sizes("n", "p.n"))
-        .select(F.col("p.class").alias("a"), F.col("class").alias("b"))
-        .distinct()
-    )
-    links = written(verified(written(stars, "pairs"), sets), "links")
+    pivots = rare.groupBy("token").agg(F.min("class").alias("pivot"))
+    # The classes around the shingles of one pivot; shingles of the same documents mostly have the same pivot.
+    groups = written(rare.join(pivots, "token").select("pivot", "class").distinct(), "groups")
+    pairs = groups.where("pivot <> class").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
+    links = written(verified(pairs, sets), "links")
     # Only pairs across what is now connected are left to compare.
-    found = components(links)
-    placed = rare.join(found.withColumnRenamed("node", "class"), "class", "left")
-    placed = written(placed.withColumn("place", F.coalesce("component", "class")).drop("component"), "placed")
-    places = placed.select("token", "place").distinct()
-    several = written(places.groupBy("token").count().where("count > 1").select("token"), "several")
-    places = places.join(several, "token")
-    across = (
-        places.alias("p")
-        .join(places.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.place") < F.col("q.place")))
-        .select(F.col("p.token").alias("token"), F.col("p.place").alias("place"), F.col("q.place").alias("other"))
-    )
-    one = placed.select("token", "place", F.col("class").alias("a"), F.col("n").alias("na"))
-    two = placed.select("token", F.col("place").alias("other"), F.col("class").alias("b"), F.col("n").alias("nb"))
-    pairs = (
-        across.join(one, ["token", "place"])
-        .join(two, ["token", "other"])
-        .where(_near_sizes("na", "nb"))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    return links.unionByName(verified(written(pairs, "pairs"), sets))
+    found = components(links).withColumnRenamed("node", "class")
+    placed = groups.join(found, "class", "left").withColumn("place", F.coalesce("component", "class"))
+    own = placed.where("pivot = class").select("pivot", F.col("place").alias("home"))
+    placed = placed.join(own, "pivot").select("pivot", "class", "place", (F.col("place") != F.col("home")).alias("out"))
+    return links.unionByName(links_across(written(placed, "placed"), sets))
 
 
-def _count(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of the classes of one pair of blocks, in numbers of documents."""
-    left = frame[frame.own == 0].reset_index(drop=True)
-    right = frame[frame.own == 1].reset_index(drop=True) if (frame.own == 1).any() else left
-    tokens = np.concatenate([np.asarray(x, dtype=np.int64) for part in (left, right) for x in part.tokens])
-    known, codes = np.unique(tokens, return_inverse=True)
-    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for part in (left, right) for x in part.tokens])
+def links_across(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) within each group (pivot) between classes of different places, one of them out of the pivot's place.
+
+    The classes out of place, and those in it, are dealt into blocks by a digest; each block of the former meets every
+    block of the group in a task of its own, which returns one link at most for two places.
+    """
+    counts = placed.groupBy("pivot").agg(
+        F.ceil(F.count_if("out") / block).cast("int").alias("outs"),
+        F.ceil(F.count_if(~F.col("out")) / block).cast("int").alias("ins"),
+    )
+    rows = placed.join(counts.where("outs > 0"), "pivot")
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("class"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
+    # Blocks out of place are 0, 1, ...; those in it follow.
+    rows = rows.withColumn("at", F.expr("cast(IF(out, at, at + outs) AS int)"))
+    rows = rows.withColumn("with", F.explode(F.expr("sequence(0, IF(out, outs + ins, outs) - 1)")))
+    rows = rows.select("pivot", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "class", "place")
+    rows = rows.join(sets.select("class", "n", "tokens"), "class")
+    return rows.groupBy("pivot", "i", "j").applyInPandas(_across, "a long, b long").distinct()
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the left sets has in common with each of the right sets."""
+    sizes = [len(x) for x in (*left, *right)]
     both = np.zeros((len(left), len(right)), dtype=np.float64)
+    _, codes, counts = np.unique(np.concatenate((*left, *right)), return_inverse=True, return_counts=True)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    shared = counts[codes] > 1
+    codes, rows = (np.cumsum(counts > 1) - 1)[codes[shared]], rows[shared]
     order = np.argsort(codes, kind="stable")
     codes, rows = codes[order], rows[order]
-    for at in range(0, len(known), 4096):
-        here = slice(*np.searchsorted(codes, (at, at + 4096)))
-        table = np.zeros((len(left) + len(right), min(4096, len(known) - at)), dtype=np.float32)
+    width = 2048
+    for at in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
+        here = slice(*np.searchsorted(codes, (at, at + width)))
+        table = np.zeros((len(sizes), width), dtype=np.float32)
         table[rows[here], codes[here] - at] = 1
         both += table[: len(left)] @ table[len(left) :].T
+    return both
+
+
+def _blocks(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The two blocks of a group; the same one twice if it meets itself."""
+    first = frame[frame["at"] == frame.i.iloc[0]].reset_index(drop=True)
+    second = frame[frame["at"] == frame.j.iloc[0]].reset_index(drop=True)
+    return first, (first if frame.i.iloc[0] == frame.j.iloc[0] else second)
+
+
+def _across(frame: pd.DataFrame) -> pd.DataFrame:
+    left, right = _blocks(frame)
+    links = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+    if not len(left) or not len(right):
+        return links
+    xs, ys = ([np.asarray(t, dtype=np.int64).view(np.uint64) for t in part.tokens] for part in (left, right))
+    n, m = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
+    asked = (left.place.to_numpy()[:, None] != right.place.to_numpy()[None, :]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+    # A pair is compared only if its prefixes meet under both orders by hash.
+    for prefix in (lambda x: x[: prefix_length(len(x))], _prefix_of_other_order):
+        rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+        if not len(rows):
+            return links
+        asked[np.ix_(rows, columns)] &= _overlaps([prefix(xs[i]) for i in rows], [prefix(ys[j]) for j in columns]) > 0
+    rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+    if not len(rows):
+        return links
+    both = _overlaps([xs[i] for i in rows], [ys[j] for j in columns])
+    linked = asked[np.ix_(rows, columns)] & (100 * both >= 80 * (n[rows] + m[:, columns] - both))
+    i, j = np.nonzero(linked)
+    found = pd.DataFrame({"a": left["class"].to_numpy()[rows[i]], "b": right["class"].to_numpy()[columns[j]]})
+    found["p"], found["q"] = left.place.to_numpy()[rows[i]], right.place.to_numpy()[columns[j]]
+    return found.drop_duplicates(["p", "q"])[["a", "b"]]
+
+
+def _count(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of the classes of one pair of blocks, in numbers of documents."""
+    left, right = _blocks(frame)
+    if not len(left) or not len(right):
+        return pd.DataFrame({"class": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
+    both = _overlaps(*([np.asarray(t, dtype=np.int64) for t in part.tokens] for part in (left, right)))
     n, m = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
     linked = 100 * both >= 80 * (n + m - both)
     out = [pd.DataFrame({"class": left["class"], "links": linked @ right.copies.to_numpy()})]
@@ -260,8 +291,8 @@ def count_links(sets: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataF
     rows = rows.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "component", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"),
-        (F.col("at") > F.col("with")).cast("int").alias("own"), "class", "n", "copies", "tokens",
+        "component", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "class", "n", "copies",
+        "tokens",
     )
     return rows.groupBy("component", "i", "j").applyInPandas(_count, "class long, links long").groupBy("class").agg(
         F.sum("links").cast("long").alias("links")
