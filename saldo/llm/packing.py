@@ -16,73 +16,154 @@ equal rows are packed separately; null ids are kept.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from saldo.llm.shingles import column_bytes, hash_runs
 from saldo.session import new_folder
 
 CAPACITY = 1024
 END = 2
-#: Words whose ids a task keeps; beyond, it starts anew.
-MEMO = 300_000
+#: Different runs whose ids a worker keeps in each of two generations.
+MEMO = 250_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
-class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+#: Classes of bytes. In texts of only these, the vocabulary's splitting rule keeps runs of letters, digits or marks
+#: apart, each with at most one space before it, and line ends; so every different run need be coded only once. The
+#: apostrophe, which may start a contraction, and all characters but Latin-1 letters beyond ASCII are left out.
+_OTHER, _SPACE, _LINE, _LETTER, _DIGIT, _MARK, _LEAD = range(7)
+_CLASS = np.full(256, _OTHER, dtype=np.uint8)
+_CLASS[0x20], _CLASS[0x0A], _CLASS[0xC3] = _SPACE, _LINE, _LEAD
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[x for x in range(0x21, 0x7F) if _CLASS[x] == _OTHER and x != 0x27]] = _MARK
+#: Bytes after 0xC3 that make a letter: U+00C0 to U+00FF but for the signs of multiplication and division.
+_SECOND = np.zeros(256, dtype=bool)
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False
+#: Coded at once, in bytes.
+CHUNK = 1 << 21
+
+
+class _Memo(dict):
+    """Ids of runs as bytes; of two generations, the older is dropped when the newer is full."""
+
+    def __init__(self, tokenizer, most: int):
+        super().__init__()
+        self._model, self._most, self._older = tokenizer.model, most, {}
+        self._tokenize = self._model.tokenize
+        # The vocabulary writes every byte as a printable character: itself, or one from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self._signs = dict.fromkeys(plain) | {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in plain)}
+        self._signs = {x: x if y is None else y for x, y in self._signs.items()}
+        self._space = chr(self._signs[0x20])
+
+    def __missing__(self, run: str) -> bytes:
+        """run: the bytes of a plain run as Latin-1 characters."""
+        found = self._older.get(run)
+        if found is None:
+            if run.isascii() and run != "\n":
+                signs = self._space + run[1:] if run[0] == " " else run
+            else:
+                signs = run.translate(self._signs)
+            found = array("I", [x.id for x in self._tokenize(signs)]).tobytes()
+        self[run] = found
+        return found
+
+    def tidy(self) -> None:
+        if len(self) > self._most:
+            self._older = dict(self)
+            self.clear()
+
+
+def plain_runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the runs of texts (uint8, one after the other from `begins`), and which texts have only plain runs."""
+    kind = _CLASS[data]
+    lead = np.flatnonzero(kind == _LEAD)
+    kind[lead] = _OTHER
+    lead = lead[lead + 1 < len(data)]
+    lead = lead[_SECOND[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    first = np.zeros(len(data), dtype=bool)
+    first[begins] = True
+    after = np.full(len(data), _LINE, dtype=np.uint8)  # the class of the next byte, _LEAD past the end of a text
+    after[:-1] = kind[1:]
+    after[np.append(begins[1:], len(data)) - 1] = _LEAD
+    odd = kind == _OTHER
+    odd |= (kind == _SPACE) & ((after == _SPACE) | (after == _LINE) | (after == _LEAD))
+    odd |= (kind == _LINE) & (after == _LINE)
+    before = np.empty(len(data), dtype=np.uint8)
+    before[1:] = kind[:-1]
+    before[begins] = _LEAD
+    starts = first | (kind <= _LINE) | ((kind != before) & (before != _SPACE))
+    texts = np.searchsorted(begins, np.flatnonzero(odd), side="right") - 1
+    plain = np.ones(len(begins), dtype=bool)
+    plain[texts] = False
+    return np.flatnonzero(starts), plain
 
-    A text may be cut before each single space that follows a character other than white space without changing its
-    ids, so every different word is tokenized once and remembered.
-    """
 
-    _cut = re.compile(r"(?<=\S)(?= )")
-    _odd = re.compile(r"\s ")
+class Ids:
+    """Token ids of texts. Texts of plain runs are coded many at a time, each different run once; others whole."""
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._memo: dict[str, bytes] = {}
-        self._most = memo
-
-    def _pieces(self, text: str) -> list[str]:
-        if self._odd.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self._memo) > self._most:
-            self._memo = {}
-        memo, cut = self._memo, [self._pieces(x) for x in texts]
-        new = list({x for words in cut for x in words if x not in memo})
-        if new:
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for word, coded in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    memo[word] = b"".join(x.to_bytes(4, "little") for x in coded.ids)
-        return [b"".join([memo[x] for x in words]) for words in cut]
-
-
-def _groups(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    """Texts in runs of about `most` characters, so that what is held at once stays small."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+        self._memo = _Memo(self._tokenizer, memo)
+
+    def _many(self, data: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
+        starts, plain = plain_runs(data, begins)
+        ends = np.append(starts[1:], len(data))
+        self._memo.tidy()
+        _, first, which = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        # Runs of other texts may cut characters; what they are coded as is not used.
+        text = raw.decode("latin-1")
+        runs = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        coded = list(map(self._memo.__getitem__, runs))
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
+        pool, places = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes
+        sizes = sizes[which]
+        total = np.cumsum(sizes)
+        ids = pool[np.repeat(places[which] - (total - sizes), sizes) + np.arange(total[-1])]
+        cuts = np.concatenate(([0], total))[np.searchsorted(starts, np.append(begins, len(data)))]
+        bounds = np.append(begins, len(data)).tolist()
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            yield ids[a:b] if plain[i] else self.whole(raw[bounds[i] : bounds[i + 1]].decode())
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of an Arrow string column; null counts as empty."""
+        raw, ends = column_bytes(column)
+        i, rows = 0, len(ends) - 1
+        while i < rows:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + CHUNK, side="right")) - 1)
+            filled = np.flatnonzero(ends[i + 1 : j + 1] > ends[i:j])
+            found = iter(())
+            if len(filled):
+                found = self._many(raw[ends[i] : ends[j]], ends[i:j][filled] - ends[i])
+            for k in range(i, j):
+                yield next(found) if ends[k + 1] > ends[k] else np.empty(0, dtype="<u4")
+            i = j
+
+
+@lru_cache(maxsize=1)
+def ids_of(path: str) -> Ids:
+    """One tokenizer per Python worker, kept between tasks."""
+    return Ids(path)
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long"
@@ -99,22 +180,20 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     mark = end.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen, block = Ids(vocabulary), [0] * (capacity + 1), TaskContext.get().partitionId()
+        ids, seen, block = ids_of(vocabulary), [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
-            out, at = [], 0
-            keys = batch.column(0).to_pylist()
-            for texts in _groups(batch.column(1).to_pylist()):
-                for coded in ids(texts):
-                    coded += mark
-                    total = len(coded) // 4
-                    length = (total - 1) % capacity + 1
-                    start = piece = 0
-                    while start < total:
-                        crc = zlib.crc32(memoryview(coded)[4 * start : 4 * (start + length)])
-                        out.append((keys[at], piece, start, length, crc, block, seen[length]))
-                        seen[length] += 1
-                        start, piece, length = start + length, piece + 1, capacity
-                    at += 1
+            out = []
+            for key, coded in zip(batch.column(0).to_pylist(), ids(batch.column(1)), strict=True):
+                total = len(coded) + 1
+                length = (total - 1) % capacity + 1
+                start = piece = 0
+                while start < total:
+                    crc = zlib.crc32(coded[start : start + length])
+                    if start + length == total:
+                        crc = zlib.crc32(mark, crc)
+                    out.append((key, piece, start, length, crc, block, seen[length]))
+                    seen[length] += 1
+                    start, piece, length = start + length, piece + 1, capacity
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names

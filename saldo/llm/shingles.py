@@ -74,6 +74,16 @@ def _hash_words(data: np.ndarray, begins: np.ndarray, lower: bool) -> tuple[np.n
     return mix((sums[ends] - sums[starts]) * inverse[starts]), starts
 
 
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every run of bytes data[start:end]."""
+    n = len(data)
+    power, inverse = _power_tables(n + 1)
+    sums = np.empty(n + 1, dtype=np.uint64)
+    sums[0] = 0
+    np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
 _ZERO = np.zeros(1, dtype=np.int64)
 
 
@@ -108,7 +118,7 @@ def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     return mix(total + np.uint64(width))
 
 
-def _column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column and the offsets of its texts, without copies; null as empty."""
     if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
         raise TypeError(f"expected a string column, got {column.type}")
@@ -125,7 +135,7 @@ def _column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def shingles(column: pa.Array, lower: bool = False, size: int = WORDS) -> Iterator[np.ndarray]:
     """The shingle hashes of every text of an Arrow string column, in order of its words; short texts many at a time."""
-    raw, ends = _column_bytes(column)
+    raw, ends = column_bytes(column)
     i, rows = 0, len(ends) - 1
     while i < rows:
         j = int(np.searchsorted(ends, ends[i] + CHUNK, side="right")) - 1
