@@ -7,9 +7,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import packing
+from saldo.llm import jaccard_join, language_id, packing, pii, quality_rules
 from saldo.session import new_folder
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose language cannot be told: without a letter, or with a narrow margin."""
+    model = language_id.fit(docs)
+    verdict = language_id.prediction(model)
+    return docs.select(*COLUMNS).withColumn("_verdict", verdict).where("NOT _verdict.rejected").drop("_verdict")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that fail the base rules or are outliers of their language and source."""
+    return quality_rules.keep_sound(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each component of linked documents the one with the smallest doc_id; all without an id or a shingle."""
+    return jaccard_join.first_of_each(docs.select(*COLUMNS))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts marks in place of personal data; n_chars follows."""
+    docs = docs.select(*COLUMNS)
+    return pii.redact(docs, pii.fit(docs))
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
@@ -17,6 +42,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
+    ("language_identification", language_identification),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
     ("best_fit_packing", best_fit_packing),
 ]
 

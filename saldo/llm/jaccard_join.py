@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from saldo.llm.components import components, written
 from saldo.llm.shingles import mix, shingle_sets
@@ -148,7 +149,9 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     made = texts.mapInArrow(_sets, "doc_id long, high long, low long, tokens array<long>").where("size(tokens) > 0")
     grouped = made.groupBy("high", "low").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")
+        F.min("doc_id").alias("first_id"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("tokens").alias("tokens"),
     )
     return written(
         grouped.select(
@@ -299,28 +302,27 @@ def count_links(sets: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataF
     )
 
 
-def joined(docs: DataFrame) -> DataFrame:
-    """Per document its number of shingles, its component (smallest doc_id reachable by links) and its links."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes that may have links or copies, and (class, component) of each."""
     sets = classes(docs)
     found = components(links_of_classes(sets)).withColumnRenamed("node", "class")
     # Classes without links to others are components of their own.
-    placed = written(
-        sets.select("class", "first_id", "copies", "high", "low")
-        .join(found, "class", "left")
-        .withColumn("component", F.coalesce("component", "class")),
-        "placed",
-    )
-    several = placed.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("first_id").alias("component_id"))
+    placed = sets.select("class").join(found, "class", "left")
+    return sets, written(placed.withColumn("component", F.coalesce("component", "class")), "placed")
+
+
+def joined(docs: DataFrame) -> DataFrame:
+    """Per document its number of shingles, its component (smallest doc_id reachable by links) and its links."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sets, placed = _placed(docs)
+    keys = sets.select("class", "high", "low", "first_id", "copies").join(placed, "class")
+    several = keys.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("first_id").alias("component_id"))
     several = written(several, "components")
-    linked = placed.join(several.where("size > 1").select("component"), "component").select("class", "component")
-    links = count_links(sets, linked)
-    known = (
-        placed.join(several.select("component", "component_id"), "component")
-        .join(links, "class", "left")
-        .select("high", "low", "component_id", (F.coalesce("links", "copies") - 1).alias("n_links"))
+    linked = placed.join(several.where("size > 1").select("component"), "component")
+    known = keys.join(several, "component").join(count_links(sets, linked), "class", "left")
+    known = written(
+        known.select("high", "low", "component_id", (F.coalesce("links", "copies") - 1).alias("n_links")), "known"
     )
-    known = written(known, "known")
     sizes = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, high long, low long")
     return sizes.join(known, ["high", "low"], "left").select(
         "doc_id",
@@ -328,3 +330,42 @@ def joined(docs: DataFrame) -> DataFrame:
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
+
+
+@F.arrow_udf(StructType([StructField("high", LongType()), StructField("low", LongType())]))
+def set_digest(texts: pa.Array) -> pa.Array:
+    """The digest of the shingle set of every text."""
+    rows = [_digest(s) for s in shingle_sets(texts, lower=True)]
+    high, low = zip(*rows, strict=True) if rows else ((), ())
+    return pa.StructArray.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64())], ["high", "low"])
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each component, one with the smallest doc_id; all rows without shingles stay.
+
+    Of rows of a component that share this id, one of the class with the smallest digest stays. A component without any
+    id keeps one row too.
+    """
+    columns = docs.columns
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sets, placed = _placed(plain)
+    keys = sets.select("class", "high", "low", "first_id").join(placed, "class")
+    first = keys.groupBy("component").agg(
+        F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "high", "low")).alias("_first")
+    )
+    known = written(keys.join(first, "component").select("high", "low", "component", "_first"), "known")
+    rows = docs.select(
+        F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("id"),
+        set_digest(F.coalesce("text", F.lit(""))).alias("d"),
+    )
+    rows = rows.select("row", "id", "d.high", "d.low").join(known, ["high", "low"], "left")
+    kept = rows.where(
+        "component IS NULL OR (id <=> _first.first_id AND high = _first.high AND low = _first.low)"
+    )
+    # Only where ids repeat can several rows be left of a component.
+    ids = plain.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    if known.join(ids, F.col("_first.first_id").eqNullSafe(F.col("again")), "left_semi").limit(1).count():
+        kept = kept.where("component IS NULL").unionByName(
+            kept.where("component IS NOT NULL").dropDuplicates(["component"])
+        )
+    return kept.select("row.*")

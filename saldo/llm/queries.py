@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import fingerprints, jaccard_join, language_id, packing, quality_rules
+from saldo.llm import fingerprints, jaccard_join, language_id, packing, pii, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,8 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.joined(table(spark, folder, "documents"))
+
+
+@query
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.found(table(spark, folder, "documents"))
