@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import fingerprints, jaccard_join, language_id, packing, pii, quality_rules
+from saldo.llm import fingerprints, jaccard_join, language_id, packing, pii, quality_rules, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,8 @@ def op2_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.found(table(spark, folder, "documents"))
+
+
+@query
+def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judged(table(spark, folder, "pages"))
