@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saldo.llm import fingerprints, jaccard_join, language_id, packing, pii, quality_rules, url_filters
+from saldo.llm import (
+    fingerprints,
+    html_rendering,
+    jaccard_join,
+    language_id,
+    license_scan,
+    packing,
+    pii,
+    quality_rules,
+    sampled_pieces,
+    url_filters,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +67,18 @@ def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judged(table(spark, folder, "pages"))
+
+
+@query
+def op7_sampled_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return sampled_pieces.sampled(table(spark, folder, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
+@query
+def op8_html_rendering(spark: SparkSession, folder: str) -> DataFrame:
+    return html_rendering.extract(table(spark, folder, "pages"))
