@@ -98,13 +98,17 @@ def next_markers(cached: DataFrame, current: DataFrame, pushed: DataFrame) -> Da
 def latest_status(sync_log: DataFrame) -> DataFrame:
     """Per company the last status, time, error and counts; a skipped run counts as success.
 
+    A run that is still incomplete has no time of success.
+
     Counts come from the last run that reported any, since failed and skipped runs leave them as they were.
     """
     order = F.struct("synced_at", "seq") if "seq" in sync_log.columns else F.struct("synced_at")
     wrote = F.col("status") == "success"
     done = F.col("status").isin("success", "skipped")
     return sync_log.groupBy("company_id").agg(
-        F.when(F.max_by("status", order) == "error", "error").otherwise("success").alias("last_status"),
+        F.when(F.max_by("status", order).isin("error", "incomplete"), F.max_by("status", order))
+        .otherwise("success")
+        .alias("last_status"),
         F.max(F.when(done, F.col("synced_at"))).alias("last_synced_at"),
         F.max_by("error_message", order).alias("last_error"),
         F.max_by(F.when(wrote, F.col("records")), F.when(wrote, order)).alias("last_records"),

@@ -106,12 +106,13 @@ def section_fallback(candidates: list[DataFrame], scope: list[str] = ("company_i
 
 
 def dense_or_summary(stock: DataFrame, summary: DataFrame, scope: list[str] = ("company_id",)) -> DataFrame:
-    """Stock rows of a company, or its summary report when no stock row carries a value or a rate."""
+    """Stock rows of a company; its summary report instead, where it has one and no stock row carries a value or a rate."""
     scope = list(scope)
     carries = (F.coalesce("closing_value", F.lit(0)) != 0) | (F.coalesce("rate", F.lit(0)) != 0)
     dense = stock.filter(carries).select(*scope).distinct()
-    return stock.join(dense, scope, "left_semi").unionByName(
-        summary.join(dense, scope, "left_anti").select(*stock.columns)
+    instead = summary.select(*scope).distinct().join(dense, scope, "left_anti")
+    return stock.join(instead, scope, "left_anti").unionByName(
+        summary.join(instead, scope, "left_semi").select(*stock.columns)
     )
 
 

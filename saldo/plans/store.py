@@ -6,8 +6,8 @@ Its commit row is written last; readers look only at committed batches, so all t
 ``compact`` rewrites the current state as a single batch.
 
 Reading keeps, by table: upserted rows of the last batch per key; children with their voucher (vouchers are
-stored with items and entries nested, so a rewritten voucher replaces its children); and of replaced sections
-the rows of the last batch that provided the section, which may have had none.
+stored with items and entries nested, so a rewritten voucher replaces its children); and of replaced tables, for
+each source section, the rows of its newest fetch, which may have had none. A fetch may come in any number of batches.
 """
 
 from __future__ import annotations
@@ -25,11 +25,16 @@ NESTED = {
     "ledger_entries": LEDGER_ENTRY,
 }
 INTERNAL = {
-    "provided": "company_id string, section string",
+    "provided": "company_id string, section string, origin string, fetched_at string",
+    "arrivals": "company_id string, section string, fetched_at string",
+    "seen_markers": """company_id string, alter_id string, alt_vch_id string, vch_id string, alt_mst_id string,
+                       last_voucher_date date, fetched_at string, path string, pos int""",
     "commits": "committed_at timestamp, input string",
     "quarantine": "company_id string, section string, fetched_at string, path string, error string",
 }
 REPLACED = tuple(t.name for t in TABLES.values() if t.rule == "replace")
+# Of a replaced row: the section it was read from, and the fetch.
+FETCH = ("origin", "fetched_at")
 
 
 def _schema(table: str) -> StructType:
@@ -39,6 +44,9 @@ def _schema(table: str) -> StructType:
     if table == "vouchers":
         for name, columns in NESTED.items():
             schema = schema.add(name, ArrayType(StructType.fromDDL(columns)))
+    if table in REPLACED:
+        for name in FETCH:
+            schema = schema.add(name, "string")
     return schema
 
 
@@ -104,15 +112,17 @@ class LedgerStore:
                 latest = latest.withColumn("id", surrogate_id("company_id", "tally_guid"))
             return latest.drop("batch_id")
         if rule == "replace":
-            last = (
-                self.committed("provided")
-                .filter(F.col("section") == table)
-                .groupBy("company_id")
-                .agg(F.max("batch_id").alias("batch_id"))
-            )
-            return rows.join(last, ["company_id", "batch_id"], "left_semi").drop("batch_id")
+            return self._newest(table, rows).drop("batch_id", *FETCH)
         return rows
 
+    def fetches(self) -> DataFrame:
+        """The newest fetch of each source section of the replaced tables, over all committed batches."""
+        return self.committed("provided").groupBy("company_id", "section", "origin").agg(F.max("fetched_at").alias("fetched_at"))
+
+    def _newest(self, table: str, rows: DataFrame) -> DataFrame:
+        last = self.fetches().filter(F.col("section") == table)
+        return rows.join(last, ["company_id", *FETCH], "left_semi")
+
     def _children(self, table: str) -> DataFrame:
         column = "items" if table == "voucher_items" else "ledger_entries"
         rows = self.committed("vouchers").select("company_id", "tally_guid", column, "batch_id")
@@ -140,10 +150,14 @@ class LedgerStore:
                 continue
             if name == "vouchers":
                 rows = W.latest_per_key(self.committed(name), list(table.key), [F.col("batch_id").desc()])
+            elif table.rule == "replace":
+                rows = self._newest(name, self.committed(name))
             else:
                 rows = self.read(name)
             target.write(name, rows, 0)
-        target.write("provided", self.committed("provided").select("company_id", "section").distinct(), 0)
+        target.write("provided", self.fetches(), 0)
+        for name in ("arrivals", "seen_markers"):
+            target.write(name, self.committed(name), 0)
         target.commit(0, committed_at)
         return target
 

@@ -28,12 +28,18 @@ SOURCES = {
     "trial_balance": (("trial_balance",), "need_reports"),
 }
 
+# Tables of which either section will do; of the others all are needed.
+EITHER = ("stock_items",)
+
 # Columns used of sections that may not have arrived.
 INFO = "company_id string, name string, books_from date, books_to date, gstin string, address string, fetched_at string, path string, pos int"
 MARKS = """company_id string, alter_id string, alt_vch_id string, vch_id string, alt_mst_id string,
            last_voucher_date date, fetched_at string, path string, pos int"""
 
 
+ARRIVALS = "company_id string, section string, fetched_at string"
+
+
 def together(writes: list[Callable[[], None]]) -> None:
     """Run independent writes as concurrent Spark jobs; the first failure is raised."""
     with ThreadPoolExecutor(max_workers=8) as pool:
@@ -79,10 +85,13 @@ class Staged:
             unknown = unknown.unionByName(self.all(name).filter(F.col("error").isNotNull()).select(*columns))
         return unknown
 
-    def provided(self, names: list[str]) -> DataFrame:
-        """Companies for which every one of the sections arrived."""
-        parts = [self.all(n).filter(F.col("error").isNull()).select("company_id").distinct() for n in names]
-        return reduce(lambda a, b: a.join(b, "company_id", "left_semi"), parts)
+    def arrivals(self) -> DataFrame:
+        """(company_id, section, fetched_at) of what arrived whole, rows or none."""
+        found = None
+        for name in sorted(self.present):
+            part = self.all(name).filter(F.col("error").isNull()).select("company_id", F.lit(name).alias("section"), "fetched_at")
+            found = part.distinct() if found is None else found.unionByName(part.distinct())
+        return self.store.spark.createDataFrame([], ARRIVALS) if found is None else found
 
 
 def _last_write() -> list:
@@ -98,8 +107,11 @@ def refresh(
 ) -> None:
     """Merge one batch of landed responses. A committed batch is not run again, an uncommitted one starts over.
 
-    A company with a failed or cut-off response is left as it is and logged as an error; one whose markers
-    are unchanged is logged as skipped. Markers and the commit come last.
+    A fetch (company, fetched_at) may come in any number of batches, cut anywhere: rows are stored as they come, and of a
+    replaced table the newest fetch of each source section is read. A company's markers move on when every section that
+    its plan asks for has arrived for the fetch; until then it is logged as incomplete. A company with a failed or cut-off
+    response is left as it is and logged as an error; one whose markers are unchanged is logged as skipped. Markers and
+    the commit come last.
     """
     spark = store.spark
     if enabled is not None:
@@ -120,8 +132,14 @@ def refresh(
 
     # What changed, per company that is in order.
     info = W.latest_per_key(staged.rows("company_info", INFO), ["company_id"], _last_write())
-    current = W.latest_per_key(staged.rows("alter_ids", MARKS), ["company_id"], _last_write())
-    seen = staged.texts.select("company_id").distinct().join(failed, "company_id", "left_anti")
+    newest = staged.texts.groupBy("company_id").agg(F.max("fetched_at").alias("fetched_at"))
+    store.write("arrivals", staged.arrivals(), batch_id)
+    store.write("seen_markers", staged.rows("alter_ids", MARKS), batch_id)
+    # The markers and sections of the fetch that this batch belongs to, of this and earlier batches.
+    markers = _so_far(store, "seen_markers", batch_id).join(newest, ["company_id", "fetched_at"], "left_semi")
+    current = W.latest_per_key(markers, ["company_id"], _last_write())
+    arrived_all = _so_far(store, "arrivals", batch_id).join(newest, ["company_id", "fetched_at"], "left_semi")
+    seen = newest.select("company_id").join(failed, "company_id", "left_anti")
     fallback = F.to_date(at)
     years = info.filter(F.col("books_from").isNotNull() & F.col("books_to").isNotNull())
     bounds = seen.join(years.select("company_id", "books_from", "books_to"), "company_id", "left").select(
@@ -136,20 +154,18 @@ def refresh(
     provided, writes = None, []
     for table, (names, flag) in SOURCES.items():
         arrived = [n for n in names if n in staged.present]
-        if not arrived or (table == "outstanding" and len(arrived) < len(names)):
+        if not arrived:
             continue
-        rows = staged.rows(arrived[0])
-        if len(arrived) == 2:
-            both = G.dense_or_summary if table == "stock_items" else G.union_outstanding
-            rows = both(rows, staged.rows(arrived[1]))
-        there = staged.provided(arrived if table == "outstanding" else arrived[:1])
+        parts = [staged.rows(n).withColumn("origin", F.lit(n)) for n in arrived]
+        rows = parts[0] if len(parts) == 1 else (G.dense_or_summary if table in EITHER else G.union_outstanding)(*parts)
         rows = C.with_changes(rows, plan, flag)
-        if table in REPLACED:
-            rows = rows.join(there, "company_id", "left_semi")
-        else:
+        if table not in REPLACED:
             rows = W.latest_per_key(rows, list(TABLES[table].key), _last_write())
         writes.append(lambda t=table, r=rows.withColumn("synced_at", at): store.write(t, r, batch_id))
-        there = C.with_changes(there, plan, flag).withColumn("section", F.lit(table))
+        there = staged.arrivals().filter(F.col("section").isin(*arrived)).select(
+            "company_id", F.lit(table).alias("section"), F.col("section").alias("origin"), "fetched_at"
+        )
+        there = C.with_changes(there, plan, flag)
         provided = there if provided is None else provided.unionByName(there)
     if provided is not None:
         writes.append(lambda: store.write("provided", provided, batch_id))
@@ -164,25 +180,46 @@ def refresh(
     written = {table: store.files(table).filter(F.col("batch_id") == batch_id) for table in SOURCES}
     here = store.files("provided").filter(F.col("batch_id") == batch_id)
     counts = _counts(here, written)
+    complete = _complete(plan, arrived_all)
+    done = F.when(~F.col("has_changes"), "skipped").when(F.col("complete"), "success").otherwise("incomplete")
     log = (
-        plan.select("company_id", F.when(F.col("has_changes"), "success").otherwise("skipped").alias("status"))
+        complete.select("company_id", done.alias("status"))
         .withColumn("error_message", F.lit(None).cast("string"))
         .unionByName(failed.withColumn("status", F.lit("error")))
         .join(counts, "company_id", "left")
         .withColumn("synced_at", at)
     )
     store.write("sync_log", log, batch_id)
-    store.write("change_markers", C.with_changes(current, plan), batch_id)
+    moved = complete.filter("has_changes AND complete").select("company_id")
+    store.write("change_markers", current.join(moved, "company_id", "left_semi"), batch_id)
     store.commit(batch_id, synced_at, read)
 
 
+def _so_far(store: LedgerStore, table: str, batch_id: int) -> DataFrame:
+    """Rows of the committed batches and of this one."""
+    here = store.files(table).filter(F.col("batch_id") == batch_id)
+    return store.committed(table).filter(F.col("batch_id") != batch_id).unionByName(here).drop("batch_id")
+
+
+def _complete(plan: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The plan with ``complete``: whether every section it asks for is among those that arrived for the fetch."""
+    # At most one entry per section defined.
+    sections = arrived.groupBy("company_id").agg(F.collect_set("section").alias("sections"))
+    complete = F.lit(True)
+    for table, (names, flag) in SOURCES.items():
+        there = [F.array_contains(F.coalesce("sections", F.array().cast("array<string>")), n) for n in names]
+        enough = reduce(lambda a, b: (a | b) if table in EITHER else (a & b), there)
+        complete = complete & (~F.col(flag) | enough)
+    return plan.join(sections, "company_id", "left").withColumn("complete", complete)
+
+
 def _counts(provided: DataFrame, written: dict[str, DataFrame]) -> DataFrame:
     """Rows per provided section; a section that arrived empty counts 0, one that did not arrive is left out."""
     rows = None
     for table, df in written.items():
         part = df.groupBy("company_id").agg(F.count(F.lit(1)).alias("n")).withColumn("section", F.lit(table))
         rows = part if rows is None else rows.unionByName(part)
-    listed = provided.select("company_id", "section").join(rows, ["company_id", "section"], "left")
+    listed = provided.select("company_id", "section").distinct().join(rows, ["company_id", "section"], "left")
     entry = F.struct("section", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
     return listed.groupBy("company_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("records_synced")

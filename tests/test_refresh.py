@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from saldo.operators import merge as G
 from saldo.plans import sync
 from saldo.plans.store import LedgerStore
 from saldo.sources import responses as R, sections as X
@@ -41,12 +42,22 @@ def balances(store):
     return {(r["company_id"], r["name"]): int(r["closing_balance"]) for r in store.read("ledgers").collect()}
 
 
+NOTHING = "<ENVELOPE></ENVELOPE>"
+ALL = [n for names, _ in sync.SOURCES.values() for n in names]
+
+
+def rest(company, stamp, *there):
+    """Empty documents of the sections that are not among ``there``."""
+    return [(company, n, stamp, NOTHING) for n in ALL if n not in there]
+
+
 def test_refresh_cycle(spark, tmp_path):
     store = LedgerStore(spark, str(tmp_path / "store"))
     first = landed(
         spark,
         ("1", "alter_ids", "1", marks(1, 1, 1)), ("1", "ledgers", "1", ledgers(("A", 1), ("B", 2))), ("1", "vouchers", "1", collection(voucher())),
         ("1", "outstanding_receivables", "1", RECEIVABLES), ("1", "outstanding_payables", "1", "<ENVELOPE></ENVELOPE>"), ("1", "profit_loss", "1", PNL),
+        *rest("1", "1", "ledgers", "vouchers", "outstanding_receivables", "outstanding_payables", "profit_loss"),
         ("2", "ledgers", "1", ledgers(("A", 7))), ("2", "profit_loss", "1", PNL),
         ("3", "ledgers", "1", ledgers(("A", 7))[:-30]), ("3", "profit_loss", "1", PNL), ("4", "mystery", "1", "<ENVELOPE/>"),
     )
@@ -55,7 +66,9 @@ def test_refresh_cycle(spark, tmp_path):
     assert balances(store) == {("1", "A"): 1, ("1", "B"): 2, ("2", "A"): 7}
     assert store.read("outstanding").count() == 2 and store.read("profit_loss").count() == 10
     log = {r["company_id"]: r for r in sync.status(store).collect()}
-    assert log["1"]["last_records"] == {"ledgers": 2, "vouchers": 1, "outstanding": 2, "profit_loss": 5}
+    counts = {k: n for k, n in log["1"]["last_records"].items() if n}
+    assert counts == {"ledgers": 2, "vouchers": 1, "outstanding": 2, "profit_loss": 5}
+    assert log["2"]["last_status"] == "incomplete"
     assert (log["3"]["last_status"], log["3"]["last_error"]) == ("error", "Malformed document")
     assert log["4"]["last_error"] == "Unknown section"
 
@@ -75,7 +88,7 @@ def test_refresh_cycle(spark, tmp_path):
     assert {r["company_id"] for r in store.read("profit_loss").collect()} == {"1"}
     assert {r["company_id"]: r["last_status"] for r in sync.status(store).collect()}["1"] == "success"
 
-    # A rewritten voucher takes its children with it; only one half of the bills leaves them alone.
+    # A rewritten voucher takes its children with it. One half of the bills replaces that half; the markers wait.
     third = landed(
         spark, ("1", "alter_ids", "3", marks(2, 2, 1)), ("1", "vouchers", "3", collection(voucher("5", items=""))),
         ("1", "outstanding_receivables", "3", "<ENVELOPE></ENVELOPE>"), ("1", "ledgers", "3", ledgers(("A", 100))),
@@ -83,19 +96,55 @@ def test_refresh_cycle(spark, tmp_path):
     sync.refresh(store, third, 2, AT)
     assert [int(r["amount"]) for r in store.read("vouchers").collect()] == [5]
     assert store.read("voucher_items").count() == 0 and store.read("voucher_ledger_entries").count() == 2
-    assert store.read("outstanding").count() == 2
+    assert store.read("outstanding").count() == 0
     # Masters did not change, so the ledgers were not asked for.
     assert balances(store)[("1", "A")] == 1
+    assert store.read("change_markers").first()["alter_id"] == "1"
+    assert {r["company_id"]: r["last_status"] for r in sync.status(store).collect()}["1"] == "incomplete"
+
+    # The rest of the fetch, a batch later and without the markers, completes it.
+    sync.refresh(store, landed(spark, *rest("1", "3", "vouchers", "outstanding_receivables")), 3, AT)
     assert store.read("change_markers").first()["alter_id"] == "2"
+    assert {r["company_id"]: r["last_status"] for r in sync.status(store).collect()}["1"] == "success"
 
     # A batch without its commit is not seen.
-    store.write("ledgers", spark.createDataFrame([("9", "Z")], "company_id string, name string"), 3)
+    store.write("ledgers", spark.createDataFrame([("9", "Z")], "company_id string, name string"), 4)
     assert ("9", "Z") not in {(r["company_id"], r["name"]) for r in store.read("ledgers").collect()}
 
     compact = store.compact(str(tmp_path / "compact"), AT)
     assert everything(compact) == everything(store)
 
 
+def test_any_cut_into_batches_gives_the_same_state(spark, tmp_path):
+    payables = RECEIVABLES.replace("<BILLREF>", "<BILLREF>P")
+    fetch = [
+        ("1", "alter_ids", "1", marks(1, 1, 1)), ("1", "ledgers", "1", ledgers(("A", 1))), ("1", "ledgers", "1", ledgers(("B", 2))),
+        ("1", "outstanding_receivables", "1", RECEIVABLES), ("1", "outstanding_payables", "1", payables),
+        ("1", "profit_loss", "1", PNL), ("1", "profit_loss", "1", PNL.replace("18300", "777")), ("1", "vouchers", "1", collection(voucher())),
+        *rest("1", "1", "ledgers", "outstanding_receivables", "outstanding_payables", "profit_loss", "vouchers"),
+    ]
+    whole = LedgerStore(spark, str(tmp_path / "whole"))
+    docs = landed(spark, *fetch)
+    sync.refresh(whole, docs, 0, AT)
+    cut = LedgerStore(spark, str(tmp_path / "cut"))
+    for part in range(3):
+        sync.refresh(cut, docs.filter(F.pmod(F.xxhash64("path"), F.lit(3)) == part), part, AT)
+        if part < 2:
+            assert cut.read("change_markers").count() == 0
+    assert everything(cut) == everything(whole)
+    assert cut.read("outstanding").count() == 4 and cut.read("profit_loss").count() == 10
+
+
+def test_stock_fallback_is_per_company(spark):
+    rows = lambda *r: spark.createDataFrame(r, "company_id string, name string, closing_value decimal(18,2), rate decimal(18,4)")
+    from decimal import Decimal
+
+    listed = rows(("1", "sparse", None, None), ("2", "dense", Decimal(5), None), ("3", "sparse", None, None))
+    summary = rows(("2", "summary", Decimal(1), None), ("3", "summary", Decimal(2), None), ("4", "summary", Decimal(3), None))
+    got = G.dense_or_summary(listed, summary).collect()
+    assert sorted((r[0], r[1]) for r in got) == [("1", "sparse"), ("2", "dense"), ("3", "summary"), ("4", "summary")]
+
+
 def write(root, company, section, stamp, text, encoding="utf-8"):
     folder = Path(root) / f"company={company}" / f"section={section}" / f"fetched_at={stamp}"
     folder.mkdir(parents=True, exist_ok=True)
