@@ -7,13 +7,13 @@ if it passes under all of them:
 
 * by hash, over all documents: prefixes long enough to share a tenth of a document. A document of which fewer shingles
   there occur anywhere else is done with; no counts of all shingles are needed for this.
-* by rarity, among the others: the rarest shingles of each set, of which those that occur nowhere else are left out.
-  Groups of candidates come from these.
+* by rarity, among the others, over prefixes of half a set: the rarest shingles of each, of which those that occur nowhere
+  else are left out. Groups of candidates come from these.
 * by hash and by another hash, full sets against each other: the prefixes of a pair must meet under both.
 
-Documents of the same set form a class and are compared once. The classes around one rare shingle are first compared with
-one pivot only; what that has connected need not be compared again to know the components. Pairs across them follow, in
-blocks of classes within a task and without writing out the pairs. No link is lost. `n_links` counts the documents that
+Documents of the same set form a class and are compared once. The classes around one rare shingle are compared in blocks,
+each within a task and without writing out the pairs: with one pivot, and only what does not link with it with the others,
+for what is connected need not be compared again to know the components. No link is lost. `n_links` counts the documents that
 each links with, in blocks of the classes of a component.
 
 Hashes have 64 bits; classes are told apart by 128.
@@ -37,8 +37,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from saldo.llm.components import components, written
 from saldo.llm.shingles import mix, shingle_sets
 
-#: Classes per block when links are counted.
+#: Classes per block.
 BLOCK = 256
+#: The share of a set that linked ones must share under the order by hash, when rarity is looked at.
+SEVERAL = 0.3
 
 
 def prefix_length(n, k=1):
@@ -97,43 +99,11 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= 80 * (len(a) + len(b) - both)
-
-
 def _prefix_of_other_order(hashes: np.ndarray) -> np.ndarray:
     length, keys = prefix_length(len(hashes)), mix(hashes ^ np.uint64(0x5851F42D4C957F2D))
     return keys if length >= len(keys) else np.partition(keys, length - 1)[:length]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, tokens of a, tokens of b) that link."""
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        (xs, xo), (ys, yo) = (
-            (c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3))
-        )
-        kept = np.zeros(len(a), dtype=bool)
-        for i in range(len(a)):
-            x, y = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
-            if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
-                continue
-            if not len(np.intersect1d(x[: prefix_length(len(x))], y[: prefix_length(len(y))], assume_unique=True)):
-                continue
-            if not len(np.intersect1d(_prefix_of_other_order(x), _prefix_of_other_order(y), assume_unique=True)):
-                continue
-            kept[i] = _linked(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link."""
-    one = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
-    two = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-
-
 def _candidates(docs: DataFrame) -> DataFrame:
     """The doc_id of the documents that pass the order by hash; null for those without one."""
     made = docs.mapInArrow(_prefixes, "doc_id long, need int, tokens array<long>")
@@ -163,8 +133,15 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
-    """(token, class): of each class the shingles that one of any linked class must be among, by rarity."""
-    tokens = sets.select("class", F.explode("tokens").alias("token"))
+    """(token, class): of each class the shingles that one of any linked class must be among, by rarity.
+
+    The order by rarity is over the prefixes under the order by hash that are long enough to share SEVERAL of n: linked
+    classes share that many there, so that one is among the rarest but so many. What occurs in no other prefix comes
+    first in the order and cannot be shared: so many fewer are left to take.
+    """
+    several = lambda n: F.floor(F.expr(n) * SEVERAL).cast("int")
+    taken = F.least(F.col("n"), F.expr("n - (4 * n + 4) div 5") + F.greatest(F.lit(1), several("n")))
+    tokens = sets.select("class", F.explode(F.slice("tokens", 1, taken.cast("int"))).alias("token"))
     rarity = written(tokens.groupBy("token").count().where("count > 1"), "rarity")
     shared = (
         tokens.join(rarity, "token")
@@ -172,30 +149,44 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
         .join(sets.select("class", "n"), "class")
     )
-    # What occurs nowhere else comes first in the order and cannot be shared: so many fewer are left to take.
-    left = F.expr("cast(size(shared) - (4 * n + 4) div 5 + 1 AS int)")
+    # A linked class has at least 4/5 as many shingles, and shares no fewer than this.
+    left = F.size("shared") - F.greatest(F.lit(1), several("(4 * n + 4) div 5")) + 1
     return written(
         shared.where(left > 0)
-        .select("class", F.explode(F.slice("shared", 1, left)).alias("s"))
+        .select("class", F.explode(F.slice("shared", 1, left.cast("int"))).alias("s"))
         .select("s.token", "class"),
         "rare",
     )
 
 
-def links_of_classes(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between classes that connect all that is connected; not every link within a component."""
+def links_of_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes that connect all that is connected, and the sets of all that may be linked.
+
+    The classes around a shingle are one group, called by the smallest of them, the pivot; shingles of the same classes
+    mostly have the same pivot. A group is dealt into blocks by a digest, and the pivot put into each of them. Within a
+    block each class is compared with the pivot, and those that do not link with it with all others.
+    """
     rare = rare_prefixes(sets)
     pivots = rare.groupBy("token").agg(F.min("class").alias("pivot"))
-    # The classes around the shingles of one pivot; shingles of the same documents mostly have the same pivot.
-    groups = written(rare.join(pivots, "token").select("pivot", "class").distinct(), "groups")
-    pairs = groups.where("pivot <> class").select(F.col("pivot").alias("a"), F.col("class").alias("b"))
-    links = written(verified(pairs, sets), "links")
-    # Only pairs across what is now connected are left to compare.
+    groups = rare.join(pivots, "token").select("pivot", "class").distinct()
+    counts = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    groups = groups.join(counts.where("size > 1").select("pivot", "blocks"), "pivot")
+    at = F.when(F.col("pivot") == F.col("class"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    )
+    groups = written(groups.select("pivot", "class", "blocks", F.explode(at).alias("block")), "groups")
+    members = written(
+        sets.select("class", "n", "copies", "tokens").join(groups.select("class").distinct(), "class", "left_semi"), "members"
+    )
+    rows = groups.join(members.select("class", "n", "tokens"), "class")
+    links = written(rows.groupBy("pivot", "block").applyInPandas(_within, "a long, b long").distinct(), "links")
+    # Groups of several blocks: what is still apart in different blocks is compared across them.
+    parted = groups.where("blocks > 1").select("pivot", "class").distinct()
     found = components(links).withColumnRenamed("node", "class")
-    placed = groups.join(found, "class", "left").withColumn("place", F.coalesce("component", "class"))
-    own = placed.where("pivot = class").select("pivot", F.col("place").alias("home"))
-    placed = placed.join(own, "pivot").select("pivot", "class", "place", (F.col("place") != F.col("home")).alias("out"))
-    return links.unionByName(links_across(written(placed, "placed"), sets))
+    placed = parted.join(found, "class", "left").withColumn("place", F.coalesce("component", "class"))
+    home = placed.where("pivot = class").select("pivot", F.col("place").alias("home"))
+    placed = placed.join(home, "pivot").select("pivot", "class", "place", (F.col("place") != F.col("home")).alias("out"))
+    return links.unionByName(links_across(written(placed, "placed"), members)), members
 
 
 def links_across(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -244,28 +235,73 @@ def _blocks(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
     return first, (first if frame.i.iloc[0] == frame.j.iloc[0] else second)
 
 
-def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    left, right = _blocks(frame)
-    links = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    if not len(left) or not len(right):
-        return links
+def _linked(left: pd.DataFrame, right: pd.DataFrame, asked: np.ndarray) -> np.ndarray:
+    """Which of the asked pairs link; a pair is compared only if its prefixes meet under both orders by hash."""
     xs, ys = ([np.asarray(t, dtype=np.int64).view(np.uint64) for t in part.tokens] for part in (left, right))
     n, m = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
-    asked = (left.place.to_numpy()[:, None] != right.place.to_numpy()[None, :]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
-    # A pair is compared only if its prefixes meet under both orders by hash.
-    for prefix in (lambda x: x[: prefix_length(len(x))], _prefix_of_other_order):
+    asked = asked & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+    linked = np.zeros_like(asked)
+    for prefix in (lambda x: x[: prefix_length(len(x))], _prefix_of_other_order, None):
         rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
         if not len(rows):
-            return links
-        asked[np.ix_(rows, columns)] &= _overlaps([prefix(xs[i]) for i in rows], [prefix(ys[j]) for j in columns]) > 0
-    rows, columns = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
-    if not len(rows):
-        return links
-    both = _overlaps([xs[i] for i in rows], [ys[j] for j in columns])
-    linked = asked[np.ix_(rows, columns)] & (100 * both >= 80 * (n[rows] + m[:, columns] - both))
-    i, j = np.nonzero(linked)
-    found = pd.DataFrame({"a": left["class"].to_numpy()[rows[i]], "b": right["class"].to_numpy()[columns[j]]})
-    found["p"], found["q"] = left.place.to_numpy()[rows[i]], right.place.to_numpy()[columns[j]]
+            return linked
+        change = prefix or (lambda x: x)
+        both = _overlaps([change(xs[i]) for i in rows], [change(ys[j]) for j in columns])
+        part = np.ix_(rows, columns)
+        if prefix:
+            asked[part] &= both > 0
+        else:
+            linked[part] = asked[part] & (100 * both >= 80 * (n[rows] + m[:, columns] - both))
+    return linked
+
+
+_NO_LINKS = {"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")}
+
+
+def _within(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links within one block of a group: of the pivot, and of what does not link with it."""
+    frame = frame.sort_values("class").reset_index(drop=True)
+    own = frame[frame["class"] == frame["pivot"]].reset_index(drop=True)
+    linked = _linked(own, frame, (frame["class"] != frame["pivot"]).to_numpy()[None, :])[0]
+    rest = frame[~linked & (frame["class"] != frame["pivot"]).to_numpy()].reset_index(drop=True)
+    names = frame["class"].to_numpy()
+    found = [pd.DataFrame({"a": names[linked], "b": int(frame["pivot"].iloc[0])})]
+    if len(rest):
+        i, j = np.nonzero(_linked(rest, frame, rest["class"].to_numpy()[:, None] != names[None, :]))
+        # One link of each to the classes that hang on the pivot, and all among the others, in one direction.
+        more = pd.DataFrame({"a": rest["class"].to_numpy()[i], "b": names[j], "hangs": linked[j]})
+        found.append(more[more.hangs].drop_duplicates("a")[["a", "b"]])
+        others = more[~more.hangs & (more.a > more.b)]
+        found.append(_forest(others[["a", "b"]]))
+    return pd.concat(found)
+
+
+def _forest(links: pd.DataFrame) -> pd.DataFrame:
+    """Of links those that connect anew, in order."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    kept = []
+    for a, b in zip(links.a.tolist(), links.b.tolist(), strict=True):
+        x, y = root(a), root(b)
+        kept.append(x != y)
+        if x != y:
+            parent[x] = y
+    return links[np.array(kept, dtype=bool)]
+
+
+def _across(frame: pd.DataFrame) -> pd.DataFrame:
+    """One link at most for two places, between two blocks."""
+    left, right = _blocks(frame)
+    if not len(left) or not len(right):
+        return pd.DataFrame(_NO_LINKS)
+    i, j = np.nonzero(_linked(left, right, left.place.to_numpy()[:, None] != right.place.to_numpy()[None, :]))
+    found = pd.DataFrame({"a": left["class"].to_numpy()[i], "b": right["class"].to_numpy()[j]})
+    found["p"], found["q"] = left.place.to_numpy()[i], right.place.to_numpy()[j]
     return found.drop_duplicates(["p", "q"])[["a", "b"]]
 
 
@@ -302,24 +338,25 @@ def count_links(sets: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataF
     )
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The classes that may have links or copies, and (class, component) of each."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The classes that may have links or copies; the sets of those that may have links; (class, component) of all."""
     sets = classes(docs)
-    found = components(links_of_classes(sets)).withColumnRenamed("node", "class")
+    links, members = links_of_classes(sets)
+    found = components(links).withColumnRenamed("node", "class")
     # Classes without links to others are components of their own.
     placed = sets.select("class").join(found, "class", "left")
-    return sets, written(placed.withColumn("component", F.coalesce("component", "class")), "placed")
+    return sets.drop("tokens"), members, written(placed.withColumn("component", F.coalesce("component", "class")), "placed")
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """Per document its number of shingles, its component (smallest doc_id reachable by links) and its links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets, placed = _placed(docs)
+    sets, members, placed = _placed(docs)
     keys = sets.select("class", "high", "low", "first_id", "copies").join(placed, "class")
     several = keys.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("first_id").alias("component_id"))
     several = written(several, "components")
     linked = placed.join(several.where("size > 1").select("component"), "component")
-    known = keys.join(several, "component").join(count_links(sets, linked), "class", "left")
+    known = keys.join(several, "component").join(count_links(members, linked), "class", "left")
     known = written(
         known.select("high", "low", "component_id", (F.coalesce("links", "copies") - 1).alias("n_links")), "known"
     )
@@ -348,7 +385,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets, placed = _placed(plain)
+    sets, _, placed = _placed(plain)
     keys = sets.select("class", "high", "low", "first_id").join(placed, "class")
     first = keys.groupBy("component").agg(
         F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "high", "low")).alias("_first")
