@@ -34,7 +34,7 @@ from saldo.session import new_folder
 CAPACITY = 1024
 END = 2
 #: Different runs whose ids a worker keeps in each of two generations.
-MEMO = 250_000
+MEMO = 80_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -52,7 +52,7 @@ _SECOND = np.zeros(256, dtype=bool)
 _SECOND[0x80:0xC0] = True
 _SECOND[[0x97, 0xB7]] = False
 #: Coded at once, in bytes.
-CHUNK = 1 << 21
+CHUNK = (1 << 20) - 2
 
 
 class _Memo(dict):
@@ -80,6 +80,10 @@ class _Memo(dict):
         self[run] = found
         return found
 
+    def forget(self) -> None:
+        self._older = {}
+        self.clear()
+
     def tidy(self) -> None:
         if len(self) > self._most:
             self._older = dict(self)
@@ -142,6 +146,10 @@ class Ids:
         for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
             yield ids[a:b] if plain[i] else self.whole(raw[bounds[i] : bounds[i + 1]].decode())
 
+    def forget(self) -> None:
+        """Gives the memory of remembered runs back; workers live on between tasks."""
+        self._memo.forget()
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
@@ -198,6 +206,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names
                 )
+        ids.forget()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
