@@ -83,7 +83,7 @@ def wording(template: list[str], block: list[str]) -> tuple[int, bool]:
         row[1:] = np.minimum(row[1:], steps[i - 1, :-1] + (have != codes.get(word, -1)))
         # Added words cost one each: a running minimum of what is left of each place.
         steps[i] = np.minimum.accumulate(row - offset) + offset
-    j = int(np.argmin(steps[-1]))
+    j = len(block) - int(np.argmin(steps[-1, ::-1]))  # of equal ones the last, which matches more words
     i, count, decisive = len(template), int(steps[-1, j]), False
     while i:
         if j and steps[i, j] == steps[i - 1, j - 1] + (template[i - 1] != block[j - 1]):

@@ -34,7 +34,7 @@ from saldo.llm.shingles import column_bytes, hash_runs, mix
 VOCABULARY = "piece_bpe_32k.model"
 THETA = 1.0
 SHIFT = 10
-CHUNK = 1 << 21
+CHUNK = (1 << 19) - 2
 _SIGN = "▁"
 
 
