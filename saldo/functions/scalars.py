@@ -59,8 +59,8 @@ def abs_float(c) -> Column:
 
 
 def int_of_float(c) -> Column:
-    """Whole part of a number text: ``12.7`` gives 12."""
-    return safe_float(c).cast("int")
+    """Whole part of a number text: ``12.7`` gives 12; null if that is no 32-bit number."""
+    return safe_float(c).try_cast("int")
 
 
 def parse_date(c) -> Column:

@@ -24,5 +24,5 @@ NUMERIC = ("int", "float", "abs_float")
 
 def transform_for(name: str) -> Callable[[Column], Column]:
     if name not in TRANSFORMS:
-        raise ValueError(f"Unsupported transform: {name}")
+        raise ValueError(f"no transform is called {name!r}")
     return TRANSFORMS[name]

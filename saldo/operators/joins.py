@@ -20,7 +20,7 @@ def company_id_of(companies: DataFrame, name: str) -> str:
     """Id of the one company with this name; anything but exactly one is an error."""
     found = companies.filter(F.col("name") == name).select("company_id").limit(2).collect()
     if len(found) != 1:
-        raise CompanyNotFound("Company not found")
+        raise CompanyNotFound(f"{len(found)} companies are called {name!r}")
     return found[0]["company_id"]
 
 
@@ -45,15 +45,16 @@ def missing_vouchers(children: DataFrame, vouchers: DataFrame) -> DataFrame:
 
 
 def item_entry(items: DataFrame) -> Column:
-    return F.struct(*(c for c in items.columns if c not in (*VOUCHER, "voucher_id", "id")))
+    return F.struct(*(c for c in items.columns if c not in (*VOUCHER, "voucher_id", "id", "line")))
 
 
-def vouchers_with_items(vouchers: DataFrame, items: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def vouchers_with_items(vouchers: DataFrame, items: DataFrame, page_rows: int | None = PAGE_ROWS) -> DataFrame:
     """Vouchers with their items as a nested array, empty when there are none.
 
-    A voucher of more than ``page_rows`` items appears once per page of items (``item_page``).
+    A row is one page of a voucher's items, by their ``line``: the key is the voucher and ``item_page``. Vouchers of at most
+    ``page_rows`` items have the page 0 only; without ``page_rows`` every voucher has.
     """
-    nested = paged_lists(items, VOUCHER, item_entry(items), "items", page_rows)
+    nested = paged_lists(items, VOUCHER, item_entry(items), "items", "line", page_rows)
     empty = F.array().cast(nested.schema["items"].dataType)
     return (
         vouchers.join(nested, VOUCHER, "left")

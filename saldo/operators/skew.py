@@ -1,98 +1,20 @@
-"""Keys that hold too many rows for one task: find them, and split their groups without losing rows."""
+"""Groups that hold too many rows for one task, split by their own order: one plan for all data, without counting first."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-# A key above this many rows is handled in pieces; below it one task holds the group with ease.
-HOT_ROWS = 1_000_000
-SALTS = 64
-KNOWN_KEYS = 10_000
 PAGE_ROWS = 10_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``threshold`` rows and their counts: at most rows / threshold of them.
-
-    Counts are combined before the shuffle, so a hot key costs one row per map task.
-    """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hot_rows"))
-        .filter(F.col("hot_rows") > threshold)
-    )
-
-
-def find_hot(df: DataFrame, keys: list[str], threshold: int = HOT_ROWS) -> DataFrame | None:
-    """The hot keys, or None when there are none, which is what most data gives.
-
-    Runs one counting job over the key columns, so that a plan without hot keys needs no branch for them. Up to
-    ``KNOWN_KEYS`` keys come back as a broadcast of that proven size; more are left to a join by size.
-    """
-    hot = hot_keys(df.select(*keys), keys, threshold)
-    found = hot.limit(KNOWN_KEYS + 1).collect()
-    if not found:
-        return None
-    if len(found) <= KNOWN_KEYS:
-        return F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    return hot
-
-
-def mark_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
-    """``df`` with ``hot_rows``, null for ordinary keys.
-
-    The result may be partitioned by ``keys`` alone: repartition it by the finer key before working on pieces.
-    """
-    renamed = hot.select(*(F.col(k).alias(f"__hot_{k}") for k in keys), "hot_rows")
-    condition = reduce(and_, (F.col(k).eqNullSafe(F.col(f"__hot_{k}")) for k in keys))
-    return df.join(renamed, condition, "left").drop(*(f"__hot_{k}" for k in keys))
-
-
 def paged_lists(
-    rows: DataFrame, keys: list[str], entry: Column, name: str, page_rows: int = PAGE_ROWS
+    rows: DataFrame, keys: list[str], entry: Column, name: str, line: str = "line", page_rows: int | None = PAGE_ROWS
 ) -> DataFrame:
-    """Rows of a key gathered into arrays of about ``page_rows`` entries: (keys, page, name).
+    """Rows of a key gathered into sorted arrays by their position: (keys, page, name).
 
-    A key with at most ``page_rows`` rows gives the single page 0. A larger one is spread over
-    rows / page_rows pages by a digest of the entry, and equal entries are first counted and then dealt
-    out in runs, so a heap of copies cannot fill a page either. Nothing is dropped; arrays come sorted.
+    ``line`` is the row's place in its key, from 0 on; page n holds the places from n * ``page_rows`` on, so that a page
+    holds at most ``page_rows`` entries and a large key spreads over many tasks. Without ``page_rows`` all is one page.
     """
-    entries = rows.select(*keys, entry.alias("entry"))
-    hot = find_hot(rows, keys, page_rows)
-    if hot is None:
-        return _gathered(entries, keys, name)
-
-    marked = mark_hot(entries, keys, hot)
-    small = _gathered(marked.filter(F.col("hot_rows").isNull()), keys, name)
-    # Counts do not depend on which salt a row gets, so any spread will do.
-    salted = marked.filter(F.col("hot_rows").isNotNull()).withColumn(
-        "salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
-    )
-    counted = (
-        salted.repartition(*keys, "entry", "salt")
-        .groupBy(*keys, "hot_rows", "entry", "salt")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy(*keys, "hot_rows", "entry")
-        .agg(F.sum("copies").alias("copies"))
-    )
-    last_run = F.floor((F.col("copies") - 1) / F.lit(page_rows))
-    runs = counted.withColumn(
-        "run", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run))
-    ).withColumn("copies", F.least(F.lit(page_rows).cast("bigint"), F.col("copies") - F.col("run") * page_rows))
-    pages = F.ceil(F.col("hot_rows") / F.lit(page_rows))
-    repeated = F.array_repeat(F.col("entry"), F.col("copies").cast("int"))
-    large = (
-        runs.withColumn("page", F.pmod(F.xxhash64("entry", "run"), pages))
-        .repartition(*keys, "page")
-        .groupBy(*keys, "page")
-        .agg(F.sort_array(F.flatten(F.collect_list(repeated))).alias(name))
-    )
-    return small.unionByName(large).select(*keys, "page", name)
-
-
-def _gathered(entries: DataFrame, keys: list[str], name: str) -> DataFrame:
-    lists = entries.groupBy(*keys).agg(F.sort_array(F.collect_list("entry")).alias(name))
-    return lists.select(*keys, F.lit(0).cast("bigint").alias("page"), name)
+    page = F.lit(0) if page_rows is None else F.floor(F.col(line) / F.lit(page_rows))
+    entries = rows.select(*keys, page.cast("bigint").alias("page"), entry.alias("entry"))
+    return entries.groupBy(*keys, "page").agg(F.sort_array(F.collect_list("entry")).alias(name))

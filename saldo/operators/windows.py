@@ -8,57 +8,51 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saldo.functions import scalars as S
-from saldo.operators.skew import HOT_ROWS, find_hot, mark_hot
 
 PARTY = ["company_id", "party_name"]
+# Characters at the beginning of a guid that split a day.
+HEAD = 4
 
 
 def running_balance(
-    vouchers: DataFrame,
-    debit_types: tuple[str, ...] = S.DEBIT_VOUCHER_TYPES,
-    hot_rows: int = HOT_ROWS,
+    vouchers: DataFrame, debit_types: tuple[str, ...] = S.DEBIT_VOUCHER_TYPES, head: int = HEAD
 ) -> DataFrame:
     """Balance of each party after each voucher, by date and then guid, starting from 0.
 
-    An ordinary party is one window group. A party above ``hot_rows`` vouchers is split by day: the days are
-    summed first, each day starts from the total of the days before it, and only a day's vouchers are sorted
-    together. The sums of days come from the same marked rows, and there are few of them.
+    A party's vouchers are split where their order allows it, by day and by the first ``head`` characters of the guid, so
+    that no group holds more than a day's vouchers of one beginning. Totals are carried over in two steps: those of a day's
+    parts within the day, those of days within the party; each of these groups is bounded by the calendar and the alphabet.
     """
     signed = S.signed_amount("voucher_type", "amount", debit_types).cast("decimal(28,2)")
-    rows = vouchers.withColumn("signed_amount", signed)
-    order = [F.col("date").asc_nulls_last(), F.col("tally_guid").asc_nulls_last()]
-    hot = find_hot(vouchers, PARTY, hot_rows)
-    if hot is None:
-        running = Window.partitionBy(*PARTY).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("running_balance", F.sum("signed_amount").over(running).cast("decimal(28,2)"))
-
-    marked = mark_hot(rows, PARTY, hot)
-    by_day = (
-        marked.filter(F.col("hot_rows").isNotNull())
-        .groupBy(*PARTY, F.col("date").alias("hot_day"))
-        .agg(F.sum("signed_amount").alias("day_total"))
-    )
-    days = Window.partitionBy(*PARTY).orderBy(F.col("hot_day").asc_nulls_last())
-    opening = by_day.select(
-        *(F.col(k).alias("d_" + k) for k in (*PARTY, "hot_day")),
-        F.sum("day_total").over(days.rowsBetween(Window.unboundedPreceding, -1)).alias("opening"),
-    )
-    spread = marked.withColumn("hot_day", F.when(F.col("hot_rows").isNotNull(), F.col("date")))
-    within = Window.partitionBy(*PARTY, "hot_day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = spread.repartition(*PARTY, "hot_day").withColumn("within", F.sum("signed_amount").over(within))
-    matched = reduce(
-        and_,
-        (F.col(k).eqNullSafe(F.col("d_" + k)) for k in (*PARTY, "hot_day")),
-        F.col("hot_rows").isNotNull(),
+    rows = vouchers.withColumn("signed_amount", signed).withColumn("__part", F.substring("tally_guid", 1, head))
+    day, part = [*PARTY, "date"], [*PARTY, "date", "__part"]
+
+    def before(total: str, group: list[str], order: str) -> Column:
+        earlier = Window.partitionBy(*group).orderBy(F.col(order).asc_nulls_last())
+        return F.coalesce(F.sum(total).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    by_part = rows.groupBy(*part).agg(F.sum("signed_amount").alias("__total"))
+    by_day = by_part.groupBy(*day).agg(F.sum("__total").alias("__total"))
+    by_day = by_day.select(*(F.col(k).alias("d_" + k) for k in day), before("__total", PARTY, "date").alias("__days"))
+    opening = by_part.select(*part, before("__total", day, "__part").alias("__parts"))
+    opening = opening.join(by_day, _same(day, "d_"), "left").select(
+        *(F.col(k).alias("p_" + k) for k in part), (F.col("__days") + F.col("__parts")).alias("__opening")
     )
-    total = F.col("within") + F.coalesce(F.col("opening"), F.lit(0))
+    within = Window.partitionBy(*part).orderBy(F.col("tally_guid").asc_nulls_last())
+    within = F.sum("signed_amount").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.col("__within") + F.col("__opening")
     return (
-        summed.join(opening, matched, "left")
+        rows.withColumn("__within", within)
+        .join(opening, _same(part, "p_"), "left")
         .withColumn("running_balance", total.cast("decimal(28,2)"))
         .select(*vouchers.columns, "signed_amount", "running_balance")
     )
 
 
+def _same(keys: list[str], prefix: str) -> Column:
+    return reduce(and_, (F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys))
+
+
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Last write per key. Spark keeps only the first of each key per task before the shuffle."""
     ranked = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

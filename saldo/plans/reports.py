@@ -33,14 +33,11 @@ def sales_breakdown(vouchers: DataFrame, by: str, start: str, end: str) -> DataF
 
 
 def item_sales(vouchers: DataFrame, items: DataFrame) -> DataFrame:
-    """Quantity and amount sold per item. Items are summed by voucher and item before the join."""
+    """Quantity and amount sold per item: the sales first, one join, one aggregation."""
     key = ["company_id", "tally_guid"]
-    summed = items.groupBy(*key, "stock_item_name").agg(
-        F.sum("quantity").alias("quantity"), F.sum(F.abs("amount")).cast(TOTAL).alias("amount")
-    )
     sales = vouchers.filter(F.col("voucher_type") == "Sales").select(*key)
-    return summed.join(sales, key, "left_semi").groupBy("company_id", "stock_item_name").agg(
-        F.sum("quantity").alias("quantity"), F.sum("amount").cast(TOTAL).alias("amount")
+    return items.join(sales, key, "left_semi").groupBy("company_id", "stock_item_name").agg(
+        F.sum("quantity").alias("quantity"), F.sum(F.abs("amount")).cast(TOTAL).alias("amount")
     )
 
 
@@ -84,25 +81,25 @@ def cash_flow(vouchers: DataFrame) -> DataFrame:
 def group_rollup(spark: SparkSession, groups: DataFrame, ledgers: DataFrame, max_depth: int = 100) -> DataFrame:
     """Closing balances of every group with those of the groups below it.
 
-    Ledgers are reduced to one row per group first; the recursion then walks only the group tree. Deeper
-    nesting than ``max_depth`` is an error of the query, never a cut-off result.
+    Ledgers are reduced to one row per group first; the recursion then walks only the group tree. A balance whose group
+    has no row counts for that group's name alone. Deeper nesting than ``max_depth`` (a cycle of groups has no end), or a
+    walk of more rows than the session's ``spark.sql.cteRecursionRowLimit``, is an error and never a cut-off result.
     """
     own = ledgers.groupBy("company_id", F.col("group_name").alias("name")).agg(
         F.sum("closing_balance").cast(TOTAL).alias("own_balance")
     )
-    groups.select("company_id", "name", "parent").createOrReplaceTempView("saldo_groups")
-    own.createOrReplaceTempView("saldo_group_balances")
     return spark.sql(
         f"""
         WITH RECURSIVE climb(company_id, name, own_balance, at) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT b.company_id, b.name, b.own_balance, b.name AS at
-          FROM saldo_group_balances b LEFT SEMI JOIN saldo_groups g ON b.company_id = g.company_id AND b.name = g.name
+          SELECT company_id, name, own_balance, name AS at FROM {{own}}
           UNION ALL
           SELECT c.company_id, c.name, c.own_balance, g.parent
-          FROM climb c JOIN saldo_groups g ON c.company_id = g.company_id AND c.at = g.name
+          FROM climb c JOIN {{groups}} g ON c.company_id = g.company_id AND c.at = g.name
           WHERE g.parent <> ''
         )
         SELECT company_id, at AS name, CAST(sum(own_balance) AS {TOTAL}) AS balance
         FROM climb GROUP BY company_id, at
-        """
+        """,
+        own=own,
+        groups=groups.select("company_id", "name", "parent"),
     )

@@ -128,8 +128,9 @@ class LedgerStore:
         rows = self.committed("vouchers").select("company_id", "tally_guid", column, "batch_id")
         latest = W.latest_per_key(rows, ["company_id", "tally_guid"], [F.col("batch_id").desc()])
         return latest.select(
-            "company_id", "tally_guid", surrogate_id("company_id", "tally_guid").alias("voucher_id"), F.explode(column).alias("row")
-        ).select("company_id", "tally_guid", "voucher_id", "row.*")
+            "company_id", "tally_guid", surrogate_id("company_id", "tally_guid").alias("voucher_id"),
+            F.posexplode(column).alias("line", "row"),
+        ).select("company_id", "tally_guid", "voucher_id", "line", "row.*")
 
     def _companies(self) -> DataFrame:
         """Last value of each column, an empty one leaving the older in place."""

@@ -102,7 +102,7 @@ def vouchers(m: Model) -> DataFrame:
         tag("AMOUNT", i["amount"], money_attr),
         F.lit("</ALLINVENTORYENTRIES.LIST>"),
     )
-    rows = J.vouchers_with_items(m.vouchers, m.items)
+    rows = J.vouchers_with_items(m.vouchers, m.items, page_rows=None)  # a voucher is one element
     party = F.concat(
         F.lit("<LEDGERENTRIES.LIST>"),
         tag("LEDGERNAME", esc("party_name")),

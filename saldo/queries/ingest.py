@@ -67,7 +67,7 @@ def answers(m: Model) -> DataFrame:
     number = F.col("o_orderkey").cast("string")
     return m.table("orders").select(
         "o_orderkey",
-        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("<ENVELOPE><HEADER><STATUS>1</STATUS></HEADER>"), number, F.lit("</ENVELOPE>")))
+        F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("<ENVELOPE><HEADER><STATUS>1</STATUS></HEADER><ROW><STATUS>0</STATUS>"), number, F.lit("</ROW></ENVELOPE>")))
         .when(
             F.col("o_orderpriority") == "1-URGENT",
             F.concat(F.lit("<RESPONSE><LINEERROR>Could not find Report &apos;"), number, F.lit("&apos;!</LINEERROR></RESPONSE>")),

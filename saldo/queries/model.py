@@ -15,7 +15,6 @@ from saldo.schema import MONEY
 AS_OF = "2001-08-01"
 CACHED_UNTIL = "2024-01-30"
 MONEY_SQL = "DECIMAL(18,2)"
-PLACES = 1_000
 
 VOUCHER_TYPES = {"1": "Sales", "2": "Purchase", "3": "Receipt", "4": "Payment", "5": "Debit Note"}
 
@@ -49,23 +48,8 @@ class Model:
         )
 
     def placed(self, table: str, key: str) -> DataFrame:
-        """A table with the place of each row's nation.
-
-        A list of places known to be short becomes a literal, so the planner sees the table's own size: as a
-        join it would take the product of both sizes and turn later joins the wrong way round.
-        """
-        rows = self.table(table)
-        if "known" not in self.__dict__:
-            self.known = self.places.limit(PLACES + 1).collect()
-        if len(self.known) > PLACES:
-            return rows.join(self.places, F.col(key) == F.col("n_nationkey"))
-        entries = ", ".join(
-            f"{p['n_nationkey']}, named_struct('n_name', {quoted(p['n_name'])}, "
-            f"'company_id', {quoted(p['company_id'])}, 'r_name', {quoted(p['r_name'])})"
-            for p in self.known
-        )
-        found = F.expr(f"map({entries})[{key}]")
-        return rows.withColumn("place", found).filter(F.col("place").isNotNull()).select("*", "place.*").drop("place")
+        """A table with the place of each row's nation."""
+        return self.table(table).join(self.places, F.col(key) == F.col("n_nationkey"))
 
     @cached_property
     def companies(self) -> DataFrame:
@@ -115,9 +99,10 @@ class Model:
                 (whole.cast("decimal(18,2)") / F.lit(100)).cast("decimal(18,4)").alias("rate"),
                 F.round(F.col("l_discount") * 100).cast("decimal(18,4)").alias("discount_pct"),
                 money("l_extendedprice").alias("amount"),
+                (F.col("l_linenumber") - 1).cast("int").alias("line"),
             )
             .join(keys, "tally_guid")
-            .select("company_id", "tally_guid", "stock_item_name", "quantity", "unit", "rate", "discount_pct", "amount")
+            .select("company_id", "tally_guid", "line", "stock_item_name", "quantity", "unit", "rate", "discount_pct", "amount")
         )
 
     @cached_property
@@ -170,6 +155,14 @@ class Model:
             money("c_acctbal").alias("closing_balance"),
         )
 
+    @cached_property
+    def supplier_ledgers(self) -> DataFrame:
+        """Supplier ledgers, whose group has no row in ``groups``."""
+        return self.suppliers.select(
+            "company_id", F.col("s_name").alias("name"), F.lit("Sundry Creditors").alias("group_name"),
+            money("s_acctbal").alias("closing_balance"),
+        )
+
     @cached_property
     def groups(self) -> DataFrame:
         """Sundry Debtors > nation > nation and segment, as far as customers use them."""
@@ -334,10 +327,6 @@ class Model:
         return users.withColumn("fy_from", F.lit("2024-01-10").cast("date")).withColumn("fy_to", F.lit("2024-12-31").cast("date"))
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def item_name() -> Column:
     return F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string"))
 
@@ -370,7 +359,7 @@ vouchers AS (
     substr(o_orderpriority, 1, 1) = '1' AS is_invoice
   FROM orders JOIN customers ON o_custkey = c_custkey),
 items AS (
-  SELECT company_id, tally_guid, p_name || ' #' || p_partkey AS stock_item_name,
+  SELECT company_id, tally_guid, l_linenumber - 1 AS line, p_name || ' #' || p_partkey AS stock_item_name,
     CAST(l_quantity AS DECIMAL(18,4)) AS quantity, 'Nos' AS unit,
     CAST(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT) AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,4)) AS rate,
     CAST(round(l_discount * 100) AS DECIMAL(18,4)) AS discount_pct, CAST(l_extendedprice AS {MONEY_SQL}) AS amount

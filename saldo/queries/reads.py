@@ -48,14 +48,14 @@ def account(m: Model):
         .withColumn("items", listing())
         .join(profile, key, "left")
         .select(
-            *key, "tally_guid", "date", "voucher_type", "voucher_number", "amount", "narration", "item_count", "items",
-            "running_balance", "closing_balance", "total_outstanding", "total_transactions",
+            *key, "tally_guid", "date", "voucher_type", "voucher_number", "amount", "narration", "item_page", "item_count",
+            "items", "running_balance", "closing_balance", "total_outstanding", "total_transactions",
         )
     )
 
 
 ACCOUNT_SQL = f"""SELECT v.company_id, v.party_name, v.tally_guid, CAST(v.date AS VARCHAR) AS date, v.voucher_type, v.voucher_number,
-  CAST(v.amount AS DOUBLE) AS amount, v.narration, n.item_count, n.items,
+  CAST(v.amount AS DOUBLE) AS amount, v.narration, n.item_page, n.item_count, n.items,
   CAST(sum({SIGNED}) OVER (PARTITION BY v.company_id, v.party_name ORDER BY v.date ASC NULLS LAST, v.tally_guid
     ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running_balance,
   CAST(l.closing_balance AS DOUBLE) AS closing_balance, CAST(coalesce(o.t, 0) AS DOUBLE) AS total_outstanding,
@@ -75,11 +75,11 @@ register("q_parties", lambda m: R.parties(m.ledgers, m.outstanding), sql(PARTIES
 register(
     "q_vouchers",
     lambda m: R.vouchers(m.vouchers, m.items).select(
-        *HEADER_COLUMNS, F.size("items").alias("item_count"), listing().alias("items")
+        *HEADER_COLUMNS, "item_page", F.size("items").alias("item_count"), listing().alias("items")
     ),
     sql(
         """SELECT v.company_id, v.tally_guid, v.voucher_type, CAST(v.date AS VARCHAR) AS date, v.party_name,
-        CAST(v.amount AS DOUBLE) AS amount, n.item_count, n.items
+        CAST(v.amount AS DOUBLE) AS amount, n.item_page, n.item_count, n.items
         FROM vouchers v JOIN nested n USING (company_id, tally_guid) ORDER BY v.date DESC NULLS FIRST, v.tally_guid""",
         f" nested AS ({NESTED_SQL})",
     ),
@@ -227,12 +227,28 @@ register(
         count(*) AS bills, CAST(sum(pending_amount) AS DOUBLE) AS total FROM outstanding GROUP BY 1, 2, 3"""
     ),
 )
+SALES_KEYS = {"day": "CAST(date AS VARCHAR)", "month": "strftime(date, '%Y-%m')", "party": "party_name"}
+
+
+def sales_by_all(m: Model) -> DataFrame:
+    """The breakdowns by day, month and party below each other."""
+    found = None
+    for by in SALES_KEYS:
+        part = X.sales_breakdown(m.vouchers, by, "1996-01-01", "1999-12-31").withColumnRenamed(by, "key")
+        part = part.withColumn("by", F.lit(by))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 register(
     "opt_sales_breakdown",
-    lambda m: X.sales_breakdown(m.vouchers, "month", "1996-01-01", "1999-12-31"),
+    sales_by_all,
     sql(
-        """SELECT company_id, strftime(date, '%Y-%m') AS month, count(*) AS entries, CAST(sum(amount) AS DOUBLE) AS total FROM vouchers
+        " UNION ALL ".join(
+            f"""SELECT company_id, {key} AS key, count(*) AS entries, CAST(sum(amount) AS DOUBLE) AS total, '{by}' AS by FROM vouchers
         WHERE voucher_type = 'Sales' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' GROUP BY 1, 2"""
+            for by, key in SALES_KEYS.items()
+        )
     ),
 )
 register(
@@ -276,10 +292,11 @@ register(
 )
 register(
     "opt_group_rollup",
-    lambda m: X.group_rollup(m.spark, m.groups, m.segment_ledgers),
+    lambda m: X.group_rollup(m.spark, m.groups, m.segment_ledgers.unionByName(m.supplier_ledgers)),
     sql(
         """SELECT company_id, name, CAST(sum(closing_balance) AS DOUBLE) AS balance FROM (
           SELECT company_id, c_mktsegment, n_name, c_acctbal, unnest([n_name || ' ' || c_mktsegment, n_name, 'Sundry Debtors']) AS name,
-            CAST(c_acctbal AS DECIMAL(18,2)) AS closing_balance FROM customers) GROUP BY 1, 2"""
+            CAST(c_acctbal AS DECIMAL(18,2)) AS closing_balance FROM customers
+          UNION ALL SELECT company_id, NULL, NULL, NULL, 'Sundry Creditors', CAST(s_acctbal AS DECIMAL(18,2)) FROM suppliers) GROUP BY 1, 2"""
     ),
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saldo.functions import scalars as S
+from saldo.operators.skew import PAGE_ROWS
 from saldo.operators import aggregates as A, collection as C, filters as P, joins as J, ordering as O, windows as W
 from saldo.queries.model import AS_OF, Model, plain, sql
 
@@ -141,13 +142,17 @@ register(
 
 # ---- joins -----------------------------------------------------------------------------------------------
 
-NESTED_SQL = """SELECT v.company_id, v.tally_guid, CAST(v.date AS VARCHAR) AS date, coalesce(i.n, 0) AS item_count,
-  coalesce(i.listing, '') AS items
+def nested_sql(page_rows: int = PAGE_ROWS) -> str:
+    return f"""SELECT v.company_id, v.tally_guid, CAST(v.date AS VARCHAR) AS date, coalesce(i.item_page, 0) AS item_page,
+  coalesce(i.n, 0) AS item_count, coalesce(i.listing, '') AS items
 FROM vouchers v LEFT JOIN (
-  SELECT company_id, tally_guid, count(*) AS n,
+  SELECT company_id, tally_guid, line // {page_rows} AS item_page, count(*) AS n,
     string_agg(stock_item_name || '|' || CAST(quantity AS BIGINT) || '|' || CAST(amount AS VARCHAR), ';'
       ORDER BY stock_item_name, quantity, rate, discount_pct, amount) AS listing
-  FROM items GROUP BY company_id, tally_guid) i USING (company_id, tally_guid)"""
+  FROM items GROUP BY company_id, tally_guid, line // {page_rows}) i USING (company_id, tally_guid)"""
+
+
+NESTED_SQL = nested_sql()
 
 
 def listing(items: str = "items"):
@@ -161,8 +166,14 @@ def listing(items: str = "items"):
     )
 
 
-def nested(m: Model):
-    return J.vouchers_with_items(m.vouchers, m.items)
+def nested(m: Model, page_rows: int = PAGE_ROWS):
+    return J.vouchers_with_items(m.vouchers, m.items, page_rows)
+
+
+def listed(m: Model, page_rows: int = PAGE_ROWS):
+    return nested(m, page_rows).select(
+        "company_id", "tally_guid", "date", "item_page", F.size("items").alias("item_count"), listing().alias("items")
+    )
 
 
 register(
@@ -179,11 +190,8 @@ register(
     ),
     sql("SELECT sha256(company_id || '|' || tally_guid) AS voucher_id, stock_item_name, CAST(amount AS DOUBLE) AS amount FROM items"),
 )
-register(
-    "join_voucher_items_nested",
-    lambda m: nested(m).select("company_id", "tally_guid", "date", F.size("items").alias("item_count"), listing().alias("items")),
-    sql(NESTED_SQL),
-)
+register("join_voucher_items_nested", listed, sql(NESTED_SQL))
+register("join_voucher_items_paged", lambda m: listed(m, 3), sql(nested_sql(3)))
 register(
     "join_party_outstanding",
     lambda m: J.parties_with_outstanding(m.ledgers, m.outstanding).select("company_id", "name", "total_outstanding"),

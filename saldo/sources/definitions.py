@@ -241,7 +241,7 @@ def _finish_value(text: Column, f: Field) -> Column:
             value = F.when(value != "", value).otherwise(F.lit(f.default))
         else:
             value = F.coalesce(value, F.lit(f.default))
-    return value.cast(f.type) if f.type else value
+    return value.try_cast(f.type) if f.type else value
 
 
 def _child_values(struct: str, child: Child, depth: int = 0) -> str:
@@ -333,9 +333,15 @@ def staged_rows(parsed: DataFrame, section: Section) -> DataFrame:
         *(value(f).alias("__" + f.name) for f in section.fields),
         *(F.expr(_child_values("row", c)).alias("__" + c.name) for c in section.children),
     )
+    # A number beyond its type is an error of its row, not the end of the job.
+    beyond = F.lit(False)
+    for f in section.fields:
+        if f.type:
+            whole = transform_for(f.transform)(F.col("__" + f.name))
+            beyond = beyond | (whole.isNotNull() & whole.try_cast(f.type).isNull())
     out = raw.select(
         *carried,
-        "error",
+        F.coalesce("error", F.when(beyond, F.lit("Number out of range"))).alias("error"),
         "pos",
         *(
             _finish_value(F.col("__" + f.name), f).alias(f.name)

@@ -15,12 +15,11 @@ MARKERS = r"(?i)<ENVELOPE|<RESPONSE"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 DECIMAL_REFERENCE = r"&#0*(?:[0-8]|11|12|1[4-9]|2\d|3[01]);"
 HEX_REFERENCE = r"&#[xX]0*(?:[0-8bBcCeEfF]|1[0-9a-fA-F]);"
-STATUS_FAILED = r"(?i)<STATUS>\s*0+\s*</STATUS>"
+STATUS = r"(?i)<STATUS>([^<]*)</STATUS>"
+FAILED = "0"
 STATUS_DATA = r"(?is)<DATA>(.*?)</DATA>"
 LINE_ERROR = r"(?is)<LINEERROR>(.*?)</LINEERROR>"
 PLAIN_RESPONSE = r"(?is)^\s*(?:<\?xml[^>]*>\s*)?<RESPONSE>([^<]*)</RESPONSE>\s*$"
-COMPANY_ATTRIBUTE = r'(?i)<COMPANY[^>]+NAME="([^"]+)"'
-NAME_TAG = r"(?i)<NAME[^>]*>([^<]+)</NAME>"
 
 # A maximal run of well-formed UTF-16 code units, on bytes seen as Latin-1 characters.
 LE_RUN = r"(?s)\G(?:(?:.[^\xD8-\xDF])++|(?:.[\xD8-\xDB].[\xDC-\xDF])++)"
@@ -120,7 +119,7 @@ def response_error(text) -> Column:
 
     return (
         F.when(text.isNull(), F.lit("No content"))
-        .when(text.rlike(STATUS_FAILED), plain(F.regexp_extract(text, STATUS_DATA, 1)))
+        .when(F.trim(F.regexp_extract(text, STATUS, 1)) == FAILED, plain(F.regexp_extract(text, STATUS_DATA, 1)))
         .when(text.rlike(LINE_ERROR), plain(F.regexp_extract(text, LINE_ERROR, 1)))
         .when(text.rlike(PLAIN_RESPONSE), plain(F.regexp_extract(text, PLAIN_RESPONSE, 1)))
     )
@@ -139,15 +138,24 @@ def quarantined(checked: DataFrame) -> DataFrame:
 
 
 def company_names(responses: DataFrame) -> DataFrame:
-    """Names of the companies a response lists: the attribute, else the NAME tag; order kept, no dedupe."""
-    by_attribute = F.regexp_extract_all("text", F.lit(COMPANY_ATTRIBUTE), F.lit(1))
-    by_tag = F.regexp_extract_all("text", F.lit(NAME_TAG), F.lit(1))
+    """Names of the companies a response lists: of each COMPANY the attribute, else its NAME tags; order kept, no dedupe.
+
+    The tags are cut apart at their opening brackets and read one by one.
+    """
+    cut = F.split("text", "<")
+    tags = F.slice(cut, F.lit(2), F.size(cut))
 
     def named(found: Column) -> Column:
-        return F.filter(F.transform(found, lambda n: F.trim(n)), lambda n: n != "")
+        return F.filter(F.transform(found, lambda n: F.trim(S.unescape(n))), lambda n: n != "")
+
+    def opening(tag: Column, name: str) -> Column:
+        return F.upper(F.regexp_extract(tag, r"^[^\s/>]*", 0)) == name
 
-    attributes = named(by_attribute)
-    names = F.when(F.size(attributes) > 0, attributes).otherwise(named(by_tag))
+    companies = F.filter(tags, lambda tag: opening(tag, "COMPANY"))
+    attributes = named(F.transform(companies, lambda tag: F.regexp_extract(F.substring_index(tag, ">", 1), r'(?i)\sNAME\s*=\s*"([^"]*)"', 1)))
+    tagged = F.filter(tags, lambda tag: opening(tag, "NAME"))
+    inner = named(F.transform(tagged, lambda tag: F.regexp_extract(tag, r"(?s)>(.*)", 1)))
+    names = F.when(F.size(attributes) > 0, attributes).otherwise(inner)
     keep = [c for c in responses.columns if c != "text"]
     return responses.select(*keep, F.posexplode(names).alias("pos", "name"))
 

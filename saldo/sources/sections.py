@@ -396,7 +396,7 @@ SECTIONS = {
 
 def section(name: str) -> Section:
     if name not in SECTIONS:
-        raise KeyError(f"Unknown structured section: {name}")
+        raise KeyError(f"no section is defined as {name!r}")
     return SECTIONS[name]
 
 

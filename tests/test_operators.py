@@ -34,8 +34,8 @@ def test_running_balance_of_the_seed(spark):
     assert by_party["XYZ Suppliers"] == [-225000, -241000]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 20, 1_000_000])
-def test_running_balance_of_a_hot_party(spark, hot_rows):
+@pytest.mark.parametrize("head", [0, 1, 4, 40])
+def test_running_balance_of_a_hot_party(spark, head):
     rng = random.Random(7)
     rows = []
     for i in range(600):
@@ -46,27 +46,42 @@ def test_running_balance_of_a_hot_party(spark, hot_rows):
     for g, t, p, d, a in sorted(rows, key=lambda r: (r[3] is None, r[3] or "", r[0])):
         totals[p] += int(a) if t in ("Sales", "Debit Note") else -int(a)
         expected[g] = totals[p]
-    found = W.running_balance(vouchers(spark, rows), hot_rows=hot_rows).collect()
+    found = W.running_balance(vouchers(spark, rows), head=head).collect()
     assert len(found) == 600
     assert {r["tally_guid"]: int(r["running_balance"]) for r in found} == expected
 
 
-def test_paged_lists_keep_every_copy(spark):
-    rows = [("hot", "same")] * 500 + [("hot", f"x{i}") for i in range(100)] + [("a", "1"), ("a", "2")]
-    df = spark.createDataFrame(rows, "k string, v string")
+def test_one_party_on_one_day_spreads_over_tasks(spark):
+    rows = [(f"{i:04d}", "Sales", "P", "2025-04-01", 1) for i in range(2000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = W.running_balance(vouchers(spark, rows), head=2)
+        tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 2000
+    assert {int(r["running_balance"]) for r in found.collect()} == set(range(1, 2001))
+
+
+def test_pages_by_position_keep_every_copy(spark):
+    rows = [("hot", i, "same") for i in range(500)] + [("hot", 500 + i, f"x{i}") for i in range(100)] + [("a", 0, "1"), ("a", 1, "2")]
+    df = spark.createDataFrame(rows, "k string, line int, v string")
     pages = paged_lists(df, ["k"], F.struct("v"), "vs", page_rows=50).collect()
     bag = Counter((r["k"], e["v"]) for r in pages for e in r["vs"])
-    assert bag == Counter(rows)
-    assert len([r for r in pages if r["k"] == "a"]) == 1
-    assert len([r for r in pages if r["k"] == "hot"]) > 3
-    assert max(len(r["vs"]) for r in pages) < 300
+    assert bag == Counter((k, v) for k, _, v in rows)
+    assert sorted((r["k"], r["page"], len(r["vs"])) for r in pages) == [("a", 0, 2)] + [("hot", i, 50) for i in range(12)]
+    whole = paged_lists(df, ["k"], F.struct("v"), "vs", page_rows=None).collect()
+    assert sorted((r["k"], r["page"], len(r["vs"])) for r in whole) == [("a", 0, 2), ("hot", 0, 600)]
 
 
 def test_nested_items(spark):
     headers = vouchers(spark, SEED[:2])
-    items = spark.createDataFrame([("c", "S-001", "b", 1), ("c", "S-001", "a", 2)], "company_id string, tally_guid string, name string, n int")
+    rows = [("c", "S-001", 0, "b", 1), ("c", "S-001", 1, "a", 2)]
+    items = spark.createDataFrame(rows, "company_id string, tally_guid string, line int, name string, n int")
     found = {r["tally_guid"]: [tuple(i) for i in r["items"]] for r in J.vouchers_with_items(headers, items).collect()}
     assert found == {"P-001": [], "S-001": [("a", 2), ("b", 1)]}
+    paged = J.vouchers_with_items(headers, items, page_rows=1).collect()
+    assert sorted((r["tally_guid"], r["item_page"], len(r["items"])) for r in paged) == [("P-001", 0, 0), ("S-001", 0, 1), ("S-001", 1, 1)]
 
 
 def test_company_lookup(spark):
@@ -129,7 +144,7 @@ def test_party_ledger(spark):
                     "company_id string, name string, group_name string, closing_balance int")
     bills = table(spark, [("c", "ABC Traders", "receivable", 10, 5), ("c", "ABC Traders", "payable", -4, 95)],
                   "company_id string, party_name string, type string, pending_amount int, days_overdue int")
-    items = table(spark, [("c", "S-001", "Laptop")], "company_id string, tally_guid string, stock_item_name string")
+    items = table(spark, [("c", "S-001", 0, "Laptop")], "company_id string, tally_guid string, line int, stock_item_name string")
     one = reads.party_ledger(ledgers, bills, headers, items, "c", "ABC Traders")
     profile = one.profile.collect()
     assert len(profile) == 1
