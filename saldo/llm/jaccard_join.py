@@ -159,8 +159,8 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
     )
 
 
-def links_of_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between classes that connect all that is connected, and the sets of all that may be linked.
+def links_of_classes(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that connect all that is connected; not every link within a component.
 
     The classes around a shingle are one group, called by the smallest of them, the pivot; shingles of the same classes
     mostly have the same pivot. A group is dealt into blocks by a digest, and the pivot put into each of them. Within a
@@ -175,10 +175,7 @@ def links_of_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     )
     groups = written(groups.select("pivot", "class", "blocks", F.explode(at).alias("block")), "groups")
-    members = written(
-        sets.select("class", "n", "copies", "tokens").join(groups.select("class").distinct(), "class", "left_semi"), "members"
-    )
-    rows = groups.join(members.select("class", "n", "tokens"), "class")
+    rows = groups.join(sets.select("class", "n", "tokens"), "class")
     links = written(rows.groupBy("pivot", "block").applyInPandas(_within, "a long, b long").distinct(), "links")
     # Groups of several blocks: what is still apart in different blocks is compared across them.
     parted = groups.where("blocks > 1").select("pivot", "class").distinct()
@@ -186,7 +183,7 @@ def links_of_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = parted.join(found, "class", "left").withColumn("place", F.coalesce("component", "class"))
     home = placed.where("pivot = class").select("pivot", F.col("place").alias("home"))
     placed = placed.join(home, "pivot").select("pivot", "class", "place", (F.col("place") != F.col("home")).alias("out"))
-    return links.unionByName(links_across(written(placed, "placed"), members)), members
+    return links.unionByName(links_across(written(placed, "placed"), sets))
 
 
 def links_across(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -326,7 +323,7 @@ def count_links(sets: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataF
     is one group of at most about 2 * block sets, so that a large component spreads over many tasks.
     """
     sizes = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = sets.join(placed, "class").join(sizes, "component")
+    rows = sets.select("class", "n", "copies", "tokens").join(placed.join(sizes, "component"), "class")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
@@ -338,25 +335,24 @@ def count_links(sets: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataF
     )
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The classes that may have links or copies; the sets of those that may have links; (class, component) of all."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes that may have links or copies, and (class, component) of each."""
     sets = classes(docs)
-    links, members = links_of_classes(sets)
-    found = components(links).withColumnRenamed("node", "class")
+    found = components(links_of_classes(sets)).withColumnRenamed("node", "class")
     # Classes without links to others are components of their own.
     placed = sets.select("class").join(found, "class", "left")
-    return sets.drop("tokens"), members, written(placed.withColumn("component", F.coalesce("component", "class")), "placed")
+    return sets, written(placed.withColumn("component", F.coalesce("component", "class")), "placed")
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """Per document its number of shingles, its component (smallest doc_id reachable by links) and its links."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets, members, placed = _placed(docs)
+    sets, placed = _placed(docs)
     keys = sets.select("class", "high", "low", "first_id", "copies").join(placed, "class")
     several = keys.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("first_id").alias("component_id"))
     several = written(several, "components")
     linked = placed.join(several.where("size > 1").select("component"), "component")
-    known = keys.join(several, "component").join(count_links(members, linked), "class", "left")
+    known = keys.join(several, "component").join(count_links(sets, linked), "class", "left")
     known = written(
         known.select("high", "low", "component_id", (F.coalesce("links", "copies") - 1).alias("n_links")), "known"
     )
@@ -385,7 +381,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sets, _, placed = _placed(plain)
+    sets, placed = _placed(plain)
     keys = sets.select("class", "high", "low", "first_id").join(placed, "class")
     first = keys.groupBy("component").agg(
         F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "high", "low")).alias("_first")
