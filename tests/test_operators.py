@@ -13,10 +13,10 @@ from saldo.operators.skew import paged_lists
 from saldo.plans import reads, reports
 
 SEED = [
-    ("P-001", "Purchase", "XYZ Suppliers", "2025-04-05", "225000"), ("S-001", "Sales", "ABC Traders", "2025-04-10", "110000"),
-    ("P-002", "Purchase", "Gupta Brothers", "2025-04-12", "60000"), ("S-002", "Sales", "Sharma Enterprises", "2025-04-15", "42500"),
-    ("S-003", "Sales", "ABC Traders", "2025-05-01", "12000"), ("P-003", "Purchase", "XYZ Suppliers", "2025-05-02", "16000"),
-    ("S-004", "Sales", "Sharma Enterprises", "2025-05-20", "18000"), ("S-005", "Sales", "ABC Traders", "2025-06-05", "55000"),
+    ("P-001", "Purchase", "Mill Road Timber", "2025-04-05", "225000"), ("S-001", "Sales", "Harbour Stores", "2025-04-10", "110000"),
+    ("P-002", "Purchase", "Ellis Paper", "2025-04-12", "60000"), ("S-002", "Sales", "North Quay Fittings", "2025-04-15", "42500"),
+    ("S-003", "Sales", "Harbour Stores", "2025-05-01", "12000"), ("P-003", "Purchase", "Mill Road Timber", "2025-05-02", "16000"),
+    ("S-004", "Sales", "North Quay Fittings", "2025-05-20", "18000"), ("S-005", "Sales", "Harbour Stores", "2025-06-05", "55000"),
 ]
 VOUCHER = "company_id string, tally_guid string, voucher_type string, party_name string, date date, amount decimal(18,2)"
 
@@ -30,8 +30,8 @@ def test_running_balance_of_the_seed(spark):
     by_party = defaultdict(list)
     for r in found:
         by_party[r["party_name"]].append(int(r["running_balance"]))
-    assert by_party["ABC Traders"] == [110000, 122000, 177000]
-    assert by_party["XYZ Suppliers"] == [-225000, -241000]
+    assert by_party["Harbour Stores"] == [110000, 122000, 177000]
+    assert by_party["Mill Road Timber"] == [-225000, -241000]
 
 
 @pytest.mark.parametrize("head", [0, 1, 4, 40])
@@ -139,13 +139,13 @@ def test_stock_fallback(spark):
 
 def test_party_ledger(spark):
     headers = vouchers(spark, SEED).withColumn("voucher_number", F.col("tally_guid")).withColumn("narration", F.lit(""))
-    ledgers = table(spark, [("c", "ABC Traders", "Sundry Debtors", 75000), ("c", "XYZ Suppliers", "Sundry Creditors", -40000),
-                            ("c", "Twin", "Sundry Debtors", 1), ("c", "Twin", "Sundry Debtors", 2), ("c", "HDFC Bank", "Bank Accounts", 3)],
+    ledgers = table(spark, [("c", "Harbour Stores", "Sundry Debtors", 75000), ("c", "Mill Road Timber", "Sundry Creditors", -40000),
+                            ("c", "Twin", "Sundry Debtors", 1), ("c", "Twin", "Sundry Debtors", 2), ("c", "River Bank", "Bank Accounts", 3)],
                     "company_id string, name string, group_name string, closing_balance int")
-    bills = table(spark, [("c", "ABC Traders", "receivable", 10, 5), ("c", "ABC Traders", "payable", -4, 95)],
+    bills = table(spark, [("c", "Harbour Stores", "receivable", 10, 5), ("c", "Harbour Stores", "payable", -4, 95)],
                   "company_id string, party_name string, type string, pending_amount int, days_overdue int")
-    items = table(spark, [("c", "S-001", 0, "Laptop")], "company_id string, tally_guid string, line int, stock_item_name string")
-    one = reads.party_ledger(ledgers, bills, headers, items, "c", "ABC Traders")
+    items = table(spark, [("c", "S-001", 0, "Drill")], "company_id string, tally_guid string, line int, stock_item_name string")
+    one = reads.party_ledger(ledgers, bills, headers, items, "c", "Harbour Stores")
     profile = one.profile.collect()
     assert len(profile) == 1
     assert (profile[0]["total_outstanding"], profile[0]["total_transactions"], profile[0]["closing_balance"]) == (D("14.00"), 3, 75000)
@@ -154,10 +154,10 @@ def test_party_ledger(spark):
     ]
     everyone = reads.party_ledger(ledgers, bills, headers, items)
     found = {r["party_name"]: r for r in everyone.profile.collect()}
-    assert found["Gupta Brothers"]["has_ledger"] is False and "Twin" not in found
+    assert found["Ellis Paper"]["has_ledger"] is False and "Twin" not in found
     parties = reads.parties(ledgers, bills)
     assert sorted((r["name"], r["type"], r["total_outstanding"]) for r in parties.collect()) == [
-        ("ABC Traders", "customer", D("14.00")), ("Twin", "customer", D("0.00")), ("Twin", "customer", D("0.00")), ("XYZ Suppliers", "supplier", D("0.00"))]
+        ("Harbour Stores", "customer", D("14.00")), ("Mill Road Timber", "supplier", D("0.00")), ("Twin", "customer", D("0.00")), ("Twin", "customer", D("0.00"))]
 
 
 def test_null_placement(spark):
