@@ -130,6 +130,7 @@ def vouchers(m: Model) -> DataFrame:
         tag("AMOUNT", header_amount, money_attr),
         tag("NARRATION", F.concat(F.lit("&#4; "), esc("narration"), F.lit("\x02"))),
         tag("ISCANCELLED", F.when(F.col("is_cancelled"), "Yes").otherwise("No")),
+        tag("ISOPTIONAL", F.when(F.col("is_optional"), "Yes").otherwise("No")),
         tag("REFERENCE", "reference"),
         tag("ISINVOICE", F.when(F.col("is_invoice"), "Yes").otherwise("No")),
         F.array_join(F.transform("items", item), ""),

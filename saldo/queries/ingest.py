@@ -405,6 +405,16 @@ register(
     .select("guid", "l.ledger", F.array_join(F.transform("l.bills", lambda b: b["bill"]), ",").alias("bills")),
     sql("SELECT tally_guid AS guid, ledger_name AS ledger, coalesce(bill_name, '') AS bills FROM entries"),
 )
+FILTERED_JSON = """{"request": {"filters": ["Valid", "Regular"], "system_formulae": [
+    {"name": "Valid", "expression": "NOT $IsCancelled"}, {"name": "Regular", "expression": "not $IsOptional"},
+    {"name": "Unused", "expression": "$IsInvoice"}]},
+  "response": {"mode": "list", "row_path_options": ["ENVELOPE.BODY.DATA.COLLECTION.VOUCHER", "messages.VOUCHER"],
+  "required_field": "guid", "fields": {"guid": {"sources": ["@REMOTEID"]}, "number": {"sources": ["VOUCHERNUMBER"]}}}}"""
+register(
+    "def_filters",
+    lambda m: parsed(E.vouchers(m), section_from_json("filtered", FILTERED_JSON)).select("company_id", "guid", "number"),
+    sql("SELECT company_id, tally_guid AS guid, voucher_number AS number FROM vouchers WHERE NOT is_cancelled AND NOT is_optional"),
+)
 
 
 def asked_sections(m: Model) -> DataFrame:

@@ -10,6 +10,7 @@ Paths are written with ``/`` because tag names may contain dots; ``@NAME`` is an
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -80,10 +81,27 @@ def fields(spec: str, types: Mapping[str, str] | None = None) -> tuple[Field, ..
     return tuple(out)
 
 
+def _filters(request: Mapping) -> list[tuple[str, bool]]:
+    """(tag, wanted value) of every filter that a request names."""
+    formulae = {f["name"]: f["expression"] for f in request.get("system_formulae", ())}
+    out = []
+    for name in request.get("filters", ()):
+        found = re.fullmatch(r"\s*(NOT\s+)?\$(\w+)\s*", formulae.get(name, ""), re.IGNORECASE)
+        if not found:
+            raise ValueError(f"filter {name!r} has no formula of the form [NOT] $Field")
+        out.append((found[2].upper(), found[1] is None))
+    return out
+
+
 def section_from_json(name: str, definition: str | Mapping, **overrides) -> Section:
-    """A section from the JSON form: mode, row_tag or row paths, index_sources, fields, children."""
-    body = json.loads(definition) if isinstance(definition, str) else definition
-    body = body.get("response", body)
+    """A section from the JSON form: mode, row_tag or row paths, index_sources, fields, children, and the request's filters.
+
+    A filter is named by the request and given by a formula, ``$Field`` or ``NOT $Field`` of a yes-no field; rows that do
+    not pass are dropped after parsing, whoever wrote the export.
+    """
+    whole = json.loads(definition) if isinstance(definition, str) else definition
+    body = whole.get("response", whole)
+    tests = _filters(whole.get("request", {}))
 
     def path(dotted: str) -> str:
         marked = dotted.replace(".LIST", "\0LIST").removeprefix("ENVELOPE.")
@@ -111,9 +129,20 @@ def section_from_json(name: str, definition: str | Mapping, **overrides) -> Sect
         rows = tuple(path(p) for p in body["row_path_options"])
     else:
         rows = (f"{COLLECTION}/{body['row_tag']}",) if "row_tag" in body else ()
+    hidden = tuple(Field(f"__only_{tag}", "bool_yesno", (tag,)) for tag, _ in tests)
+    if tests:
+
+        def keep() -> Column:
+            passed = F.lit(True)
+            for f, (_, wanted) in zip(hidden, tests, strict=True):
+                passed = passed & (F.col(f.name) == F.lit(wanted))
+            return passed
+
+        overrides.setdefault("keep", keep)
+        overrides.setdefault("finish", lambda rows: rows.drop(*(f.name for f in hidden)))
     return Section(
         name,
-        read_fields(body["fields"]),
+        read_fields(body["fields"]) + hidden,
         mode=body.get("mode", "list"),
         rows=rows,
         index={alias: path(p) for alias, p in body.get("index_sources", {}).items()},
