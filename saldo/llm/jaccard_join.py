@@ -168,7 +168,11 @@ def links_of_classes(sets: DataFrame) -> DataFrame:
     """
     rare = rare_prefixes(sets)
     pivots = rare.groupBy("token").agg(F.min("class").alias("pivot"))
-    groups = rare.join(pivots, "token").select("pivot", "class").distinct()
+    around = written(rare.join(pivots, "token").select("pivot", "class").distinct(), "around")
+    # A group whose pivot lies in the group of a smaller one joins that, so that its classes do not stand in both.
+    smaller = around.groupBy("class").agg(F.min("pivot").alias("first"))
+    groups = around.join(smaller.withColumnRenamed("class", "pivot"), "pivot").select(F.col("first").alias("pivot"), "class")
+    groups = groups.unionByName(groups.select("pivot", F.col("pivot").alias("class"))).distinct()
     counts = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
     groups = groups.join(counts.where("size > 1").select("pivot", "blocks"), "pivot")
     at = F.when(F.col("pivot") == F.col("class"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
