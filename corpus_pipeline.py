@@ -11,10 +11,17 @@ from saldo.llm import jaccard_join, language_id, packing, pii, quality_rules
 from saldo.session import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows that go to Python at once. Documents are large rows, and workers keep the memory of their largest batch.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
 
 def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language cannot be told: without a letter, or with a narrow margin."""
+    small_batches(spark)
     model = language_id.fit(docs)
     verdict = language_id.prediction(model)
     return docs.select(*COLUMNS).withColumn("_verdict", verdict).where("NOT _verdict.rejected").drop("_verdict")
@@ -22,22 +29,26 @@ def language_identification(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that fail the base rules or are outliers of their language and source."""
+    small_batches(spark)
     return quality_rules.keep_sound(docs.select(*COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each component of linked documents the one with the smallest doc_id; all without an id or a shingle."""
+    small_batches(spark)
     return jaccard_join.first_of_each(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts marks in place of personal data; n_chars follows."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     return pii.redact(docs, pii.fit(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences."""
+    small_batches(spark)
     return packing.packed(docs)
 
 

@@ -284,9 +284,11 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def keep_sound(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    found = docs.select("lang", "source", statistics("text").alias("s")).select("lang", "source", "s.*")
+    # The statistics stand behind a generator of one row: filters are not pushed below it, and they are computed once.
+    once = F.explode(F.array(statistics("text"))).alias("s")
+    found = docs.select("lang", "source", once).select("lang", "source", "s.*")
     rows = _kept(found.withColumn("v", vector()).where(~base_failed()).select("lang", "source", "v"), "quality")
     model = fit(rows)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", statistics("text").alias("s"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", once)
     whole = whole.select("row", "lang", "source", "s.*").withColumn("v", vector())
     return verdict(whole, model).where("kept").select("row.*")
