@@ -2,9 +2,9 @@
 
 Rules (host, path, verdict) decide where one fits; the longest wins. What they decide are the labels from which the
 other URLs are judged. Per host the segments of all paths form a tree. At each level a segment that looks like an
-identifier becomes a wildcard of its kind, and so does any segment whose place in the tree holds more than VARIETY
-different ones; branches of a place are merged if what hangs below them and its labels are alike. What is left of a path
-is its template. A template's share of blocked labels in its host is smoothed towards that of its paths in the host's domain,
+identifier becomes a wildcard of its kind. Other segments with fewer than SUPPORT pages are one wildcard, apart for those
+whose labels lean to blocking; all others are branches of their own, however many, and are merged if what hangs below them
+and its labels are alike. What is left of a path is its template. A template's share of blocked labels in its host is smoothed towards that of its paths in the host's domain,
 in all hosts, and of all pages, in turn, each counting as PRIOR labelled pages; from PURITY on the template is rejected.
 
 Counts are combined before every shuffle and kept per host and place of the tree, never per host alone.
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from saldo.llm.components import written
 
-#: More different segments than this at one place of the tree are one wildcard.
-VARIETY = 20
+#: Pages from which on a segment is judged by itself.
+SUPPORT = 5
+#: Parts into which shares are cut where branches are compared.
+PARTS = 10
 #: Levels of the tree; what lies deeper is one wildcard.
 LEVELS = 6
 #: Labelled pages that a coarser estimate counts for.
@@ -100,19 +102,24 @@ def _kind(segment: Column) -> Column:
 #: Half the sum of absolute differences between the shares below the branches a and b.
 _DISTANCE = """aggregate(map_keys(map_concat(map_filter(a.kinds, (k, v) -> NOT map_contains_key(b.kinds, k)), b.kinds)), 0D,
     (s, k) -> s + abs(coalesce(a.kinds[k], 0) / a.total - coalesce(b.kinds[k], 0) / b.total)) / 2"""
+#: The kinds below a branch with their shares in whole parts, as a text.
+_MIX = f"""array_join(array_sort(transform(filter(map_entries(kinds), x -> round(x.value * {PARTS} / total) > 0),
+    x -> concat(x.key, '=', cast(round(x.value * {PARTS} / total) AS int)))), '/')"""
 
 
 def templates(shapes: DataFrame) -> DataFrame:
     """shapes (host, shape, labelled, pages, share) with the template of each shape.
 
-    Level by level from the root: at each place of the tree (host, template so far) segments with too many siblings
-    become one wildcard; the others are merged with the first sibling below which the shares of continuations and of
-    labels are alike. One number, the depth of the deepest path, passes the driver.
+    Level by level from the root: at each place of the tree (host, template so far) segments of too few pages become one
+    wildcard by what their labels lean to; the others are merged with the first sibling below which the shares of
+    continuations and of labels are alike. Siblings with the same shares in whole parts are compared as one, so what a
+    place lists is bounded by the mixes there are, not by its siblings. One number, the depth of the deepest path, passes
+    the driver.
     """
     depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     tree = shapes.withColumn("template", F.col("shape"))
-    # Where a path has no label, the one that such paths lean to elsewhere.
-    label = F.when(F.col("labelled") != "", F.col("labelled")).when(F.col("share") >= 0.5, "block").otherwise("allow")
+    # Where a path has no label, the one that such paths lean to elsewhere; an even share is no evidence.
+    label = F.when(F.col("labelled") != "", F.col("labelled")).when(F.col("share") > 0.5, "block").otherwise("allow")
     for level in range(depth):
         place = tree.withColumns(
             {
@@ -122,28 +129,35 @@ def templates(shapes: DataFrame) -> DataFrame:
             }
         )
         keys = ["host", "so_far", "here"]
-        below = place.where("here IS NOT NULL").groupBy(*keys, "kind").agg(F.sum("pages").alias("pages"))
-        # Continuations are wildcards of few kinds with at most three labels; siblings are listed only up to VARIETY.
+        below = place.where("here <> '' AND here NOT LIKE '{%'").groupBy(*keys, "kind").agg(
+            F.sum("pages").alias("pages"), F.sum(F.when(label == "block", F.col("pages")).otherwise(0)).alias("blocked")
+        )
+        # Continuations are wildcards of few kinds with at most two labels.
         branches = below.groupBy(keys).agg(
-            F.sum("pages").alias("total"), F.map_from_entries(F.collect_list(F.struct("kind", "pages"))).alias("kinds")
+            F.sum("pages").alias("total"), F.sum("blocked").alias("blocked"), F.map_from_entries(F.collect_list(F.struct("kind", "pages"))).alias("kinds")
+        )
+        wild = F.when(F.col("blocked") * 2 > F.col("total"), "{any blocked}").otherwise("{any}").alias("now")
+        few = branches.where(F.col("total") < SUPPORT).select(*keys, wild)
+        supported = branches.where(F.col("total") >= SUPPORT).withColumn("mix", F.expr(_MIX))
+        # The first branch by name stands for all of its mix.
+        mixes = supported.groupBy("host", "so_far", "mix").agg(
+            F.min("here").alias("here"),
+            F.min_by(F.struct("total", "kinds"), "here").alias("b"),
+            F.count(F.lit(1)).alias("n"),
         )
-        variety = branches.groupBy("host", "so_far").agg(F.count(F.lit(1)).alias("variety"))
-        branches = branches.join(variety, ["host", "so_far"])
         listed = (
-            branches.where((F.col("variety") <= VARIETY) & ~F.col("here").startswith("{") & (F.col("here") != ""))
-            .groupBy("host", "so_far")
-            .agg(F.collect_list(F.struct("here", "total", "kinds")).alias("found"))
+            mixes.groupBy("host", "so_far")
+            .agg(F.collect_list(F.struct("here", "b.total", "b.kinds", "mix", "n")).alias("found"))
             .withColumn("found", F.expr("array_sort(found, (a, b) -> CASE WHEN a.here < b.here THEN -1 WHEN a.here > b.here THEN 1 ELSE 0 END)"))
             # The first of those alike leads them; one that is like no leader before it becomes one.
             .withColumn("leaders", F.expr(f"aggregate(found, slice(found, 1, 0), (x, b) -> IF(exists(x, a -> {_DISTANCE} <= {ALIKE}), x, concat(x, array(b))))"))
-            .withColumn("found", F.expr(f"transform(found, b -> struct(b.here AS here, filter(leaders, a -> {_DISTANCE} <= {ALIKE})[0].here AS first))"))
-            .withColumn("shared", F.expr("transform(filter(found, x -> x.here <> x.first), x -> x.first)"))
+            .withColumn("found", F.expr(f"transform(found, b -> struct(b.mix AS mix, b.n AS n, filter(leaders, a -> {_DISTANCE} <= {ALIKE})[0].here AS first))"))
+            .withColumn("shared", F.expr("transform(filter(leaders, a -> aggregate(filter(found, x -> x.first = a.here), 0L, (s, x) -> s + x.n) > 1), a -> a.here)"))
             .select("host", "so_far", "shared", F.explode("found").alias("m"))
             .where(F.array_contains("shared", F.col("m.first")))
-            .select("host", "so_far", "m.here", F.concat(F.lit("{like "), "m.first", F.lit("}")).alias("now"))
+            .select("host", "so_far", "m.mix", F.concat(F.lit("{like "), "m.first", F.lit("}")).alias("now"))
         )
-        many = branches.where(F.col("variety") > VARIETY).select(*keys, F.lit("{any}").alias("now"))
-        change = many.unionByName(listed)
+        change = few.unionByName(supported.join(listed, ["host", "so_far", "mix"]).select(*keys, "now"))
         now = F.concat(F.slice("template", 1, level), F.array("now"), F.expr(f"slice(template, {level + 2}, {LEVELS + 2})"))
         tree = written(
             place.join(change, keys, "left").select(
