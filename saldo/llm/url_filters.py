@@ -4,7 +4,8 @@ Rules (host, path, verdict) decide where one fits; the longest wins. What they d
 other URLs are judged. Per host the segments of all paths form a tree. At each level a segment that looks like an
 identifier becomes a wildcard of its kind. Other segments with fewer than SUPPORT pages are one wildcard, apart for those
 whose labels lean to blocking; all others are branches of their own, however many, and are merged if what hangs below them
-and its labels are alike. What is left of a path is its template. A template's share of blocked labels in its host is smoothed towards that of its paths in the host's domain,
+and its labels are alike. A place with fewer than SUPPORT pages is left as it is, with all that hangs below it; others are
+followed to any depth. What is left of a path is its template. A template's share of blocked labels in its host is smoothed towards that of its paths in the host's domain,
 in all hosts, and of all pages, in turn, each counting as PRIOR labelled pages; from PURITY on the template is rejected.
 
 Counts are combined before every shuffle and kept per host and place of the tree, never per host alone.
@@ -24,8 +25,6 @@ from saldo.llm.components import written
 SUPPORT = 5
 #: Parts into which shares are cut where branches are compared.
 PARTS = 10
-#: Levels of the tree; what lies deeper is one wildcard.
-LEVELS = 6
 #: Labelled pages that a coarser estimate counts for.
 PRIOR = 4.0
 #: Share of blocked labels from which a template is rejected.
@@ -89,9 +88,8 @@ def wildcard(segment: Column) -> Column:
 
 
 def _segments() -> Column:
-    """The segments of a path, generalised; the last one holds what lies deeper than LEVELS."""
-    parts = F.transform(F.slice(F.split("path", "/"), 2, LEVELS), wildcard)
-    return F.when(F.size(F.split("path", "/")) > LEVELS + 1, F.concat(parts, F.array(F.lit("{deep}")))).otherwise(parts)
+    """The segments of a path, generalised."""
+    return F.transform(F.slice(F.split("path", "/"), 2, F.size(F.split("path", "/"))), wildcard)
 
 
 def _kind(segment: Column) -> Column:
@@ -113,17 +111,19 @@ def templates(shapes: DataFrame) -> DataFrame:
     Level by level from the root: at each place of the tree (host, template so far) segments of too few pages become one
     wildcard by what their labels lean to; the others are merged with the first sibling below which the shares of
     continuations and of labels are alike. Siblings with the same shares in whole parts are compared as one, so what a
-    place lists is bounded by the mixes there are, not by its siblings. One number, the depth of the deepest path, passes
-    the driver.
+    place lists is bounded by the mixes there are, not by its siblings. Levels end with the deepest place that has enough
+    pages; whether there is one passes the driver.
     """
-    depth = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
-    tree = shapes.withColumn("template", F.col("shape"))
+    tree, level = shapes.withColumn("template", F.col("shape")), 0
     # Where a path has no label, the one that such paths lean to elsewhere; an even share is no evidence.
     label = F.when(F.col("labelled") != "", F.col("labelled")).when(F.col("share") > 0.5, "block").otherwise("allow")
-    for level in range(depth):
+    so_far = lambda: F.array_join(F.slice("template", 1, level), "/").alias("so_far")
+    # Places with a next segment and enough pages.
+    places = lambda: tree.where(F.size("template") > level).groupBy("host", so_far()).agg(F.sum("pages").alias("n")).where(F.col("n") >= SUPPORT)
+    while not places().isEmpty():
         place = tree.withColumns(
             {
-                "so_far": F.array_join(F.slice("template", 1, level), "/"),
+                "so_far": so_far(),
                 "here": F.get("template", F.lit(level)),
                 "kind": F.concat_ws(" ", _kind(F.coalesce(F.get("template", F.lit(level + 1)), F.lit("{end}"))), label),
             }
@@ -137,7 +137,7 @@ def templates(shapes: DataFrame) -> DataFrame:
             F.sum("pages").alias("total"), F.sum("blocked").alias("blocked"), F.map_from_entries(F.collect_list(F.struct("kind", "pages"))).alias("kinds")
         )
         wild = F.when(F.col("blocked") * 2 > F.col("total"), "{any blocked}").otherwise("{any}").alias("now")
-        few = branches.where(F.col("total") < SUPPORT).select(*keys, wild)
+        few = branches.where(F.col("total") < SUPPORT).join(places().drop("n"), ["host", "so_far"]).select(*keys, wild)
         supported = branches.where(F.col("total") >= SUPPORT).withColumn("mix", F.expr(_MIX))
         # The first branch by name stands for all of its mix.
         mixes = supported.groupBy("host", "so_far", "mix").agg(
@@ -158,13 +158,14 @@ def templates(shapes: DataFrame) -> DataFrame:
             .select("host", "so_far", "m.mix", F.concat(F.lit("{like "), "m.first", F.lit("}")).alias("now"))
         )
         change = few.unionByName(supported.join(listed, ["host", "so_far", "mix"]).select(*keys, "now"))
-        now = F.concat(F.slice("template", 1, level), F.array("now"), F.expr(f"slice(template, {level + 2}, {LEVELS + 2})"))
+        now = F.concat(F.slice("template", 1, level), F.array("now"), F.expr(f"slice(template, {level + 2}, size(template))"))
         tree = written(
             place.join(change, keys, "left").select(
                 "host", "shape", "labelled", "pages", "share", F.when(F.col("now").isNull(), F.col("template")).otherwise(now).alias("template")
             ),
             "templates",
         )
+        level += 1
     return tree
 
 

@@ -18,3 +18,13 @@ def test_many_sections_of_a_host_are_judged_apart(spark):
         assert {got[x][0] for x in urls} == {"block"}
         assert {got[x][0] for x in clean + rare} == {"allow"}
         assert not {got[x][1] for x in urls} & {got[x][1] for x in clean + rare}
+
+
+def test_deep_branches_are_judged_apart(spark):
+    deep = "http://h.net/es/b/c/d/e/f/g/h", "http://k.net/a/b/c/d/e/f/g/h"
+    rules = [("k.net", "/a/b/c/d/e/f/g/h/spam/", "block")]
+    urls = [f"{deep[1]}/{x}/{w}/{i}" for x in ("spam", "docs") for w in ("u", "v") for i in range(20)]
+    pages = spark.createDataFrame(enumerate([*urls, *[deep[0] + "/x" * 200]]), "page_id long, url string")
+    got = {urls[r.page_id]: (r.verdict, r.template) for r in url_filters.judged(pages, rules).collect() if r.page_id < len(urls)}
+    assert {x: v[0] for x, v in got.items()} == {x: "block" if "/spam/" in x else "allow" for x in urls}
+    assert not {got[x][1] for x in urls if "/spam/" in x} & {got[x][1] for x in urls if "/docs/" in x}
