@@ -1,6 +1,6 @@
 """Cases in which the operators on training text once did less than the whole job."""
 
-from saldo.llm import url_filters
+from saldo.llm import html_rendering, url_filters
 
 
 def verdicts(spark, urls):
@@ -28,3 +28,12 @@ def test_deep_branches_are_judged_apart(spark):
     got = {urls[r.page_id]: (r.verdict, r.template) for r in url_filters.judged(pages, rules).collect() if r.page_id < len(urls)}
     assert {x: v[0] for x, v in got.items()} == {x: "block" if "/spam/" in x else "allow" for x in urls}
     assert not {got[x][1] for x in urls if "/spam/" in x} & {got[x][1] for x in urls if "/docs/" in x}
+
+
+def test_text_of_formulas_and_drawings_is_shown():
+    render = html_rendering.render
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='tex'>x=2</annotation></semantics></math>"
+    assert render(f"<p>If {formula} then") == "If x=2 then"
+    drawing = "<svg><title>t</title><defs/><desc>d</desc><defs><text>no</text></defs><path d='M0'/><text x=1>Sales</text><text>2020</text></svg>"
+    assert render(f"<p>a</p>{drawing}<p>b") == "a\n\nSales\n2020\n\nb"
+    assert render("<svg><g display='none'><text>x</text></g></svg><desc>y</desc>") == "y"
