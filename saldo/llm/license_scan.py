@@ -1,10 +1,12 @@
 """License scans by conditional compression.
 
-Each template is loaded as a zstandard raw-content dictionary. Candidate blocks, the lines, and the sentences of lines not
-confirmed as a whole, that hold a word of licensing, are compressed alone and with every dictionary; templates are ranked by how much smaller
-they make the block. The best ones are confirmed by exact wording: template and block are aligned word by word, and the
-differences (words missing, added, or changed) may be at most DIFFERENT of the template's words, and none of them a number
-or a negation, which make another license of it.
+Each template is loaded as a zstandard raw-content dictionary. Lines that hold a word of licensing are searched for the
+exact wording of every template, as often as it occurs: template and text are aligned word by word,
+and the differences (words missing, added, or changed) may be at most DIFFERENT of the template's words, and none of them a
+number or a negation, which make another license of it. Only parts that lack more of a template's words than that are passed
+over unaligned, so no cap and no reduction keeps a template from being compared. Each part that confirms a template is a block;
+of parts that overlap the longest match stays. Candidate lines without one are compressed alone and with every dictionary;
+templates are ranked by how much smaller they make the line, and the best is named.
 
 Defined cases: null and empty texts have no block; blocks with no confirmed template are returned without a license;
 of equal ranks the first template by name wins; equal rows give equal results. Positions are code points, the end
@@ -14,6 +16,8 @@ exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,13 +54,11 @@ TEMPLATES = {
 NAMES = {"Apache-2.0-header": "Apache-2.0", "MIT-permission": "MIT"}
 #: What a block must hold to be compressed at all.
 CANDIDATE = r"(?i)licen[cs]|copyright|spdx|redistribut|permission is hereby|creative commons|all rights reserved"
-#: Least share by which the best template must make a block smaller.
+#: Least share by which an unconfirmed template must make a block smaller to be named.
 SMALLER = 0.35
 #: Largest share of a template's words that may differ.
 DIFFERENT = 0.15
-#: Templates whose wording is looked at, from the best rank on.
-RANKED = 4
-#: Lines with more words than this are cut into sentences.
+#: Lines with more words than this are cut into sentences where nothing is confirmed.
 LONG = 120
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -67,8 +69,8 @@ def words(text: str) -> list[str]:
     return [x.lower() for x in _WORD.findall(text)]
 
 
-def wording(template: list[str], block: list[str]) -> tuple[int, bool]:
-    """Differences between a template and the part of a block most like it; whether one of them is decisive.
+def aligned(template: list[str], block: list[str]) -> tuple[int, bool, int, int]:
+    """Differences between a template and the part of a block most like it; whether one of them is decisive; that part.
 
     Rows are template words, columns block words; the template may begin and end anywhere in the block.
     """
@@ -83,7 +85,7 @@ def wording(template: list[str], block: list[str]) -> tuple[int, bool]:
         row[1:] = np.minimum(row[1:], steps[i - 1, :-1] + (have != codes.get(word, -1)))
         # Added words cost one each: a running minimum of what is left of each place.
         steps[i] = np.minimum.accumulate(row - offset) + offset
-    j = len(block) - int(np.argmin(steps[-1, ::-1]))  # of equal ones the last, which matches more words
+    j = end = len(block) - int(np.argmin(steps[-1, ::-1]))  # of equal ones the last, which matches more words
     i, count, decisive = len(template), int(steps[-1, j]), False
     while i:
         if j and steps[i, j] == steps[i - 1, j - 1] + (template[i - 1] != block[j - 1]):
@@ -96,7 +98,30 @@ def wording(template: list[str], block: list[str]) -> tuple[int, bool]:
         else:
             decisive |= bool(_DECISIVE.match(block[j - 1]))
             j -= 1
-    return count, decisive
+    return count, decisive, j, end
+
+
+def wording(template: list[str], block: list[str]) -> tuple[int, bool]:
+    """Differences between a template and the part of a block most like it; whether one of them is decisive."""
+    return aligned(template, block)[:2]
+
+
+def places(template: list[str], block: list[str]) -> Iterator[tuple[int, int, int]]:
+    """First word, end and differences of each part of a block that confirms a template."""
+    most = DIFFERENT * len(template)
+    # Each word of the template that a part lacks is a difference.
+    lacking = lambda part: sum((Counter(template) - Counter(part)).values())
+    parts = [(0, len(block))]
+    while parts:
+        low, high = parts.pop()
+        if lacking(block[low:high]) > most:
+            continue
+        count, decisive, first, end = aligned(template, block[low:high])
+        if count > most:
+            continue
+        if not decisive:
+            yield low + first, low + end, count
+        parts += [(low, low + first), (low + end, high)]
 
 
 class Templates:
@@ -121,21 +146,39 @@ class Templates:
 
     def judge(self, block: str) -> tuple[str | None, float, int | None, bool]:
         """The confirmed template (or the best), its reduction and differences, and whether it is confirmed."""
-        data = block.lower().encode()
-        alone = len(self._alone.compress(data))
-        sizes = [len(x.compress(data)) for x in self._with]
-        ranked = sorted(range(len(sizes)), key=lambda i: (sizes[i], -len(self.words[i]), i))[:RANKED]
+        reductions = self.reductions(block)
         own, best = words(block), None
-        for i in ranked:
-            smaller = 1 - sizes[i] / alone
-            if smaller < SMALLER:
-                break
+        for i in self._ranked(reductions):
             count, decisive = wording(self.words[i], own)
-            found = (self.names[i], smaller, count, not decisive and count <= DIFFERENT * len(self.words[i]))
+            found = (self.names[i], reductions[i], count, not decisive and count <= DIFFERENT * len(self.words[i]))
             if found[3]:
                 return found
-            best = best or found
-        return best or (None, 1 - sizes[ranked[0]] / alone, None, False)
+            best = best or (found if reductions[i] >= SMALLER else None)
+        return best or (None, max(reductions), None, False)
+
+    def reductions(self, block: str) -> list[float]:
+        """Per template the share by which it makes a block smaller."""
+        data = block.lower().encode()
+        alone = len(self._alone.compress(data))
+        return [1 - len(x.compress(data)) / alone for x in self._with]
+
+    def _ranked(self, reductions: list[float]) -> list[int]:
+        """Places of the templates, what makes the block smallest first."""
+        return sorted(range(len(reductions)), key=lambda i: (-reductions[i], -len(self.words[i]), i))
+
+    def confirmed(self, own: list[str]) -> list[tuple[int, int, int, int]]:
+        """First word, end, differences and template of the parts of a block that confirm one, in order.
+
+        Of parts that overlap the one of most matching words stays.
+        """
+        found = [(first, end, count, i) for i, x in enumerate(self.words) for first, end, count in places(x, own)]
+        found.sort(key=lambda x: (x[2] - len(self.words[x[3]]), x[2], x[0], x[3]))
+        out, taken = [], bytearray(len(own))
+        for x in found:
+            if not any(taken[x[0] : x[1]]):
+                taken[x[0] : x[1]] = b"\1" * (x[1] - x[0])
+                out.append(x)
+        return sorted(out)
 
 
 @lru_cache(maxsize=4)
@@ -143,12 +186,12 @@ def _loaded(templates: tuple[tuple[str, str], ...]) -> Templates:
     return Templates(templates)
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """Start and text of the candidate lines of a text."""
+def paragraphs(text: str) -> Iterator[list[tuple[int, str]]]:
+    """Start and text of each candidate line of a text."""
     test, at = re.compile(CANDIDATE), 0
     for line in text.split("\n"):
         if test.search(line):
-            yield at, line
+            yield [(at, line)]
         at += len(line) + 1
 
 
@@ -163,19 +206,41 @@ def sentences(at: int, line: str) -> Iterator[tuple[int, str]]:
 
 
 def judged(text: str, loaded: Templates) -> list[tuple]:
-    """(start, end, template, reduction, differences, confirmed) of the candidate blocks: each line, or, where that is not
-    confirmed, those of its sentences that are. Lines of more than LONG words are judged by sentence at once."""
-    out = []
-    for start, line in blocks(text):
-        long = line.count(" ") >= LONG
-        whole = (start, start + len(line), None, 0.0, None, False) if long else (start, start + len(line), *loaded.judge(line))
-        if not whole[-1]:
-            parts = [(at, at + len(x), *loaded.judge(x)) for at, x in sentences(start, line)]
-            confirmed = [x for x in parts if x[-1]]
-            out += confirmed or ([whole] if not long else parts)
-        else:
-            out.append(whole)
-    return out
+    """(start, end, template, reduction, differences, confirmed) of the candidate blocks.
+
+    Lines are searched whole. What confirms a template gives a block: its line or lines, or,
+    where these confirm several or hold more than the one, its sentences. Candidate lines with nothing confirmed are blocks
+    without a license; those of more than LONG words by sentence.
+    """
+    out, test = [], re.compile(CANDIDATE)
+    for lines in paragraphs(text):
+        starts = [at for at, _ in lines]
+        first, last = starts[0], lines[-1][0] + len(lines[-1][1])
+        inside = text[first:last]
+        spans = [(x.start() + first, x.end() + first) for x in _WORD.finditer(inside)]
+        found = loaded.confirmed(words(inside))
+        # The sentences of the paragraph; what stands between them is white space.
+        cuts = [first, *(x.end() + first for x in _SENTENCE.finditer(inside))]
+        ends = [*(x.start() + first for x in _SENTENCE.finditer(inside)), last]
+        line = lambda at: bisect_right(starts, at) - 1  # noqa: B023, E731
+        hits = [(spans[a][0], spans[b - 1][1], count, i) for a, b, count, i in found]
+        holds = Counter(k for a, b, _, _ in hits for k in range(line(a), line(b - 1) + 1))
+        for a, b, count, i in hits:
+            k, n = line(a), line(b - 1)
+            block = starts[k], starts[n] + len(lines[n][1])
+            smaller = loaded.reductions(text[slice(*block)])[i]
+            if any(holds[x] > 1 for x in range(k, n + 1)) or smaller < SMALLER:
+                block = max(block[0], cuts[bisect_right(cuts, a) - 1]), min(block[1], ends[bisect_right(cuts, b - 1) - 1])
+                # In a sentence with another notice, the notice alone.
+                block = tuple(block) if not any(x[0] < block[1] and block[0] < x[1] for x in hits if x != (a, b, count, i)) else (a, b)
+                smaller = loaded.reductions(text[slice(*block)])[i]
+            out.append((*block, loaded.names[i], smaller, count, True))
+        for k, (at, value) in enumerate(lines):
+            if holds[k] or not test.search(value):
+                continue
+            parts = sentences(at, value) if value.count(" ") >= LONG else [(at, value)]
+            out += [(start, start + len(x), *loaded.judge(x)) for start, x in parts]
+    return sorted(out, key=lambda x: x[:2])
 
 
 RESULT = "doc_id long, start long, `end` long, template string, license string, reduction double, differences int, confirmed boolean"

@@ -1,6 +1,6 @@
 """Cases in which the operators on training text once did less than the whole job."""
 
-from saldo.llm import html_rendering, url_filters
+from saldo.llm import html_rendering, license_scan, url_filters
 
 
 def verdicts(spark, urls):
@@ -37,3 +37,18 @@ def test_text_of_formulas_and_drawings_is_shown():
     drawing = "<svg><title>t</title><defs/><desc>d</desc><defs><text>no</text></defs><path d='M0'/><text x=1>Sales</text><text>2020</text></svg>"
     assert render(f"<p>a</p>{drawing}<p>b") == "a\n\nSales\n2020\n\nb"
     assert render("<svg><g display='none'><text>x</text></g></svg><desc>y</desc>") == "y"
+
+
+def licenses(text):
+    """Text and license of the blocks that are confirmed."""
+    loaded = license_scan.Templates(tuple(sorted(license_scan.TEMPLATES.items())))
+    return [(text[x[0] : x[1]], license_scan.NAMES.get(x[2], x[2])) for x in license_scan.judged(text, loaded) if x[-1]]
+
+
+def test_every_template_of_a_block_is_confirmed():
+    long = "The code samples that go with this article, unless the author says otherwise, are released under the MIT License."
+    assert licenses(long) == [(long, "MIT")]
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    assert licenses(two) == [("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")]
+    again = "Released under the MIT License.\n" * 3
+    assert licenses(again) == [("Released under the MIT License.", "MIT")] * 3
