@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
-Each template is loaded as a zstandard raw-content dictionary. Lines that hold a word of licensing are searched for the
-exact wording of every template, as often as it occurs: template and text are aligned word by word,
+Each template is loaded as a zstandard raw-content dictionary. Paragraphs that hold a word of licensing are searched for the
+exact wording of every template, over the ends of lines and as often as it occurs: template and text are aligned word by word,
 and the differences (words missing, added, or changed) may be at most DIFFERENT of the template's words, and none of them a
 number or a negation, which make another license of it. Only parts that lack more of a template's words than that are passed
 over unaligned, so no cap and no reduction keeps a template from being compared. Each part that confirms a template is a block;
@@ -53,7 +53,7 @@ TEMPLATES = {
 #: Licenses whose name the results give for a template.
 NAMES = {"Apache-2.0-header": "Apache-2.0", "MIT-permission": "MIT"}
 #: What a block must hold to be compressed at all.
-CANDIDATE = r"(?i)licen[cs]|copyright|spdx|redistribut|permission is hereby|creative commons|all rights reserved"
+CANDIDATE = r"(?i)licen[cs]|copyright|spdx|redistribut|permission\s+is\s+hereby|creative\s+commons|all\s+rights\s+reserved"
 #: Least share by which an unconfirmed template must make a block smaller to be named.
 SMALLER = 0.35
 #: Largest share of a template's words that may differ.
@@ -187,11 +187,15 @@ def _loaded(templates: tuple[tuple[str, str], ...]) -> Templates:
 
 
 def paragraphs(text: str) -> Iterator[list[tuple[int, str]]]:
-    """Start and text of each candidate line of a text."""
-    test, at = re.compile(CANDIDATE), 0
-    for line in text.split("\n"):
-        if test.search(line):
-            yield [(at, line)]
+    """Starts and texts of the adjacent lines that are not blank, where one is a candidate or the lines together are."""
+    test, at, lines = re.compile(CANDIDATE), 0, []
+    for line in [*text.split("\n"), ""]:
+        if line.strip():
+            lines.append((at, line))
+        elif lines:
+            if test.search(" ".join(x.strip() for _, x in lines)):
+                yield lines
+            lines = []
         at += len(line) + 1
 
 
@@ -208,7 +212,7 @@ def sentences(at: int, line: str) -> Iterator[tuple[int, str]]:
 def judged(text: str, loaded: Templates) -> list[tuple]:
     """(start, end, template, reduction, differences, confirmed) of the candidate blocks.
 
-    Lines are searched whole. What confirms a template gives a block: its line or lines, or,
+    Paragraphs are searched whole, with white space folded. What confirms a template gives a block: its line or lines, or,
     where these confirm several or hold more than the one, its sentences. Candidate lines with nothing confirmed are blocks
     without a license; those of more than LONG words by sentence.
     """

@@ -1,5 +1,7 @@
 """Cases in which the operators on training text once did less than the whole job."""
 
+import textwrap
+
 from saldo.llm import html_rendering, license_scan, url_filters
 
 
@@ -45,6 +47,16 @@ def licenses(text):
     return [(text[x[0] : x[1]], license_scan.NAMES.get(x[2], x[2])) for x in license_scan.judged(text, loaded) if x[-1]]
 
 
+def test_wrapped_notices_are_confirmed():
+    for name in ("MIT-permission", "BSD-2-Clause", "Apache-2.0-header"):
+        for width in (20, 45, 72):
+            lines = textwrap.wrap(license_scan.TEMPLATES[name], width, break_long_words=False, break_on_hyphens=False)
+            notice = "\n".join(lines)
+            assert licenses(f"A title\n\n{notice}\n\nAnd more.") == [(notice, license_scan.NAMES.get(name, name))]
+            marked = "\r\n".join("   " + x for x in lines)
+            assert [x[1] for x in licenses(marked)] == [license_scan.NAMES.get(name, name)]
+
+
 def test_every_template_of_a_block_is_confirmed():
     long = "The code samples that go with this article, unless the author says otherwise, are released under the MIT License."
     assert licenses(long) == [(long, "MIT")]
