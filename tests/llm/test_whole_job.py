@@ -1,8 +1,11 @@
 """Cases in which the operators on training text once did less than the whole job."""
 
+import random
 import textwrap
 
-from saldo.llm import html_rendering, license_scan, url_filters
+from pyspark.sql import functions as F
+
+from saldo.llm import html_rendering, license_scan, pii, url_filters
 
 
 def verdicts(spark, urls):
@@ -64,3 +67,24 @@ def test_every_template_of_a_block_is_confirmed():
     assert licenses(two) == [("Released under the MIT License.", "MIT"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")]
     again = "Released under the MIT License.\n" * 3
     assert licenses(again) == [("Released under the MIT License.", "MIT")] * 3
+
+
+def test_numbers_beside_numbers_are_found(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = []
+    for i in range(600):
+        texts.append(f"please call +1 ({number(3)}) 555-{number(4)} today number {i}")
+        texts.append(f"order {number(12)} was shipped, item {i} of {number(9)}")
+    model = pii.fit(spark.createDataFrame(enumerate(texts), "doc_id long, text string"))
+    lists = {
+        "call (743) 555-3824 (212) 555-0199 today": ["(743) 555-3824", "(212) 555-0199"],
+        "call (743) 555-3824. 2024 was long": ["(743) 555-3824"],
+        "call " + " ".join(["(743) 555-3824"] * 40): ["(743) 555-3824"] * 40,
+    }
+    given = spark.createDataFrame(enumerate(lists), "doc_id long, text string")
+    rows = pii.with_spans(given, model).select("text", "_spans").collect()
+    assert {r.text: [r.text[s.start : s.end] for s in r._spans] for r in rows} == lists
+    proposed = pii.with_runs(spark.createDataFrame([("pay 4111 1111 1111 1111 2025 or 555-123-4567. 20240501",)], "t string"), "t")
+    spans = proposed.select("t", F.explode(pii.candidates()).alias("c")).collect()
+    assert {"4111 1111 1111 1111", "555-123-4567"} <= {r.t[r.c.start : r.c.end] for r in spans}
