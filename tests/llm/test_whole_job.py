@@ -5,7 +5,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
-from saldo.llm import html_rendering, license_scan, pii, url_filters
+from saldo.llm import html_rendering, language_id, license_scan, pii, url_filters
 
 
 def verdicts(spark, urls):
@@ -88,3 +88,16 @@ def test_numbers_beside_numbers_are_found(spark):
     proposed = pii.with_runs(spark.createDataFrame([("pay 4111 1111 1111 1111 2025 or 555-123-4567. 20240501",)], "t string"), "t")
     spans = proposed.select("t", F.explode(pii.candidates()).alias("c")).collect()
     assert {"4111 1111 1111 1111", "555-123-4567"} <= {r.t[r.c.start : r.c.end] for r in spans}
+
+
+def test_languages_by_all_words_of_a_text(spark):
+    rng = random.Random(6)
+    made = lambda letters, n: ["".join(rng.choice(letters) for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+    words = {"aa": made("abcdefgh", 300), "bb": made("mnopqrst", 300)}
+    rows = [(" ".join(rng.choices(words[x], k=150)), x) for x in words for _ in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    # Of the one language many words of a small vocabulary, of the other a list of more different words.
+    long = " ".join(rng.choices(words["aa"][:60], k=3000)) + " " + " ".join(words["bb"][:200])
+    given = spark.createDataFrame([(long,), (" ".join(words["bb"][:200]),)], "text string")
+    got = {r.text: r.p.lang_pred for r in given.select("text", language_id.prediction(model).alias("p")).collect()}
+    assert got == {long: "aa", " ".join(words["bb"][:200]): "bb"}
