@@ -11,11 +11,14 @@ from saldo.llm import (
     html_rendering,
     jaccard_join,
     language_id,
+    lexical_search,
     license_scan,
     packing,
     pii,
     quality_rules,
+    resampling,
     sampled_pieces,
+    token_files,
     url_filters,
 )
 
@@ -82,3 +85,22 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_html_rendering(spark: SparkSession, folder: str) -> DataFrame:
     return html_rendering.extract(table(spark, folder, "pages"))
+
+
+@query
+def op11_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.digests(table(spark, folder, "documents"))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLE["op11_resampling"] = resampling.ORACLE
+ORACLE["op13_lexical_search"] = lexical_search.ORACLE
