@@ -3,12 +3,17 @@
 Each document's tokens, closed by an end mark, form one piece, or several if they are more than a sequence holds: then
 all but the first are of full length. Pieces are packed whole.
 
-Pieces and gaps are ranged by size. In each superstep the pieces of the largest size still open go together to their
-successor among the gaps, the smallest that holds them; where many pieces want one gap their ranks decide, each gap
-taking as many as fit, in order; gaps are updated and the next superstep begins. As all pieces of one size are alike, a
-superstep moves ranges of ranks, not rows: the sweep works on one counter per size (at most the capacity, 1024 by
-default, however many documents there are), and each piece then finds its sequence by looking up its own rank. This
-gives exactly best-fit decreasing. Ranks come from counters kept by the tokenizing tasks and from their sums.
+Pieces of more than half a sequence open one each. The others go by bands of length, the long ones first; a band holds what
+fits equally often into an empty sequence (short lengths are put together, down to half the longest). A superstep range-sorts
+the band's open pieces and all gaps that may hold one, by size, and sweeps each range from its large end: a gap goes onto a
+stack, a piece takes the gap on top, which is its successor, the smallest that holds it and is still free; of pieces that
+want the same gap the first in rank gets it. What a range leaves over is settled between ranges: pieces go on to the gaps of
+the ranges above, the nearest first, and only counts per range are needed to say which piece takes which. Gaps are updated and
+written, and the next superstep begins, until no piece finds a gap; then pieces next to each other in rank open sequences
+together, as many to each as fit. Each piece and each gap is a row; ranges split equal sizes by key, so no size is too common.
+
+This needs as many sequences as best-fit decreasing does one piece after the other, in all cases tried (see the tests). The
+number of supersteps follows the bands, not the documents. What reaches the driver is one counter per length and per range.
 
 Defined cases: a null text counts as empty and yields one piece holding only the end mark; no row gives no sequence;
 equal rows are packed separately; null ids are kept.
@@ -18,9 +23,9 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -174,21 +179,21 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, rank long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, id long"
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """The pieces of every document, with the task that made each (block) and its rank there among those of its length."""
+    """The pieces of every document, each with an id: the number of the task that made it, and its number there."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
     names = [x.split()[0] for x in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
     mark = end.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, seen, block = ids_of(vocabulary), [0] * (capacity + 1), TaskContext.get().partitionId()
+        ids, own = ids_of(vocabulary), TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             for key, coded in zip(batch.column(0).to_pylist(), ids(batch.column(1)), strict=True):
@@ -199,8 +204,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     crc = zlib.crc32(coded[start : start + length])
                     if start + length == total:
                         crc = zlib.crc32(mark, crc)
-                    out.append((key, piece, start, length, crc, block, seen[length]))
-                    seen[length] += 1
+                    out.append((key, piece, start, length, crc, own))
+                    own += 1
                     start, piece, length = start + length, piece + 1, capacity
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -211,85 +216,200 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Where pieces go: (length, first rank, past the last rank, first sequence, pieces per sequence, offset).
+@dataclass
+class _Range:
+    """What the sweep of one range leaves over."""
 
-    counts: the number of pieces of each length. Piece r of a range goes to sequence first + (r - first rank) // per.
-    """
-    moves: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # by what is left: ranges of sequences
-    sizes: list[int] = []
-    opened = 0
-
-    def put_back(left: int, first: int, past: int) -> None:
-        if left > 0 and past > first:
-            if left not in gaps:
-                gaps[left] = []
-                insort(sizes, left)
-            gaps[left].append((first, past))
-
-    for length in sorted(counts, reverse=True):
-        rank, total = 0, counts[length]
-        while rank < total:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):
-                size = sizes[at]
-                first, past = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size]
-                    sizes.pop(at)
+    part: int
+    gaps: int
+    pieces: int
+    longest: int
+    shortest: int
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sweeps one range of (size, kind, key), sorted from the large end, gaps before pieces of equal size."""
+    part, stack, missed = TaskContext.get().partitionId(), [], 0
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, _SWEPT_KINDS, strict=True)], _SWEPT_NAMES)
+
+    for batch in batches:
+        rows = []
+        for size, kind, key in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if kind == GAP:
+                stack.append((key, size))
+            elif stack:
+                sequence, left = stack.pop()
+                rows.append((MATCHED, part, None, key, size, sequence, left))
             else:
-                size, first = capacity, opened
-                past = opened = first + -(-(total - rank) // (capacity // length))
-            each = size // length
-            full = min(past - first, (total - rank) // each)
-            if full:
-                moves.append((length, rank, rank + full * each, first, each, capacity - size))
-                rank += full * each
-                put_back(size - each * length, first, first + full)
-                first += full
-            if first < past and rank < total:  # fewer are left than one gap takes
-                moves.append((length, rank, total, first, each, capacity - size))
-                put_back(size - (total - rank) * length, first, first + 1)
-                rank, first = total, first + 1
-            put_back(size, first, past)
-    return moves
+                rows.append((PIECE, part, missed, key, size, None, None))
+                missed += 1
+        if rows:
+            yield batch_of(rows)
+    for first in range(0, len(stack), 10_000):
+        yield batch_of([(GAP, part, i, None, None, *stack[i]) for i in range(first, min(first + 10_000, len(stack)))])
 
 
-def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (length, block, rank and any other columns) with sequence_id and offset instead of block and rank."""
-    folder = new_folder(spark, "pieces")
-    made.write.parquet(folder)
-    made = spark.read.schema(made.schema).parquet(folder)
-    # One row per task and length at most, then one per length: these are all the counters there are.
-    blocks = made.groupBy("length", "block").agg(F.count(F.lit(1)).alias("here"))
-    before = blocks.select(
-        "length",
-        "block",
-        (F.sum("here").over(Window.partitionBy("length").orderBy("block")) - F.col("here")).alias("before"),
-    )
-    counts = {row["length"]: row["count"] for row in made.groupBy("length").count().collect()}
-    moves = sweep(counts, capacity)
-    # Ranges of one length are looked up as one sorted list per length.
-    ranges = spark.createDataFrame(
-        [
-            (length, [[x[1], x[3], x[4], x[5]] for x in sorted(moves) if x[0] == length])
-            for length in sorted(counts)
-        ],
-        "length long, ranges array<array<long>>",
-    )
-    place = F.col("rank") + F.col("before")
-    found = F.expr("ranges[aggregate(ranges, -1, (n, x) -> IF(x[0] <= place, n + 1, n))]")
-    return (
-        made.join(before, ["length", "block"])
-        .join(F.broadcast(ranges), "length")
-        .withColumn("place", place)
-        .withColumn("found", found)
-        .withColumn("nth", F.col("place") - F.col("found")[0])
-        .withColumn("sequence_id", F.expr("found[1] + nth div found[2]"))
-        .withColumn("offset", F.col("found")[3] + F.col("nth") % F.col("found")[2] * F.col("length"))
-        .drop("block", "rank", "before", "ranges", "place", "found", "nth")
+GAP, PIECE, MATCHED = 0, 1, 2
+_SWEPT = "what int, part int, at long, id long, length long, sequence_id long, room long"
+_SWEPT_NAMES = [x.split()[0] for x in _SWEPT.split(", ")]
+_SWEPT_KINDS = [pa.int32(), pa.int32(), *[pa.int64()] * 5]
+#: Rows per range of a superstep, about, and ranges at least.
+RANGE_ROWS = 50_000
+RANGES = 4
+
+
+def settle(ranges: list[_Range]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """Which leftover pieces take which leftover gaps of the ranges above, and how many of each range do.
+
+    (part of the pieces, first of them, past the last, part of the gaps, gap of the first): the pieces take gaps downwards.
+    """
+    moves, stack, done = [], [], {}
+    for x in sorted(ranges, key=lambda x: x.part):
+        taken = 0
+        while taken < x.pieces and stack:
+            part, free = stack[-1]
+            n = min(free, x.pieces - taken)
+            moves.append((x.part, taken, taken + n, part, free - 1))
+            taken += n
+            stack[-1] = (part, free - n)
+            if free == n:
+                stack.pop()
+        done[x.part] = taken
+        if x.gaps:
+            stack.append((x.part, x.gaps))
+    return moves, done
+
+
+class _Packing:
+    """The tables of a packing under way, below one shared folder."""
+
+    def __init__(self, spark: SparkSession, capacity: int):
+        self.spark, self.capacity = spark, capacity
+        self.folder = new_folder(spark, "packing")
+        self.step = 0
+        self.placed: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        folder = f"{self.folder}/{name}-{self.step:04}"
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def swept(self, open_: DataFrame, gaps: DataFrame, rows: int) -> tuple[DataFrame, list[_Range]]:
+        """The sweep of a superstep, and what its ranges leave over."""
+        most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(min(RANGES, most), min(most, -(-rows // RANGE_ROWS)))
+        both = gaps.select(F.col("room").alias("size"), F.lit(GAP).alias("kind"), F.col("sequence_id").alias("key")).unionByName(
+            open_.select(F.col("length").alias("size"), F.lit(PIECE).alias("kind"), F.col("id").alias("key"))
+        )
+        order = [F.desc("size"), F.asc("kind"), F.asc("key")]
+        ranged = both.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        found = self.written(ranged.mapInArrow(_sweep, _SWEPT), "swept")
+        left = (
+            found.groupBy("part")
+            .agg(
+                F.count_if(F.col("what") == GAP).alias("gaps"),
+                F.count_if(F.col("what") == PIECE).alias("pieces"),
+                F.coalesce(F.max(F.when(F.col("what") == PIECE, F.col("length"))), F.lit(0)).alias("longest"),
+                F.coalesce(F.min(F.when(F.col("what") == PIECE, F.col("length"))), F.lit(0)).alias("shortest"),
+            )
+            .collect()
+        )
+        return found, [_Range(*x) for x in left]
+
+    def matched(self, found: DataFrame, moves: list[tuple]) -> tuple[DataFrame, DataFrame]:
+        """Pieces with their gaps, those settled between ranges included, and the gaps that stay as they are."""
+        gaps = found.where(F.col("what") == GAP)
+        pairs = found.where(F.col("what") == MATCHED).select("id", "length", "sequence_id", "room")
+        if not moves:
+            return pairs, gaps.select("sequence_id", "room")
+        # At most two moves per range.
+        moved = F.broadcast(self.spark.createDataFrame(moves, "part int, first long, past long, above int, top long"))
+        wanting = found.where(F.col("what") == PIECE).select("part", "at", "id", "length")
+        wanting = wanting.join(moved, "part").where("at >= first AND at < past")
+        wanting = wanting.select("id", "length", F.col("above").alias("part"), (F.col("top") - (F.col("at") - F.col("first"))).alias("at"))
+        settled = self.written(gaps.select("part", "at", "sequence_id", "room").join(wanting, ["part", "at"]), "settled")
+        rest = gaps.join(settled.select("part", "at"), ["part", "at"], "left_anti").select("sequence_id", "room")
+        return pairs.unionByName(settled.select("id", "length", "sequence_id", "room")), rest
+
+    def place(self, rows: DataFrame) -> None:
+        self.placed.append(rows.select("id", "sequence_id", "offset"))
+
+
+def superstep(state: _Packing, open_: DataFrame, gaps: DataFrame, low: int, rows: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """One superstep for the open pieces of a band, all longer than low; rows: how many of these and gaps there are.
+
+    Gives the pieces still open and all gaps, and how many there are of each.
+    """
+    state.step += 1
+    found, ranges = state.swept(open_, gaps.where(F.col("room") > low), rows)
+    moves, done = settle(ranges)
+    pairs, rest = state.matched(found, moves)
+    state.place(pairs.withColumn("offset", F.lit(state.capacity) - F.col("room")))
+    behind = pairs.select("sequence_id", (F.col("room") - F.col("length")).alias("room")).where("room > 0")
+    gaps = state.written(gaps.where(F.col("room") <= low).unionByName(rest).unionByName(behind), "gaps")
+    seen = gaps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("room"), F.lit(0)).alias("room")).first()
+
+    # Those that found no gap, numbered by rank.
+    missing, numbers, left = [x for x in ranges if x.pieces > done[x.part]], [], 0
+    for x in sorted(missing, key=lambda x: x.part):
+        numbers.append((x.part, done[x.part], left - done[x.part]))
+        left += x.pieces - done[x.part]
+    if not left:
+        return open_, gaps, 0, seen["n"]
+    shift = F.broadcast(state.spark.createDataFrame(numbers, "part int, taken long, shift long"))
+    missed = found.where(F.col("what") == PIECE).join(shift, "part").where("at >= taken")
+    missed = missed.select("id", "length", (F.col("at") + F.col("shift")).alias("rank"))
+    if seen["room"] >= min(x.shortest for x in missing):  # a gap may hold one more
+        return missed.select("id", "length"), gaps, left, seen["n"]
+
+    # Neighbours in rank open sequences together, as many as fit of the longest, which comes first.
+    each = state.capacity // max(x.longest for x in missing)
+    whole = left // each * each or left
+    opening = missed.where(F.col("rank") < whole).withColumn("group", F.floor(F.col("rank") / each).cast("long"))
+    so_far = Window.partitionBy("group").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    opening = opening.select(
+        "id", "length", F.first("id").over(so_far).alias("sequence_id"), (F.sum("length").over(so_far) - F.col("length")).alias("offset")
     )
+    opened = state.written(opening, "opened")
+    state.place(opened)
+    new = opened.groupBy("sequence_id").agg((F.lit(state.capacity) - F.sum("length")).alias("room")).where("room > 0")
+    new = state.written(new, "new")
+    return missed.where(F.col("rank") >= whole).select("id", "length"), gaps.unionByName(new), left - whole, seen["n"] + whole // each
+
+
+def bands(counts: dict[int, int], capacity: int) -> Iterator[tuple[int, int]]:
+    """(low, high) of the bands of lengths up to half the capacity, the long ones first; pieces are longer than low."""
+    lengths = sorted((x for x in counts if 2 * x <= capacity), reverse=True)
+    while lengths:
+        high = lengths[0]
+        times = capacity // high
+        low = capacity // (times + 1) if times < 16 else high // 2
+        yield low, high
+        lengths = [x for x in lengths if x <= low]
+
+
+def pack(spark: SparkSession, made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Pieces (length, id and any other columns) with sequence_id and offset instead of id."""
+    state = _Packing(spark, capacity)
+    made = state.written(made, "pieces")
+    counts = {row["length"]: row["count"] for row in made.groupBy("length").count().collect()}  # up to the capacity
+    alone = F.col("length") * 2 > capacity
+    gaps = made.where(alone & (F.col("length") < capacity))
+    gaps = gaps.select(F.col("id").alias("sequence_id"), (F.lit(capacity) - F.col("length")).alias("room"))
+    n_gaps = sum(n for length, n in counts.items() if capacity < 2 * length < 2 * capacity)
+    for low, high in bands(counts, capacity):
+        open_ = made.where((F.col("length") > low) & (F.col("length") <= high)).select("id", "length")
+        left = sum(n for length, n in counts.items() if low < length <= high)
+        while left:
+            open_, gaps, left, n_gaps = superstep(state, open_, gaps, low, left + n_gaps)
+    own = made.where(alone).withColumn("sequence_id", F.col("id")).withColumn("offset", F.lit(0).cast("long"))
+    if not state.placed:
+        return own.drop("id")
+    placed = reduce(DataFrame.unionByName, state.placed)
+    return own.unionByName(made.where(~alone).join(placed, "id")).drop("id")
 
 
 def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
