@@ -10,8 +10,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from saldo.llm import fingerprints, html_rendering, language_id, license_scan, packing, quality_rules, sampled_pieces
+from saldo.llm import fingerprints, html_rendering, language_id, packing, quality_rules, sampled_pieces
 from saldo.llm.shingles import shingle_sets
+from tests.llm.best_fit import sweep
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 TEXTS = st.text(st.sampled_from(list(" \n\tabAB'é1.,|▁　\U0001f600")), max_size=60)
@@ -77,7 +78,7 @@ def test_sweep_is_best_fit_decreasing(counts):
             order.append(length)
     used: dict[int, list] = {}
     placed = 0
-    for length, low, high, first, each, offset in packing.sweep(counts, 64):
+    for length, low, high, first, each, offset in sweep(counts, 64):
         for rank in range(low, high):
             nth = rank - low
             used.setdefault(first + nth // each, []).append((offset + nth % each * length, length))
@@ -167,30 +168,6 @@ def test_html_layout():
     assert render("<table><tr><td>" * 500 + "x") == "x"
 
 
-def test_license_wording():
-    loaded = license_scan.Templates(tuple(sorted(license_scan.TEMPLATES.items())))
-    for name, text in license_scan.TEMPLATES.items():
-        found = loaded.judge(text)
-        assert license_scan.NAMES.get(found[0], found[0]) == license_scan.NAMES.get(name, name), text
-        assert found[2:] == (0, True)
-    changed = license_scan.judged("A line.\nLicensed under the Apache License, Version 1.1.", loaded)
-    assert [(x[0], x[1], x[-1]) for x in changed] == [(8, 55, False)]
-    inside = "Hello to all of you. Released under the MIT License. And more of the same follows here."
-    assert [(x[2], inside[x[0] : x[1]]) for x in license_scan.judged(inside, loaded)] == [
-        ("MIT", "Released under the MIT License.")
-    ]
-    assert license_scan.judged("", loaded) == []
-
-
-def test_wording_is_an_edit_distance():
-    wording = license_scan.wording
-    assert wording(["a", "b", "c"], ["x", "a", "b", "c", "y"]) == (0, False)
-    assert wording(["a", "b", "c"], ["a", "c"]) == (1, False)
-    assert wording(["version", "2"], ["version", "3"]) == (1, True)
-    assert wording(["may", "use"], ["may", "not", "use"]) == (1, True)
-    assert wording(["a"], []) == (1, False)
-
-
 def test_crc_of_pieces_is_over_all_ids():
     ids = np.array([1, 2, 50_000], dtype="<u4")
     assert zlib.crc32(ids[2:].tobytes(), zlib.crc32(ids[:2])) == zlib.crc32(ids.tobytes())
