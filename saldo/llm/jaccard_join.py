@@ -13,8 +13,8 @@ if it passes under all of them:
 
 Documents of the same set form a class and are compared once. The classes around one rare shingle are compared in blocks,
 each within a task and without writing out the pairs: with one pivot, and only what does not link with it with the others,
-for what is connected need not be compared again to know the components. No link is lost. `n_links` counts the documents that
-each links with, in blocks of the classes of a component.
+for what is connected need not be compared again to know the components. No link is lost. Blocks are bounded by classes and
+by the shingles that these have together, so a block of very long texts holds few of them.
 
 Hashes have 64 bits; classes are told apart by 128.
 
@@ -37,8 +37,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from saldo.llm.components import components, written
 from saldo.llm.shingles import mix, shingle_sets
 
-#: Classes per block.
+#: Classes per block, and shingles of these together, about.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
 #: The share of a set that linked ones must share under the order by hash, when rarity is looked at.
 SEVERAL = 0.3
 
@@ -173,7 +174,8 @@ def links_of_classes(sets: DataFrame) -> DataFrame:
     smaller = around.groupBy("class").agg(F.min("pivot").alias("first"))
     groups = around.join(smaller.withColumnRenamed("class", "pivot"), "pivot").select(F.col("first").alias("pivot"), "class")
     groups = groups.unionByName(groups.select("pivot", F.col("pivot").alias("class"))).distinct()
-    counts = groups.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    sizes = sets.select("class", "n")
+    counts = groups.join(sizes, "class").groupBy("pivot").agg(_blocks_for(F.lit(True), BLOCK).alias("blocks"), F.count(F.lit(1)).alias("size"))
     groups = groups.join(counts.where("size > 1").select("pivot", "blocks"), "pivot")
     at = F.when(F.col("pivot") == F.col("class"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -190,15 +192,20 @@ def links_of_classes(sets: DataFrame) -> DataFrame:
     return links.unionByName(links_across(written(placed, "placed"), sets))
 
 
+def _blocks_for(chosen, block: int):
+    """How many blocks a group's chosen classes are dealt into."""
+    several = F.greatest(F.count_if(chosen) / block, F.sum(F.when(chosen, F.col("n"))) / BLOCK_SHINGLES)
+    return F.coalesce(F.ceil(several), F.lit(0)).cast("int")
+
+
 def links_across(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) within each group (pivot) between classes of different places, one of them out of the pivot's place.
 
     The classes out of place, and those in it, are dealt into blocks by a digest; each block of the former meets every
     block of the group in a task of its own, which returns one link at most for two places.
     """
-    counts = placed.groupBy("pivot").agg(
-        F.ceil(F.count_if("out") / block).cast("int").alias("outs"),
-        F.ceil(F.count_if(~F.col("out")) / block).cast("int").alias("ins"),
+    counts = placed.join(sets.select("class", "n"), "class").groupBy("pivot").agg(
+        _blocks_for(F.col("out"), block).alias("outs"), _blocks_for(~F.col("out"), block).alias("ins")
     )
     rows = placed.join(counts.where("outs > 0"), "pivot")
     rows = rows.withColumn("at", F.pmod(F.xxhash64("class"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
@@ -306,39 +313,6 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
     return found.drop_duplicates(["p", "q"])[["a", "b"]]
 
 
-def _count(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of the classes of one pair of blocks, in numbers of documents."""
-    left, right = _blocks(frame)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"class": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
-    both = _overlaps(*([np.asarray(t, dtype=np.int64) for t in part.tokens] for part in (left, right)))
-    n, m = left.n.to_numpy()[:, None], right.n.to_numpy()[None, :]
-    linked = 100 * both >= 80 * (n + m - both)
-    out = [pd.DataFrame({"class": left["class"], "links": linked @ right.copies.to_numpy()})]
-    if right is not left:
-        out.append(pd.DataFrame({"class": right["class"], "links": left.copies.to_numpy() @ linked}))
-    return pd.concat(out)
-
-
-def count_links(sets: DataFrame, placed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(class, links): the documents that each document of a class links with, itself included.
-
-    placed: (class, component). The classes of a component are dealt into blocks by a digest, and each pair of blocks
-    is one group of at most about 2 * block sets, so that a large component spreads over many tasks.
-    """
-    sizes = placed.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    rows = sets.select("class", "n", "copies", "tokens").join(placed.join(sizes, "component"), "class")
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "component", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "class", "n", "copies",
-        "tokens",
-    )
-    return rows.groupBy("component", "i", "j").applyInPandas(_count, "class long, links long").groupBy("class").agg(
-        F.sum("links").cast("long").alias("links")
-    )
-
-
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The classes that may have links or copies, and (class, component) of each."""
     sets = classes(docs)
@@ -349,23 +323,15 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """Per document its number of shingles, its component (smallest doc_id reachable by links) and its links."""
+    """Per document its number of shingles and its component (smallest doc_id reachable by links)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets, placed = _placed(docs)
-    keys = sets.select("class", "high", "low", "first_id", "copies").join(placed, "class")
-    several = keys.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min("first_id").alias("component_id"))
-    several = written(several, "components")
-    linked = placed.join(several.where("size > 1").select("component"), "component")
-    known = keys.join(several, "component").join(count_links(sets, linked), "class", "left")
-    known = written(
-        known.select("high", "low", "component_id", (F.coalesce("links", "copies") - 1).alias("n_links")), "known"
-    )
+    keys = sets.select("class", "high", "low", "first_id").join(placed, "class")
+    first = keys.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    known = written(keys.join(first, "component").select("high", "low", "component_id"), "known")
     sizes = docs.mapInArrow(_sizes, "doc_id long, n_shingles long, high long, low long")
     return sizes.join(known, ["high", "low"], "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
