@@ -21,6 +21,9 @@ equal rows are packed separately; null ids are kept.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -227,8 +230,19 @@ class _Range:
     shortest: int
 
 
+def let_go() -> None:
+    """Gives back what a worker that tokenized before still holds: the tokenizer, and freed memory that its allocators keep."""
+    if ids_of.cache_info().currsize:
+        ids_of.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sweeps one range of (size, kind, key), sorted from the large end, gaps before pieces of equal size."""
+    let_go()
     part, stack, missed = TaskContext.get().partitionId(), [], 0
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
