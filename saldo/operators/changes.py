@@ -11,15 +11,49 @@ OVERLAP_DAYS = 7
 MARKERS = ("alter_id", "alt_vch_id", "vch_id", "alt_mst_id", "last_voucher_date")
 
 
-def _differs(marker: str) -> Column:
-    return F.coalesce(F.col(f"current.{marker}"), F.lit("0")) != F.coalesce(F.col(f"cached.{marker}"), F.lit("0"))
-
-
 def incremental_start(fy_from, cached_last, days: int = OVERLAP_DAYS) -> Column:
     """First day to read again: the overlap before the last known voucher, not before the year starts."""
     return F.greatest(S.col(fy_from), F.date_sub(S.col(cached_last), days))
 
 
+def decide(now: Column, before: Column, fy_from: Column, fy_to: Column) -> dict[str, Column]:
+    """What changed between two structs of markers, and what to fetch; without either of them everything.
+
+    Columns by name, in the order of a plan's columns.
+    """
+
+    def differs(marker: str) -> Column:
+        return F.coalesce(now[marker], F.lit("0")) != F.coalesce(before[marker], F.lit("0"))
+
+    everything = now.isNull() | before.isNull()
+    company = everything | differs("alter_id")
+    moved = differs("alt_vch_id") | differs("vch_id")
+    voucher = everything | moved
+    master = everything | differs("alt_mst_id") | (differs("alter_id") & ~moved)
+    changed = company | voucher | master
+    cached_last, current_last = before["last_voucher_date"], now["last_voucher_date"]
+    advanced = F.coalesce(~everything & voucher & (current_last > cached_last), F.lit(False)) & fy_from.isNotNull()
+    start = F.when(advanced, incremental_start(fy_from, cached_last)).otherwise(fy_from)
+    return {
+        "has_changes": changed,
+        "master_changed": master,
+        "voucher_changed": voucher,
+        "need_groups": master,
+        "need_ledgers": master,
+        "need_vouchers": voucher,
+        "need_stock": master | voucher,
+        "need_outstanding": voucher,
+        "need_reports": voucher,
+        "voucher_from_date": F.when(changed, start),
+        "voucher_to_date": F.when(changed, fy_to),
+        "voucher_sync_mode": F.when(~changed, "skipped").when(advanced, "incremental").when(voucher, "full").otherwise("none"),
+        "reason": F.when(now.isNull(), "missing_change_markers")
+        .when(before.isNull(), "first_successful_sync")
+        .when(~changed, "no_changes")
+        .otherwise("changes_detected"),
+    }
+
+
 def sync_plan(companies: DataFrame, current: DataFrame, cached: DataFrame) -> DataFrame:
     """One row per company of ``companies(company_id, fy_from, fy_to)``: what changed and what to fetch.
 
@@ -28,50 +62,8 @@ def sync_plan(companies: DataFrame, current: DataFrame, cached: DataFrame) -> Da
     now = current.select("company_id", F.struct(*MARKERS).alias("current"))
     before = cached.select("company_id", F.struct(*MARKERS).alias("cached"))
     rows = companies.join(now, "company_id", "left").join(before, "company_id", "left")
-
-    no_current, no_cached = F.col("current").isNull(), F.col("cached").isNull()
-    everything = no_current | no_cached
-    company = _differs("alter_id")
-    voucher = _differs("alt_vch_id") | _differs("vch_id")
-    master = _differs("alt_mst_id") | (company & ~voucher)
-    rows = (
-        rows.withColumn("company_changed", everything | company)
-        .withColumn("voucher_changed", everything | voucher)
-        .withColumn("master_changed", everything | master)
-    )
-    changed = F.col("company_changed") | F.col("voucher_changed") | F.col("master_changed")
-    cached_last, current_last = F.col("cached.last_voucher_date"), F.col("current.last_voucher_date")
-    advanced = F.coalesce(~everything & F.col("voucher_changed") & (current_last > cached_last), F.lit(False))
-    advanced = advanced & F.col("fy_from").isNotNull()
-    mode = (
-        F.when(~changed, "skipped")
-        .when(advanced, "incremental")
-        .when(F.col("voucher_changed"), "full")
-        .otherwise("none")
-    )
-    reason = (
-        F.when(no_current, "missing_change_markers")
-        .when(no_cached, "first_successful_sync")
-        .when(~changed, "no_changes")
-        .otherwise("changes_detected")
-    )
-    start = F.when(advanced, incremental_start("fy_from", cached_last)).otherwise(F.col("fy_from"))
-    return rows.select(
-        "company_id",
-        changed.alias("has_changes"),
-        "master_changed",
-        "voucher_changed",
-        F.col("master_changed").alias("need_groups"),
-        F.col("master_changed").alias("need_ledgers"),
-        F.col("voucher_changed").alias("need_vouchers"),
-        (F.col("master_changed") | F.col("voucher_changed")).alias("need_stock"),
-        F.col("voucher_changed").alias("need_outstanding"),
-        F.col("voucher_changed").alias("need_reports"),
-        F.when(changed, start).alias("voucher_from_date"),
-        F.when(changed, F.col("fy_to")).alias("voucher_to_date"),
-        mode.alias("voucher_sync_mode"),
-        reason.alias("reason"),
-    )
+    plan = decide(F.col("current"), F.col("cached"), F.col("fy_from"), F.col("fy_to"))
+    return rows.select("company_id", *(value.alias(name) for name, value in plan.items()))
 
 
 def incremental_rows(vouchers: DataFrame, plan: DataFrame) -> DataFrame:

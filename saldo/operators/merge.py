@@ -1,7 +1,10 @@
 """Merging a batch into existing rows: upserts, replacement of children and sections, fallbacks.
 
-All take DataFrames and give the merged DataFrame; ``saldo.plans.store`` keeps them on disk. An existing table
-is usually far larger than the batch, so it is only ever the streamed side of a join on the key.
+All take DataFrames and give the merged DataFrame. An existing table is usually far larger than the batch, so it is only
+ever the streamed side of a join on the key.
+
+The second half merges rows that are kept with the fetch they are of, which is how ``saldo.plans.store`` has them on disk:
+rows of a later fetch win, in whatever order they were written.
 """
 
 from __future__ import annotations
@@ -105,11 +108,15 @@ def section_fallback(candidates: list[DataFrame], scope: list[str] = ("company_i
     return ranked.join(best, [*scope, "__rank"], "left_semi").drop("__rank")
 
 
+def carries_value() -> Column:
+    """Whether a stock row says anything about a value."""
+    return (F.coalesce("closing_value", F.lit(0)) != 0) | (F.coalesce("rate", F.lit(0)) != 0)
+
+
 def dense_or_summary(stock: DataFrame, summary: DataFrame, scope: list[str] = ("company_id",)) -> DataFrame:
     """Stock rows of a company; its summary report instead, where it has one and no stock row carries a value or a rate."""
     scope = list(scope)
-    carries = (F.coalesce("closing_value", F.lit(0)) != 0) | (F.coalesce("rate", F.lit(0)) != 0)
-    dense = stock.filter(carries).select(*scope).distinct()
+    dense = stock.filter(carries_value()).select(*scope).distinct()
     instead = summary.select(*scope).distinct().join(dense, scope, "left_anti")
     return stock.join(instead, scope, "left_anti").unionByName(
         summary.join(instead, scope, "left_semi").select(*stock.columns)
@@ -135,3 +142,65 @@ def split_vouchers(vouchers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         none = F.array().cast(entries.schema["bill_allocations"].dataType)
         entries = entries.withColumn("bill_allocations", F.coalesce("bill_allocations", none))
     return headers, items, entries
+
+
+# ---- rows with their fetch -------------------------------------------------------------------------------
+
+#: What orders the writes of a key: the fetch, the document and place within it (two numbers in large files), and the batch.
+VERSION = ("fetched_at", "path", "pos", "line", "batch_id")
+
+
+def last_write() -> list[Column]:
+    return [F.col(c).desc_nulls_last() for c in VERSION]
+
+
+def newest_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of every key the row of the latest fetch."""
+    return latest_per_key(rows, keys, last_write())
+
+
+def newest_values(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Of every key and column the value of the latest fetch that filled it."""
+
+    def last(name: str) -> Column:
+        filled = F.coalesce(F.trim(F.col(name).cast("string")), F.lit("")) != ""
+        return F.max_by(F.col(name), F.when(filled, F.struct("fetched_at", "batch_id"))).alias(name)
+
+    return rows.groupBy(*keys).agg(*(last(c) for c in columns))
+
+
+def without_sections(rows: DataFrame, unwanted: DataFrame) -> DataFrame:
+    """Rows but those that a fetch read from one of the ``unwanted`` sections (company_id, origin, fetched_at)."""
+    return rows.join(unwanted.select("company_id", "origin", "fetched_at"), ["company_id", "origin", "fetched_at"], "left_anti")
+
+
+def newest_sections(rows: DataFrame, provided: DataFrame) -> DataFrame:
+    """Of every company and section the rows of its newest fetch in ``provided``, which may have had none."""
+    last = provided.groupBy("company_id", "origin").agg(F.max("fetched_at").alias("fetched_at"))
+    return rows.join(last, ["company_id", "origin", "fetched_at"], "left_semi")
+
+
+def without_vanished(rows: DataFrame, snapshots: DataFrame, day: str | None = None) -> DataFrame:
+    """Rows but those older than a snapshot (company_id, fetched_at, from_date, to_date) that does not list them any more.
+
+    A row that is listed has a newer write of that fetch, so every older one may go. With ``day`` a snapshot only speaks
+    for its dates; an open end has no limit.
+    """
+    if day is None:
+        last = snapshots.groupBy(F.col("company_id").alias("s_company")).agg(F.max("fetched_at").alias("s_fetch"))
+        older = (F.col("company_id") == F.col("s_company")) & (F.col("fetched_at") < F.col("s_fetch"))
+    else:
+        last = snapshots.select(
+            F.col("company_id").alias("s_company"), F.col("fetched_at").alias("s_fetch"), "from_date", "to_date"
+        ).distinct()
+        older = (F.col("company_id") == F.col("s_company")) & (F.col("fetched_at") < F.col("s_fetch"))
+        older = older & F.coalesce(F.col(day) >= F.col("from_date"), F.lit(True))
+        older = older & F.coalesce(F.col(day) <= F.col("to_date"), F.lit(True))
+    return rows.join(last, older, "left_anti")
+
+
+def without_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows but those of removed companies (company_id, fetched_at) of that fetch or older; a later fetch starts anew."""
+    last = removed.groupBy(F.col("company_id").alias("r_company")).agg(F.max("fetched_at").alias("r_fetch"))
+    gone = (F.col("company_id") == F.col("r_company")) & (F.coalesce("fetched_at", F.lit("")) <= F.col("r_fetch"))
+    return rows.join(last, gone, "left_anti")

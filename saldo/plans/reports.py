@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from saldo.operators.aggregates import TOTAL, total
+from saldo.session import new_folder
 
 # Fixed values.
 INWARD = ("Purchase", "Receipt", "Debit Note")
@@ -78,28 +79,56 @@ def cash_flow(vouchers: DataFrame) -> DataFrame:
     )
 
 
-def group_rollup(spark: SparkSession, groups: DataFrame, ledgers: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Closing balances of every group with those of the groups below it.
+class GroupCycle(ValueError):
+    """Groups that are their own ancestors."""
 
-    Ledgers are reduced to one row per group first; the recursion then walks only the group tree. A balance whose group
-    has no row counts for that group's name alone. Deeper nesting than ``max_depth`` (a cycle of groups has no end), or a
-    walk of more rows than the session's ``spark.sql.cteRecursionRowLimit``, is an error and never a cut-off result.
+
+def group_rollup(spark: SparkSession, groups: DataFrame, ledgers: DataFrame) -> DataFrame:
+    """Closing balances of every group with those of the groups below it, of any depth.
+
+    Ledgers are reduced to one row per group first. Then pointers are doubled: in round k every group knows its ancestor 2^k
+    levels up and the sum of what lies less than 2^k levels below it; the sums of the groups whose pointer leads to it are
+    exactly those of the next 2^k levels. So a tree of depth d takes about log2(d) rounds of one join and one aggregation
+    over the groups, each written to the shared folder. Pointers that still lead somewhere after as many rounds as there
+    could be levels are going round: that is an error which names some of the groups.
+
+    A balance whose group has no row counts for that group's name alone; groups without a ledger below them are left out.
     """
+    key = ["company_id", "name"]
     own = ledgers.groupBy("company_id", F.col("group_name").alias("name")).agg(
-        F.sum("closing_balance").cast(TOTAL).alias("own_balance")
+        F.sum("closing_balance").cast(TOTAL).alias("balance"), F.count(F.lit(1)).alias("ledgers")
     )
-    return spark.sql(
-        f"""
-        WITH RECURSIVE climb(company_id, name, own_balance, at) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT company_id, name, own_balance, name AS at FROM {{own}}
-          UNION ALL
-          SELECT c.company_id, c.name, c.own_balance, g.parent
-          FROM climb c JOIN {{groups}} g ON c.company_id = g.company_id AND c.at = g.name
-          WHERE g.parent <> ''
-        )
-        SELECT company_id, at AS name, CAST(sum(own_balance) AS {TOTAL}) AS balance
-        FROM climb GROUP BY company_id, at
-        """,
-        own=own,
-        groups=groups.select("company_id", "name", "parent"),
+    parents = groups.groupBy(*key).agg(F.max(F.nullif("parent", F.lit(""))).alias("up"))
+    # Parents that have no row themselves are groups too.
+    named = parents.filter("up IS NOT NULL").select("company_id", F.col("up").alias("name"), F.lit(None).cast("string").alias("up"))
+    parents = parents.unionByName(named).groupBy(*key).agg(F.max("up").alias("up"))
+    state = parents.join(own, key, "full_outer").select(
+        *key, "up", F.coalesce("balance", F.lit(0)).cast(TOTAL).alias("balance"), F.coalesce("ledgers", F.lit(0)).alias("ledgers")
     )
+    levels = None
+    while True:
+        folder = new_folder(spark, "rollup")
+        state.write.parquet(folder)
+        state = spark.read.schema(state.schema).parquet(folder)
+        seen = state.agg(F.count(F.lit(1)).alias("groups"), F.count("up").alias("climbing")).first()
+        levels = seen["groups"] if levels is None else levels // 2
+        if not seen["climbing"]:
+            break
+        if not levels:
+            some = ", ".join(f"{r['name']!r} of {r['company_id']!r}" for r in state.filter("up IS NOT NULL").limit(5).collect())
+            raise GroupCycle(f"groups above each other in a circle: {some}")
+        gained = state.filter("up IS NOT NULL").groupBy("company_id", F.col("up").alias("name")).agg(
+            F.sum("balance").alias("more"), F.sum("ledgers").alias("more_ledgers")
+        )
+        further = state.select("company_id", F.col("name").alias("up"), F.col("up").alias("next"))
+        state = (
+            state.join(gained, key, "left")
+            .join(further, ["company_id", "up"], "left")
+            .select(
+                *key,
+                F.col("next").alias("up"),
+                (F.col("balance") + F.coalesce("more", F.lit(0))).cast(TOTAL).alias("balance"),
+                (F.col("ledgers") + F.coalesce("more_ledgers", F.lit(0))).alias("ledgers"),
+            )
+        )
+    return state.filter("ledgers > 0").select(*key, "balance")

@@ -15,6 +15,7 @@ from saldo.queries.model import Model, plain, sql
 from saldo.session import new_folder
 from saldo.sources import responses as R
 from saldo.streaming.refresh import start_refresh
+from saldo.streaming.totals import day_totals
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -380,3 +381,182 @@ register(
     lambda m: overlapped(m).select("company_id", "tally_guid", "voucher_type", "amount"),
     sql(STREAM_SQL.replace("WHEN is_cancelled THEN", "WHEN is_cancelled AND date >= DATE '2001-07-25' THEN")),
 )
+
+
+# ---- fetches in parts, snapshots and removal -------------------------------------------------------------
+
+
+def parted(m: Model) -> dict[str, DataFrame]:
+    """Sections of one fetch, several documents each: ledgers, vouchers, bills and the reports."""
+    return {
+        "groups": E.groups(m), "ledgers": E.ledgers(m), "vouchers": E.vouchers(m), "stock_items": E.stock_items(m),
+        "outstanding_receivables": E.bills(m.receivables, "-"), "outstanding_payables": E.bills(m.payables, ""),
+        "profit_loss": E.profit_loss(m), "balance_sheet": E.balance_sheet(m), "trial_balance": E.trial_balance(m),
+    }
+
+
+def split_batches(m: Model) -> DataFrame:
+    """One fetch whose documents come in three batches, dealt by a digest of their names, in two orders.
+
+    Both stores are read whole; a row is given with the number of stores that hold it, and how often.
+    """
+    docs = landing_rows(m, parted(m), "20250401")
+    folder = new_folder(m.spark, "documents")
+    docs.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(3))).write.parquet(folder)
+    docs = m.spark.read.parquet(folder)
+    found = None
+    for order in ((0, 1, 2), (2, 0, 1)):
+        store = LedgerStore(m.spark, new_folder(m.spark, "split"))
+        for batch, part in enumerate(order):
+            Y.refresh(store, docs.filter(F.col("part") == part).drop("part"), batch, STAMP)
+        for name in SPLIT:
+            rows = named(store, name).withColumn("order", F.lit(str(order)))
+            found = rows if found is None else found.unionByName(rows)
+    keys = ["table", "company_id", "name", "amount"]
+    return found.groupBy("order", *keys).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("stores"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+
+
+def named(store: LedgerStore, table: str) -> DataFrame:
+    """A table of a store as (table, company_id, name, amount)."""
+    name, amount = SPLIT[table]
+    amount = F.col(amount).cast("decimal(18,2)").alias("amount")
+    return store.read(table).select(F.lit(table).alias("table"), "company_id", F.col(name).alias("name"), amount)
+
+
+SPLIT = {
+    "ledgers": ("name", "closing_balance"),
+    "vouchers": ("tally_guid", "amount"),
+    "voucher_items": ("stock_item_name", "amount"),
+    "stock_items": ("name", "closing_value"),
+    "outstanding": ("voucher_number", "pending_amount"),
+    "profit_loss": ("particulars", "amount"),
+    "balance_sheet": ("particulars", "amount"),
+    "trial_balance": ("particulars", "debit"),
+}
+# A voucher of amount 0 shows its items' total.
+AMOUNTS_SQL = """(SELECT company_id, tally_guid, CASE WHEN voucher_type = 'Payment' AND t IS NOT NULL THEN t ELSE amount END AS amount
+  FROM vouchers LEFT JOIN (SELECT company_id, tally_guid, sum(amount) AS t FROM items GROUP BY 1, 2) USING (company_id, tally_guid))"""
+SPLIT_SQL = " UNION ALL ".join(
+    f"""SELECT '{table}' AS "table", company_id, CAST({name} AS VARCHAR) AS name, CAST({amount} AS DOUBLE) AS amount FROM {view}"""
+    for table, name, amount, view in (
+        ("ledgers", "name", "closing_balance", "ledgers"), ("vouchers", "tally_guid", "amount", AMOUNTS_SQL),
+        ("voucher_items", "stock_item_name", "amount", "items"), ("stock_items", "name", "closing_value", "stock"),
+        ("outstanding", "voucher_number", "pending_amount", "outstanding"), ("profit_loss", "particulars", "amount", "profit_loss"),
+        ("balance_sheet", "particulars", "amount", "balance_sheet"), ("trial_balance", "particulars", "debit", "trial_balance"),
+    )
+)
+register(
+    "str_split_batches",
+    split_batches,
+    sql(f"""SELECT "table", company_id, name, amount, 2 AS stores, count(*) AS least, count(*) AS most FROM ({SPLIT_SQL}) GROUP BY 1, 2, 3, 4"""),
+)
+
+
+class Fewer(Model):
+    """The ledger tables some time later: debtors that owe nothing have left."""
+
+    @cached_property
+    def ledgers(self) -> DataFrame:
+        return super().ledgers.filter((F.col("group_name") != "Sundry Debtors") | (F.col("closing_balance") > 0))
+
+
+def snapshot_store(m: Model) -> DataFrame:
+    """Two whole fetches of the ledgers as snapshots, the later one first: what it does not list is gone."""
+    store = LedgerStore(m.spark, new_folder(m.spark, "snapshots"))
+    later = landing_rows(m, parted(Fewer(m.spark, m.folder)), "20250408")
+    Y.refresh(store, later, 0, STAMP, full_snapshot=True)
+    Y.refresh(store, landing_rows(m, {"ledgers": E.ledgers(m)}, "20250401"), 1, STAMP, full_snapshot=True)
+    return store.read("ledgers")
+
+
+register(
+    "merge_full_snapshot",
+    lambda m: snapshot_store(m).select("company_id", "name", "group_name", "closing_balance"),
+    sql(
+        """SELECT company_id, name, group_name, CAST(closing_balance AS DOUBLE) AS closing_balance FROM ledgers
+        WHERE group_name <> 'Sundry Debtors' OR closing_balance > 0"""
+    ),
+)
+
+
+def removed_companies(m: Model) -> DataFrame:
+    """A store from which companies with an A are removed; one of them comes back with its ledgers only."""
+    store = LedgerStore(m.spark, new_folder(m.spark, "removal"))
+    sections = {"ledgers": E.ledgers(m), "vouchers": E.vouchers(m), "profit_loss": E.profit_loss(m)}
+    Y.refresh(store, landing_rows(m, sections, "20250401"), 0, STAMP)
+    store.remove_companies(m.companies.filter(F.col("name").startswith("A")), "20250401")
+    back = m.companies.filter(F.col("name") == "ASIA")
+    Y.refresh(store, landing_rows(m, {"ledgers": E.ledgers(m)}, "20250408"), 1, STAMP, enabled=back)
+    store.compact(everything=True)
+    found = None
+    for name in ("ledgers", "vouchers", "voucher_items", "profit_loss"):
+        rows = named(store, name)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+register(
+    "merge_remove_company",
+    removed_companies,
+    sql(
+        f"""SELECT "table", s.company_id, s.name, amount FROM ({SPLIT_SQL}) s JOIN companies c USING (company_id)
+        WHERE "table" IN ('ledgers', 'vouchers', 'voucher_items', 'profit_loss')
+        AND (c.name NOT LIKE 'A%' OR (c.name = 'ASIA' AND "table" = 'ledgers'))"""
+    ),
+)
+
+
+def stored_window(m: Model) -> DataFrame:
+    """The vouchers of each company's planned window, read from a store by month."""
+    store = LedgerStore(m.spark, new_folder(m.spark, "window"))
+    store.write("vouchers", m.vouchers.withColumn("fetched_at", F.lit("1")), 0)
+    store.commit(0, STAMP)
+    windows = m.companies.select(
+        "company_id",
+        F.make_date(F.lit(1995) + F.col("company_id").cast("int") % 3, F.lit(3), F.lit(10)).alias("from_date"),
+        F.make_date(F.lit(1995) + F.col("company_id").cast("int") % 3, F.lit(5), F.lit(2)).alias("to_date"),
+    )
+    return store.vouchers_between(windows.filter(F.col("company_id") != "2"))
+
+
+register(
+    "chg_stored_window",
+    lambda m: stored_window(m).select("company_id", "tally_guid", F.col("date").cast("string").alias("date"), "amount"),
+    sql(
+        """SELECT company_id, tally_guid, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount FROM vouchers
+        WHERE company_id <> '2' AND date BETWEEN make_date(1995 + CAST(company_id AS INT) % 3, 3, 10) AND make_date(1995 + CAST(company_id AS INT) % 3, 5, 2)"""
+    ),
+)
+
+TOTALS_CUT = "1997-06-30"
+
+
+def streamed_totals(m: Model) -> DataFrame:
+    """Day totals of a stream: vouchers up to a day, then later ones together with optional ones that come late, then an end."""
+    base = new_folder(m.spark, "totals")
+    columns = ["company_id", "tally_guid", "voucher_type", "date", "amount"]
+    rows, early = m.vouchers, (F.col("date") <= F.lit(TOTALS_CUT).cast("date")) & ~F.col("is_optional")
+    end = m.spark.range(1).select(
+        F.lit("end").alias("company_id"), F.lit("end").alias("tally_guid"), F.lit("Sales").alias("voucher_type"),
+        F.lit("2100-01-01").cast("date").alias("date"), F.lit(0).cast("decimal(18,2)").alias("amount"),
+    )
+    for batch in (rows.filter(early), rows.filter(~early), end):
+        batch.select(*columns).write.mode("append").parquet(f"{base}/vouchers")
+        stream = m.spark.readStream.schema(rows.select(*columns).schema).parquet(f"{base}/vouchers")
+        query = day_totals(stream).writeStream.format("parquet").option("path", f"{base}/totals")
+        query.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return m.spark.read.parquet(f"{base}/totals")
+
+
+register(
+    "str_day_totals",
+    lambda m: streamed_totals(m).select("company_id", "voucher_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "entries", "total"),
+    sql(
+        f"""SELECT company_id, voucher_type, CAST(date AS VARCHAR) AS day, count(*) AS entries, CAST(sum(abs(amount)) AS DOUBLE) AS total
+        FROM vouchers WHERE (date <= DATE '{TOTALS_CUT}' AND NOT is_optional) OR date > (
+          SELECT max(date) - 7 FROM vouchers WHERE date <= DATE '{TOTALS_CUT}' AND NOT is_optional)
+        GROUP BY 1, 2, 3"""
+    ),
+)

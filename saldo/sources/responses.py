@@ -64,6 +64,13 @@ def _utf16(content: Column, charset: str) -> Column:
     return F.when(well_formed, F.decode(content, charset))
 
 
+def decode_piece(content: Column, charset: str) -> Column:
+    """Text of a piece of a file whose charset is known; bytes that are none are replaced, or leave no text in UTF-16."""
+    if charset == "UTF-8":
+        return F.make_valid_utf8(content.cast("string"))
+    return _utf16(content, charset)
+
+
 def decode_responses(responses: DataFrame) -> DataFrame:
     """Bytes to text: UTF-16 when announced, marked or apparent, else the declared charset, else UTF-8."""
     kind = F.lit("")

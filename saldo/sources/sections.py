@@ -136,6 +136,20 @@ ALTER_IDS = Section(
     finish=_finish_alter_ids,
 )
 
+#: What a fetch holds: per section the number of its documents, and whether they list all rows that there are.
+MANIFEST = Section(
+    "manifest",
+    rows=(f"{COLLECTION}/SECTION",),
+    required="listed",
+    fields=fields(
+        """
+        listed     string      @NAME NAME
+        documents  int         @DOCUMENTS DOCUMENTS
+        snapshot   bool_yesno  @SNAPSHOT SNAPSHOT
+        """
+    ),
+)
+
 GROUPS = Section(
     "groups",
     rows=(f"{COLLECTION}/GROUP",),
@@ -380,6 +394,7 @@ SECTIONS = {
     for s in (
         COMPANY_INFO,
         ALTER_IDS,
+        MANIFEST,
         GROUPS,
         LEDGERS,
         VOUCHERS,

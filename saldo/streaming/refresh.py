@@ -5,33 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from saldo.plans.store import LedgerStore
-from saldo.plans.sync import refresh
+from saldo.plans.sync import Landed, refresh
+from saldo.sources import sections as D
+from saldo.sources.large import row_tag
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 # Fixed value.
 EVERY = "5 minutes"
+#: Bytes from which on a file is read in ranges instead of as one row.
+ROW_LIMIT = 64 << 20
+
+
+def _placed(files: DataFrame, *more: str) -> DataFrame:
+    """Files with what their folders say."""
+
+    def part(name: str) -> Column:
+        return F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)
+
+    return files.select(
+        part("company").alias("company_id"), part("section").alias("section"), part("fetched_at").alias("fetched_at"), "path", *more
+    )
 
 
 def read_landing_stream(spark: SparkSession, landing: str, files_per_batch: int | None = None) -> DataFrame:
-    """New files of the landing folder. The folder columns come from the path."""
+    """New files of the landing folder with their sizes; their contents are not read here."""
     reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _placed(reader.load(landing), "length")
 
-    def part(name: str):
-        return F.regexp_extract("path", rf"/{name}=([^/]*)/", 1)
 
-    return reader.load(landing).select(
-        part("company").alias("company_id"),
-        part("section").alias("section"),
-        part("fetched_at").alias("fetched_at"),
-        "path",
-        "content",
-    )
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Landed files by name, one row per file."""
+    if not paths:
+        return _placed(spark.createDataFrame([], FILES), "content")
+    return _placed(spark.read.format("binaryFile").load(paths), "content")
 
 
 def start_refresh(
@@ -43,15 +55,27 @@ def start_refresh(
     enabled: DataFrame | None = None,
     files_per_batch: int | None = None,
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc),
+    full_snapshot: bool = False,
+    row_limit: int = ROW_LIMIT,
 ) -> StreamingQuery:
     """Run on a timer, or with ``every=None`` once over all that has landed and stop.
 
     The stream replays a batch under the same number after a failure, and a batch only replaces its own
     folders, so every batch counts once. Back-dated vouchers read again within the overlap are upserts.
+    The names of a batch's files pass the driver, where the file source keeps them anyway; files from ``row_limit``
+    bytes on are read in ranges.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        refresh(store, batch, batch_id, clock(), enabled)
+        files = batch.collect()
+        large = [
+            Landed(f["company_id"], f["section"], f["fetched_at"], f["path"])
+            for f in files
+            if f["length"] >= row_limit and f["section"] in D.SECTIONS and row_tag(D.SECTIONS[f["section"]])
+        ]
+        ranged = {x.path for x in large}
+        responses = read_files(spark, [f["path"] for f in files if f["path"] not in ranged])
+        refresh(store, responses, batch_id, clock(), enabled, full_snapshot, large)
 
     writer = (
         read_landing_stream(spark, landing, files_per_batch)

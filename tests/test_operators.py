@@ -34,8 +34,10 @@ def test_running_balance_of_the_seed(spark):
     assert by_party["Mill Road Timber"] == [-225000, -241000]
 
 
-@pytest.mark.parametrize("head", [0, 1, 4, 40])
-def test_running_balance_of_a_hot_party(spark, head):
+@pytest.mark.parametrize("chunk", [1, 40, 1000, W.CHUNK])
+@pytest.mark.parametrize("step", [2, 64])
+def test_running_balance_of_a_hot_party(spark, monkeypatch, chunk, step):
+    monkeypatch.setattr(W, "STEP", step)
     rng = random.Random(7)
     rows = []
     for i in range(600):
@@ -46,21 +48,24 @@ def test_running_balance_of_a_hot_party(spark, head):
     for g, t, p, d, a in sorted(rows, key=lambda r: (r[3] is None, r[3] or "", r[0])):
         totals[p] += int(a) if t in ("Sales", "Debit Note") else -int(a)
         expected[g] = totals[p]
-    found = W.running_balance(vouchers(spark, rows), head=head).collect()
+    found = W.running_balance(vouchers(spark, rows), chunk=chunk).collect()
     assert len(found) == 600
     assert {r["tally_guid"]: int(r["running_balance"]) for r in found} == expected
 
 
-def test_one_party_on_one_day_spreads_over_tasks(spark):
-    rows = [(f"{i:04d}", "Sales", "P", "2025-04-01", 1) for i in range(2000)]
+@pytest.mark.parametrize("few", [0, W.BROADCAST])
+def test_one_party_on_one_day_spreads_over_tasks(spark, monkeypatch, few):
+    """All guids begin alike, so only their rank tells them apart."""
+    monkeypatch.setattr(W, "BROADCAST", few)
+    rows = [(f"the-same-beginning-{i:06d}", "Sales", "P", "2025-04-01", 1) for i in range(4000)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = W.running_balance(vouchers(spark, rows), head=2)
+        found = W.running_balance(vouchers(spark, rows), chunk=200)
         tasks = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 2000
-    assert {int(r["running_balance"]) for r in found.collect()} == set(range(1, 2001))
+    assert len(tasks) > 1 and max(r["count"] for r in tasks) < 3000
+    assert {int(r["running_balance"]) for r in found.collect()} == set(range(1, 4001))
 
 
 def test_pages_by_position_keep_every_copy(spark):
@@ -181,6 +186,32 @@ def test_group_rollup(spark):
     assert found == {("1", "North"): 6, ("1", "Debtors"): 8, ("1", "Assets"): 8, ("2", "Assets"): 9}
 
 
+def test_group_rollup_of_a_deep_chain_and_of_a_circle(spark):
+    chain = [("1", f"g{i}", f"g{i - 1}" if i else "") for i in range(5000)] + [("2", f"g{i}", f"g{i // 3}" if i else None) for i in range(300)]
+    groups = table(spark, chain, "company_id string, name string, parent string")
+    own = [(c, n, i % 7) for i, (c, n, _) in enumerate(chain) if i % 2] + [("1", "nowhere", 3), ("1", "g4999", 1)]
+    ledgers = table(spark, own, "company_id string, group_name string, closing_balance int")
+    expected = defaultdict(int)
+    parent = {(c, n): p for c, n, p in chain}
+    for c, n, amount in own:
+        while n:
+            expected[c, n] += amount
+            n = parent.get((c, n))
+    found = reports.group_rollup(spark, groups, ledgers).collect()
+    assert {(r["company_id"], r["name"]): int(r["balance"]) for r in found} == expected
+    circle = groups.unionByName(table(spark, [("3", "a", "b"), ("3", "b", "c"), ("3", "c", "a"), ("3", "d", "a")], "company_id string, name string, parent string"))
+    with pytest.raises(reports.GroupCycle, match="of '3'"):
+        reports.group_rollup(spark, circle, ledgers)
+
+
+def test_group_rollup_without_rows(spark):
+    groups = table(spark, [("1", "Debtors", "Assets")], "company_id string, name string, parent string")
+    ledgers = table(spark, [("1", "Debtors", 5)], "company_id string, group_name string, closing_balance int")
+    assert reports.group_rollup(spark, groups, ledgers.limit(0)).collect() == []
+    assert reports.group_rollup(spark, groups.limit(0), ledgers).collect() == [("1", "Debtors", D("5.00"))]
+    assert as_set(reports.group_rollup(spark, groups, ledgers)) == {("1", "Debtors", D("5.00")), ("1", "Assets", D("5.00"))}
+
+
 def test_balance_invariants(spark):
     rows = vouchers(spark, SEED)
     last = W.running_balance(rows).groupBy("party_name").agg(F.max_by("running_balance", F.struct("date", "tally_guid")).alias("b"))
