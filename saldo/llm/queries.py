@@ -104,3 +104,47 @@ def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLE["op11_resampling"] = resampling.ORACLE
 ORACLE["op13_lexical_search"] = lexical_search.ORACLE
+
+
+@query
+def text_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of the fingerprints that SQL can follow: lengths, and digests of the edited texts."""
+    return op1_fingerprints(spark, folder).select("doc_id", "n_chars", "edited_sha256")
+
+
+@query
+def page_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of the URL filters that SQL can follow: hosts, paths and the rules that fit."""
+    return op6_url_filters(spark, folder).select("page_id", "host", "path", "rule")
+
+
+ORACLE["text_edited"] = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+following AS (
+    SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS after
+    FROM texts
+)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
+    sha256(left(text, length(text) - length(text) // 3) || left(after, length(text) // 3)) AS edited_sha256
+FROM following
+"""
+
+ORACLE["page_rules"] = """
+WITH parts AS (
+    SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages
+),
+split AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+    FROM parts
+),
+rules(host, path) AS (
+    VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')
+),
+fits AS (
+    SELECT page_id, r.host || r.path AS rule FROM split s JOIN rules r
+    ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
+)
+SELECT page_id, host, path, rule FROM split LEFT JOIN (
+    SELECT page_id, arg_max(rule, length(rule)) AS rule FROM fits GROUP BY page_id) USING (page_id)
+"""
