@@ -151,17 +151,18 @@ register(
           WHERE voucher_type = 'Sales')"""
     ),
 )
-register(
-    "q_outstanding_view",
-    lambda m: R.outstanding_view(m.outstanding, "receivable").rows.select(
-        "party_name", "voucher_number", "due_date", "days_overdue", "bucket", "shown_amount"
-    ),
-    sql(
-        f"""SELECT party_name, voucher_number, CAST(due_date AS VARCHAR) AS due_date, CAST(days_overdue AS BIGINT) AS days_overdue,
-        {BUCKET} AS bucket, {INR} AS shown_amount
-        FROM (SELECT *, {whole('pending_amount')} AS w FROM outstanding WHERE type = 'receivable')"""
-    ),
-)
+for name, tab in (("q_outstanding_view", "receivable"), ("q_outstanding_payable_view", "payable")):
+    register(
+        name,
+        lambda m, tab=tab: R.outstanding_view(m.outstanding, tab).rows.select(
+            "party_name", "voucher_number", "due_date", "days_overdue", "bucket", "shown_amount"
+        ),
+        sql(
+            f"""SELECT party_name, voucher_number, CAST(due_date AS VARCHAR) AS due_date, CAST(days_overdue AS BIGINT) AS days_overdue,
+            {BUCKET} AS bucket, {INR} AS shown_amount
+            FROM (SELECT *, {whole('pending_amount')} AS w FROM outstanding WHERE type = '{tab}')"""
+        ),
+    )
 register(
     "q_inventory_view",
     lambda m: R.inventory_view(m.stock).rows.select("name", "unit", "status", "shown_rate", "shown_value"),
@@ -173,13 +174,52 @@ register(
         )
     ),
 )
+for name, tab in (("q_parties_view", "customer"), ("q_parties_supplier_view", "supplier")):
+    register(
+        name,
+        lambda m, tab=tab: R.parties_view(m.ledgers, m.outstanding, tab).rows.select("company_id", "name", "shown_outstanding"),
+        sql(
+            f"""SELECT company_id, name, CASE WHEN total_outstanding > 0 THEN {INR} ELSE '—' END AS shown_outstanding
+            FROM (SELECT *, {whole('total_outstanding')} AS w FROM party_rows WHERE type = '{tab}')""",
+            " party_rows AS (" + PARTIES_SQL.replace("CAST(coalesce(o.t, 0) AS DOUBLE)", "coalesce(o.t, 0)") + ")",
+        ),
+    )
+
+SALES_TABS = ("All", "Sales", "Purchase", "Receipt", "Payment")
+
+
+def view_totals(m: Model):
+    """What the list views show above their rows, for every tab."""
+    found = {("sales", tab): R.sales_view(m.vouchers, m.items, tab).totals for tab in SALES_TABS}
+    found |= {("outstanding", tab): R.outstanding_view(m.outstanding, tab).totals for tab in ("receivable", "payable")}
+    found[("inventory", "All")] = R.inventory_view(m.stock).totals.select(
+        F.col("item_count").alias("entries"), F.col("stock_value").alias("total")
+    )
+    found |= {
+        ("parties", tab): R.parties_view(m.ledgers, m.outstanding, tab).totals.withColumnRenamed("parties", "entries")
+        for tab in ("customer", "supplier")
+    }
+    out = None
+    for (view, tab), totals in found.items():
+        for name, kind in (("entries", "long"), ("total", "decimal(28,2)")):
+            if name not in totals.columns:
+                totals = totals.withColumn(name, F.lit(None).cast(kind))
+        rows = totals.select(F.lit(view).alias("view"), F.lit(tab).alias("tab"), "entries", F.col("total").cast("decimal(28,2)"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 register(
-    "q_parties_view",
-    lambda m: R.parties_view(m.ledgers, m.outstanding, "customer").rows.select("company_id", "name", "shown_outstanding"),
+    "q_view_totals",
+    view_totals,
     sql(
-        f"""SELECT company_id, name, CASE WHEN total_outstanding > 0 THEN {INR} ELSE '—' END AS shown_outstanding
-        FROM (SELECT *, {whole('total_outstanding')} AS w FROM party_rows WHERE type = 'customer')""",
-        " party_rows AS (" + PARTIES_SQL.replace("CAST(coalesce(o.t, 0) AS DOUBLE)", "coalesce(o.t, 0)") + ")",
+        """SELECT 'sales' AS view, 'All' AS tab, count(*) AS entries, CAST(sum(abs(amount)) AS DOUBLE) AS total FROM vouchers
+        UNION ALL SELECT 'sales', voucher_type, count(*), CAST(sum(abs(amount)) AS DOUBLE) FROM vouchers
+          WHERE voucher_type IN ('Sales', 'Purchase', 'Receipt', 'Payment') GROUP BY 2
+        UNION ALL SELECT 'outstanding', type, NULL, CAST(sum(abs(pending_amount)) AS DOUBLE) FROM outstanding GROUP BY 2
+        UNION ALL SELECT 'inventory', 'All', count(*), CAST(sum(abs(closing_value)) AS DOUBLE) FROM stock
+        UNION ALL SELECT 'parties', type, count(*), NULL FROM party_rows GROUP BY 2""",
+        " party_rows AS (" + PARTIES_SQL + ")",
     ),
 )
 
