@@ -110,7 +110,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
     made = docs.mapInArrow(_prefixes, "doc_id long, need int, tokens array<long>")
     tokens = made.select("doc_id", "need", F.explode("tokens").alias("token"))
     again = written(tokens.groupBy("token").count().where("count > 1").select("token"), "repeated")
-    found = tokens.join(again, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    # One plan at every size: a table of repeated shingles grows with the documents and is never broadcast.
+    found = tokens.join(again.hint("merge"), "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
     return written(found.where("n >= need").select("doc_id"), "candidates")
 
 
@@ -145,7 +146,7 @@ def rare_prefixes(sets: DataFrame) -> DataFrame:
     tokens = sets.select("class", F.explode(F.slice("tokens", 1, taken.cast("int"))).alias("token"))
     rarity = written(tokens.groupBy("token").count().where("count > 1"), "rarity")
     shared = (
-        tokens.join(rarity, "token")
+        tokens.join(rarity.hint("merge"), "token")
         .groupBy("class")
         .agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("shared"))
         .join(sets.select("class", "n"), "class")
