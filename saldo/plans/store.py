@@ -1,6 +1,7 @@
 """Ledger tables on Parquet: a batch only adds files, and reading resolves them to the current state.
 
-Layout: ``<root>/<table>/part=<part>/company_id=<c>/``, vouchers one level deeper by ``month``. A part is what one batch
+Layout: ``<root>/<table>/part=<part>/company_id=<c>/``, vouchers one level deeper by ``month``, tables of about one row per
+company and batch without folders. A part is what one batch
 wrote, or what the compaction of neighbouring parts left of them. ``<root>/_snapshots/<n>`` names the parts that count; it
 is written last and under a name of its own, so all tables change together, a second writer fails, and an unfinished batch
 is not seen. Reading opens just the listed parts. Parts that a compaction replaced are removed a few snapshots later.
@@ -53,6 +54,8 @@ INTERNAL = {
     "removals": "company_id string, fetched_at string, batch_id long",
 }
 REPLACED = tuple(t.name for t in TABLES.values() if t.rule == "replace")
+#: Tables of about one row per company and batch, which lie in a part without folders per company.
+PER_COMPANY = ("companies", "change_markers", "sync_log")
 #: Sections whose rows make up a table, where they are not named alike.
 ORIGINS = {"outstanding": ("outstanding_receivables", "outstanding_payables"), "stock_items": ("stock_items", "stock_summary")}
 #: Parts of a tier that are merged into one.
@@ -137,7 +140,9 @@ class LedgerStore:
             )
         )
         folders = [c for c in ("company_id", "month") if c in schema.fieldNames()]
-        if table in INTERNAL:  # a few rows per company and fetch
+        if table in PER_COMPANY:  # a folder each would be a file per company, which may be many
+            shaped.hint("rebalance").write.mode("overwrite").parquet(f"{self.root}/{table}/part={part}")
+        elif table in INTERNAL:  # a few rows per company and fetch
             shaped.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{table}/part={part}")
         else:
             # Few files per folder; a large company is split over several tasks.
