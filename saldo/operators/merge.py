@@ -124,17 +124,21 @@ def dense_or_summary(stock: DataFrame, summary: DataFrame, scope: list[str] = ("
 
 
 def split_vouchers(vouchers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vouchers with nested children -> (headers, items, ledger entries); unnamed children are dropped."""
+    """Vouchers with nested children -> (headers, items, ledger entries); unnamed children are dropped.
+
+    The children are exploded as outer rows, which their names then drop: an inner generator would have its arrays' sizes
+    checked below it, and so the arrays parsed twice.
+    """
     valid = vouchers.filter(F.coalesce(F.trim("tally_guid"), F.lit("")) != "")
     key = ["company_id", "tally_guid"]
     headers = valid.drop("items", "ledger_entries")
     items = (
-        valid.select(*key, F.explode("items").alias("row"))
+        valid.select(*key, F.explode_outer("items").alias("row"))
         .select(*key, "row.*")
         .filter(F.coalesce(F.trim("stock_item_name"), F.lit("")) != "")
     )
     entries = (
-        valid.select(*key, F.explode("ledger_entries").alias("row"))
+        valid.select(*key, F.explode_outer("ledger_entries").alias("row"))
         .select(*key, "row.*")
         .filter(F.coalesce(F.trim("ledger_name"), F.lit("")) != "")
     )
