@@ -4,12 +4,19 @@ from __future__ import annotations
 
 import os
 from datetime import datetime, timezone
+from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from saldo.operators import merge as G
+from saldo.plans import sync
 from saldo.plans.store import LedgerStore
-from saldo.sources import responses as R
+from saldo.queries import changes, envelopes as E
+from saldo.sources import responses as R, sections as D
+from saldo.sources.definitions import read_section
+
+AT = datetime(2025, 4, 1, tzinfo=timezone.utc)
 
 
 def test_markers_of_many_companies_share_files(spark, tmp_path):
@@ -50,3 +57,14 @@ def test_utf16_is_taken_or_left_whole(spark):
 
     found = dict(rows.select("i", R._utf16(F.col("content"), "UTF-16LE")).collect())
     assert found == {i: strict(b) for i, b in enumerate(bodies)}
+
+
+def test_cleaning_in_one_pass_and_reports_by_their_tags(spark):
+    # References in one another or parted by what is dropped; reports in any case and without their closing tag.
+    texts = [
+        "a\x00&#\x014;&#4;&#x1F;&#10;&#xA;b", "&#&#x4;4;", "&#x&#4;4;", "&&#4;&#4", "&#&#x4;x4;", "\x7f&amp;\t",
+        "<Status>0</STATUS><data>no</DATA>", "<STATUS>0<DATA>", "<LINEERROR>x</lineerror>", "<LINEERROR>x", " <response>bad</RESPONSE> ", "ſ İ", None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    assert R.clean_responses(rows).collect() == rows.select("i", R.clean_text("text").alias("text")).collect()
+    assert R.check_responses(rows).collect() == rows.select("*", R.response_error("text").alias("error")).collect()
