@@ -59,6 +59,25 @@ def test_utf16_is_taken_or_left_whole(spark):
     assert found == {i: strict(b) for i, b in enumerate(bodies)}
 
 
+def test_a_batch_is_read_once(spark, tmp_path):
+    text = '<ENVELOPE><BODY><DATA><COLLECTION><LEDGER NAME="A"/></COLLECTION></DATA></BODY></ENVELOPE>'
+    rows = [(str(i), "ledgers", "1", f"{i}", bytearray(text.encode())) for i in range(5)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    responses = spark.createDataFrame(rows, "company_id string, section string, fetched_at string, path string, content binary")
+    counted_responses = responses.mapInArrow(counted, responses.schema)
+    store = LedgerStore(spark, str(tmp_path / "store"))
+    sync.refresh(store, counted_responses, 0, AT)
+    assert read.value == 5 and store.read("ledgers").count() == 5
+    sync.refresh(store, responses, 0, AT)  # the same batch again is known by its digest
+    assert store.read("ledgers").count() == 5
+
+
 def test_cleaning_in_one_pass_and_reports_by_their_tags(spark):
     # References in one another or parted by what is dropped; reports in any case and without their closing tag.
     texts = [
