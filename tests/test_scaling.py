@@ -87,3 +87,16 @@ def test_cleaning_in_one_pass_and_reports_by_their_tags(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     assert R.clean_responses(rows).collect() == rows.select("i", R.clean_text("text").alias("text")).collect()
     assert R.check_responses(rows).collect() == rows.select("*", R.response_error("text").alias("error")).collect()
+
+
+def test_texts_are_staged_in_small_row_groups(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sync, "TEXT_GROUP", 1 << 20)
+    digests = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.sha2((F.col("id") * 1000 + i).cast("string"), 256))
+    rows = spark.range(0, 400, numPartitions=1).select(
+        F.lit("1").alias("company_id"), F.lit("groups").alias("section"), F.lit("1").alias("fetched_at"), F.col("id").cast("string").alias("path"),
+        F.encode(F.concat(F.lit("<ENVELOPE><!--"), F.array_join(digests, ""), F.lit("--></ENVELOPE>")), "UTF-8").alias("content"),
+    )
+    staged = sync.Staged(LedgerStore(spark, str(tmp_path / "store")), rows, 0, [])
+    files = [os.path.join(d, f) for d, _, names in os.walk(f"{staged.folder}/texts") for f in names if f.endswith(".parquet")]
+    groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert sum(groups) == 400 and max(groups) < 200
