@@ -100,3 +100,15 @@ def test_texts_are_staged_in_small_row_groups(spark, tmp_path, monkeypatch):
     files = [os.path.join(d, f) for d, _, names in os.walk(f"{staged.folder}/texts") for f in names if f.endswith(".parquet")]
     groups = [pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
     assert sum(groups) == 400 and max(groups) < 200
+
+
+def test_landed_files_hold_many_rows(spark, tmp_path):
+    rows = spark.range(3000).select(
+        F.lit("1").alias("company_id"), F.concat(F.lit("L"), "id").alias("name"), F.lit("Sundry Debtors").alias("group_name"),
+        F.lit(1).alias("closing_balance"), F.col("id").alias("master_id"), F.lit("s").alias("state"), F.lit("c").alias("country"), F.lit("g").alias("guid"),
+    )
+    folder = str(tmp_path / "landing")
+    changes.land(SimpleNamespace(spark=spark), E.ledgers(SimpleNamespace(ledgers=rows), E.FILE_ROWS), "ledgers", "1", folder)
+    assert len([f for _, _, names in os.walk(folder) for f in names if f.endswith(".txt")]) == 1
+    found = read_section(R.prepare(R.read_landing(spark, folder)), D.LEDGERS)
+    assert {r["name"] for r in found.collect()} == {f"L{i}" for i in range(3000)}
