@@ -11,7 +11,8 @@ rules for an element, a class, an id or a compound of these count (what stands i
 shows its summary; an `input` shows its value only where a browser writes it out.
 
 Cells are placed on a grid: a cell that spans columns covers them, one that spans rows keeps its columns free below. Spans end
-with the table; where row spans would blow a grid up far beyond its cells, they are taken as one row.
+with the table. Columns in which no cell begins are left out of the text, and so are the empty columns before a row of which
+no cell shares its column with another; so spans of whatever size need no place of their own.
 
 Defined cases: a null page gives null, an empty one or one without visible text the empty text; broken markup never
 fails; equal rows give equal texts.
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -265,33 +268,35 @@ class Cell:
     rows: int = 1
 
 
-#: A grid may have so many places per cell, and these besides, for row spans to count.
-AREA = (50, 10_000)
-
-
 def grid(rows: list[list[Cell]]) -> list[list[tuple[int, int, Cell]]]:
-    """Per row its cells with first column and columns covered."""
-    limit = AREA[0] * sum(map(len, rows)) + AREA[1]
-    for spans in (True, False):
-        placed, taken, last = [], {}, 0  # taken: columns covered from above, and up to which row
-        for y, row in enumerate(rows):
-            if spans and len(rows) * (last + 1) > limit:
-                break
-            out, x = [], 0
-            for cell in row:
-                while taken.get(x, 0) > y:
-                    x += 1
-                width = 1
-                while width < cell.columns and taken.get(x + width, 0) <= y:
-                    width += 1
-                out.append((x, width, cell))
-                last = max(last, x)
-                if spans and cell.rows > 1:
-                    taken |= dict.fromkeys(range(x, x + width), min(len(rows), y + cell.rows))
-                x += width
-            placed.append(out)
-        else:
-            break
+    """Per row its cells with first column and columns covered.
+
+    Columns covered from above are kept as stretches that end with the same row, so a wide cell is one step.
+    """
+    placed, last = [], 0
+    held: list[tuple[int, int, int]] = []  # first column, column past the last, row past the last; in order, disjoint
+    for y, row in enumerate(rows):
+        held = [h for h in held if h[2] > y]
+        out, new, x, i = [], [], 0, 0
+        for cell in row:
+            while i < len(held) and held[i][0] <= x:
+                x = held[i][1]
+                i += 1
+            width = min(cell.columns, held[i][0] - x) if i < len(held) else cell.columns
+            out.append((x, width, cell))
+            last = max(last, x)
+            if cell.rows > 1:
+                new.append((x, x + width, min(len(rows), y + cell.rows)))
+            x += width
+        if new:
+            joined: list[tuple[int, int, int]] = []
+            for h in sorted(held + new):
+                if joined and joined[-1][1] == h[0] and joined[-1][2] == h[2]:
+                    joined[-1] = (joined[-1][0], *h[1:])
+                else:
+                    joined.append(h)
+            held = joined
+        placed.append(out)
     # What a cell spans beyond the last column in which any begins is of no use.
     return [[(x, min(width, last - x + 1), cell) for x, width, cell in row] for row in placed]
 
@@ -299,7 +304,12 @@ def grid(rows: list[list[Cell]]) -> list[list[tuple[int, int, Cell]]]:
 def _table(rows: list[list[Cell]]) -> list[str]:
     """Rows of cells in aligned columns; a cell of several lines takes as many."""
     placed = grid(rows)
-    count = max((x + width for row in placed for x, width, _ in row), default=0)
+    # Columns in which no cell begins are left out.
+    begun = sorted({x for row in placed for x, _, _ in row})
+    at = {x: i for i, x in enumerate(begun)}
+    placed = [[(at[x], bisect_left(begun, x + width) - at[x], cell) for x, width, cell in row] for row in placed]
+    count = len(begun)
+    begins = Counter(x for row in placed for x, _, _ in row)
     lines = {id(cell): cell.text.split("\n") for row in placed for _, _, cell in row}
     longest = {key: max(map(len, value)) for key, value in lines.items()}
     widths = [0] * count
@@ -313,8 +323,10 @@ def _table(rows: list[list[Cell]]) -> list[str]:
             widths[x + width - 1] += missing
     out = []
     for row in placed:
+        # Where no cell of a row stands below or above another, there is nothing to align the row with.
+        aligned = any(begins[x] > 1 for x, _, _ in row)
         for k in range(max((len(lines[id(cell)]) for _, _, cell in row), default=0)):
-            parts, at = [], 0
+            parts, at = [], 0 if aligned or not row else row[0][0]
             for x, width, cell in row:
                 parts += [" " * w for w in widths[at:x]]
                 text = lines[id(cell)]

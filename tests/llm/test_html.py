@@ -120,3 +120,15 @@ def test_pages_as_a_table(spark):
     assert by_id[1] == "\n".join(["- item a list"] * 20_000)
     assert (by_id[2], by_id[3], by_id[None], by_id[4]) == ("", None, "a", "a")
     assert sum(r.page_id == 1 and r.text == by_id[1] for r in found) == 2
+
+
+def test_row_spans_hold_in_tables_of_any_size():
+    for n in (50, 300, 1500):
+        rows = [[Cell("a", 1, 65_534), Cell("b", 700)], *[[Cell("c", 1, 65_534)] for _ in range(n)]]
+        assert [[(x, w) for x, w, _ in row] for row in html_rendering.grid(rows)] == [[(0, 1), (1, min(n, 700))], *[[(k, 1)] for k in range(1, n + 1)]]
+    page = "<table><tr><td rowspan=0>A<td colspan=900>h<td>z" + "<tr><td colspan=900>c<td>d" * 300 + "</table>"
+    assert render(page).split("\n") == ["A | h | z", *["  | c | d"] * 300]
+
+
+def test_columns_without_a_first_cell_take_no_place():
+    assert render("<table><tr><td colspan=900>a<td>b<tr><td colspan=900>cc<td>d</table>") == "a  | b\ncc | d"
