@@ -3,37 +3,37 @@
 The rules find e-mail addresses, IPv4 addresses, payment cards and phone numbers with a country code. Generators of high
 recall propose further, overlapping spans: of every run of digits and signs all windows of consecutive groups of digits
 whose number of digits a phone or card may have, and addresses with the signs written out. Boosted trees score each candidate by its format (digits, groups, separators,
-check digit, parts) and its context (characters beside it, words before it). They learn from at most SAMPLE documents:
+check digit, parts) and its context (characters beside it, words before it). They learn from all different texts:
 a candidate is positive where a rule agrees with it, a number also as the rule's number without its country code; windows
 that cut or cross a rule's number are negative. What the rule itself asks for (the plus sign, the at sign) is no
-feature, so that the same format and context without it can score as high. On a part of the sample kept from learning,
+feature, so that the same format and context without it can score as high. On the fourth of the texts kept from learning,
 the lowest threshold per kind is taken at which PRECISION of the candidates above it agree with a rule; a kind without
 such a threshold gets none. Spans above the threshold that meet no span of a rule are added, of numbers that overlap the
 one of the best score; those of the rules stay.
 
-Everything is computed row by row inside expressions over the text: no row is exploded or shuffled but the sample's.
-Matches never cross the runs of characters they may consist of, so each text is scanned once per kind of run, and the
+Candidates of the same features and label are one row with their number as its weight, so the trees see every candidate and
+learn from a table that hardly grows with the documents. For that only the runs of different texts are shuffled, not the
+texts; spans are then found row by row inside expressions over the text. Matches never cross the runs of characters they may consist of, so each text is scanned once per kind of run, and the
 patterns are applied to the short runs. Positions are code points, the end exclusive.
 
 Defined cases: a null text counts as empty and has no span; equal rows get equal spans; without both kinds of examples
-in the sample nothing is learned and only the rules' spans are returned. Other columns pass through untouched.
+nothing is learned and only the rules' spans are returned. Other columns pass through untouched.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from saldo.llm.components import written
+
 KINDS = ("email", "ip", "card", "phone")
-#: Documents learned from, at most.
-SAMPLE = 4000
-#: Candidates learned from per kind and label, at most.
-EXAMPLES = 2000
 TREES = 12
 DEPTH = 3
 PRECISION = 0.95
@@ -240,19 +240,23 @@ def candidates(keep=lambda c: c, choose=lambda found: found) -> Column:
     national: what stands before is a country code.
     """
 
-    def made(kind: str, start: Column, hit: Column, before: Column, after: Column) -> Column:
-        of_kind = F.lit(KINDS.index(kind))
-        shape = F.struct(of_kind.alias("kind"), hit.alias("hit"), before.alias("before"), after.alias("after"))
+    def made(c: Column) -> Column:
         return keep(
             F.struct(
-                start.cast("int").alias("start"),
-                of_kind.alias("kind"),
-                (start + F.length(hit)).cast("int").alias("end"),
-                before.rlike(r"\+[0-9]{1,3}[\x20().\-]*$").alias("national"),
-                let(shape, _features).alias("features"),
+                c.start.alias("start"),
+                c.kind.alias("kind"),
+                (c.start + F.length(c.hit)).cast("int").alias("end"),
+                c.before.rlike(r"\+[0-9]{1,3}[\x20().\-]*$").alias("national"),
+                let(c, _features).alias("features"),
             )
         )
 
+    def shape(kind: str, start: Column, hit: Column, before: Column, after: Column) -> Column:
+        return F.struct(
+            start.cast("int").alias("start"), F.lit(KINDS.index(kind)).alias("kind"),
+            hit.alias("hit"), before.alias("before"), after.alias("after"),
+        )
+
     def joined(groups: Column) -> Column:
         return F.array_join(F.transform(groups, lambda g: F.concat(g.before, g.hit)), "")
 
@@ -300,11 +304,11 @@ def candidates(keep=lambda c: c, choose=lambda found: found) -> Column:
             (m.start + F.length(m.hit) - F.length(F.ltrim(m.hit, F.lit("(")))).alias("start"),
             F.ltrim(m.hit, F.lit("(")).alias("hit"), F.concat(m.before, F.regexp_extract(m.hit, r"^\(?", 0)).alias("before"), m.after.alias("after"),
         )
-        one = lambda kind: lambda m: made(kind, m.start, m.hit, m.before, m.after)
+        one = lambda kind: lambda m: shape(kind, m.start, m.hit, m.before, m.after)
         parts = F.coalesce(matches(run.hit, r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"), F.array())
         ips = F.transform(
             parts,
-            lambda m: made(
+            lambda m: shape(
                 "ip",
                 run.start + m.start,
                 m.hit,
@@ -317,12 +321,17 @@ def candidates(keep=lambda c: c, choose=lambda found: found) -> Column:
             found,
             lambda w: F.concat(F.transform(phones(w), one("phone")), F.transform(F.transform(cards(w), bare), one("card"))),
         )
-        return choose(F.concat(F.when(enough, numbers).otherwise(F.array()), ips))
+        return F.concat(F.when(enough, numbers).otherwise(F.array()), ips)
 
-    return F.concat(
-        F.flatten(F.transform("_numbers", of_numbers)),
-        F.flatten(F.transform("_written", lambda run: choose(F.array(made("email", run.start, run.hit, run.before, run.after))))),
-    )
+    def of_run(run: Column) -> Column:
+        address = F.array(shape("email", run.start, run.hit, run.before, run.after))
+        return choose(F.transform(F.when(run.address, address).otherwise(of_numbers(run)), made))
+
+    # Features stand in the plan once: numbers and addresses take the same way.
+    marked = lambda runs, address: F.transform(
+        runs, lambda r: F.struct(r.start.alias("start"), r.hit.alias("hit"), r.before.alias("before"), r.after.alias("after"), F.lit(address).alias("address"))
+    )
+    return F.flatten(F.transform(F.concat(marked("_numbers", False), marked("_written", True)), of_run))
 
 
 def _meets(c: Column, spans: Column, kind: Column | None = None) -> Column:
@@ -369,45 +378,54 @@ def trees_as_sql(model) -> str:
     return " + ".join(parts)
 
 
+def examples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(held, kind, features, label, n): how many candidates of all different texts have these features and this label.
+
+    held: of texts that are kept from learning.
+    """
+    found = with_runs(docs.select(F.col(text).alias("text")).where("text RLIKE '[0-9@]'"), "text")
+    found = found.select(F.xxhash64("text").alias("digest"), *_PLACED).where("size(_mails) + size(_written) + size(_numbers) > 0")
+    found = with_base(found.dropDuplicates(["digest"]))
+    # A row per run, with the rules' spans that meet it.
+    own = lambda run: F.filter("_base", lambda s: (s.start < run.start + F.length(run.hit)) & (run.start < s.end))
+    none = F.filter("_numbers", lambda run: F.lit(False))
+    numbers = F.transform("_numbers", lambda run: F.struct(F.array(run).alias("_numbers"), none.alias("_written"), own(run).alias("_base")))
+    addresses = F.transform("_written", lambda run: F.struct(none.alias("_numbers"), F.array(run).alias("_written"), own(run).alias("_base")))
+    runs = found.select("digest", F.explode(F.concat(numbers, addresses)).alias("run")).select("digest", "run.*")
+    each = runs.select((F.col("digest") % 4 == 0).alias("held"), "_base", F.explode(candidates()).alias("c"))
+    label = _agrees(F.col("c"), F.col("_base")).cast("double").alias("label")
+    return each.select("held", "c.kind", "c.features", label).groupBy("held", "kind", "features", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """Learn from a bounded sample of the documents: those with the smallest digests of their texts."""
+    """Learn from the candidates of all documents, equal texts once."""
     nothing = Model("0D", (None,) * len(KINDS))
-    texts = docs.select(F.col(text).alias("text")).where("text RLIKE '[0-9@]'").withColumn("digest", F.xxhash64("text"))
-    last = texts.select("digest").distinct().orderBy("digest").limit(SAMPLE).agg(F.max("digest")).first()[0]
-    if last is None:
+    rows = written(examples(docs, text), "examples")
+    values = [F.col("features")[i].alias(x) for i, x in enumerate(FEATURES)]
+    learned = rows.where("NOT held").select(*values, "label", F.col("n").cast("double").alias("n"))
+    seen = learned.agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    if seen["least"] == seen["most"]:
         return nothing
-    texts = texts.where(F.col("digest") <= last).dropDuplicates(["digest"])
-    found = with_base(with_runs(texts, "text")).select("digest", "_base", F.explode(candidates()).alias("c"))
-    found = found.select(
-        "digest", "c.kind", "c.features", _agrees(F.col("c"), F.col("_base")).cast("double").alias("label")
+    columns = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
+    # Splits are looked for in a sample of more rows than the square of the bins: with so many bins, in all rows.
+    trees = GBTClassifier(
+        maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label", featuresCol="vector", weightCol="n", maxBins=max(32, isqrt(seen["n"]) + 1)
     )
-    order = Window.partitionBy("kind", "label", F.col("digest") % 4 == 0).orderBy("digest", F.xxhash64("features"))
-    found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= EXAMPLES)
-    # At most EXAMPLES rows per kind, label and part.
-    rows = found.select("digest", "kind", "label", *[F.col("features")[i].alias(x) for i, x in enumerate(FEATURES[1:], 1)])
-    rows = rows.withColumn("first", F.col("kind").cast("double")).coalesce(2).cache()
-    learned = rows.where("digest % 4 <> 0")
-    if learned.select("label").distinct().count() < 2:
-        rows.unpersist()
-        return nothing
-    columns = VectorAssembler(inputCols=["first", *FEATURES[1:]], outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, labelCol="label", featuresCol="features")
-    score = trees_as_sql(trees.fit(columns.transform(learned)))
+    score = trees_as_sql(trees.fit(columns.transform(learned).select("vector", "label", "n")))
     # Thresholds from the part that was not learned from: the lowest that keeps the precision down to it.
-    seen = rows.where("digest % 4 = 0").withColumn("f", F.array("first", *FEATURES[1:])).selectExpr("kind", "label", f"{score} AS score")
-    by_score = seen.groupBy("kind", "score").agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n"))
+    held = rows.where("held").select("kind", "label", "n", _scored(score, F.col("features")).alias("score"))
+    by_score = held.groupBy("kind", "score").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("n"))
     above = Window.partitionBy("kind").orderBy(F.desc("score"))
     kept = by_score.select("kind", "score", (F.sum("right").over(above) / (F.sum("n").over(above) + 1)).alias("precision"))
     least = {x["kind"]: x["least"] for x in kept.where(F.col("precision") >= PRECISION).groupBy("kind").agg(F.min("score").alias("least")).collect()}
-    rows.unpersist()
     return Model(score, tuple(least.get(i) for i in range(len(KINDS))))
 
 
-def _scored(score: str, f: Column) -> Column:
-    """The score, SQL as trees_as_sql writes it, over an array of features."""
+def _trees(score: str) -> list[tuple[float, tuple | float]]:
+    """Weight and root of each tree of a score, SQL as trees_as_sql writes it; an inner node is (feature, limit, yes, no)."""
     at = 0
 
-    def value() -> Column:
+    def value() -> tuple | float:
         nonlocal at
         if test := _TEST.match(score, at):
             at = test.end()
@@ -415,18 +433,54 @@ def _scored(score: str, f: Column) -> Column:
             at += len(", ")
             no = value()
             at += len(")")
-            return F.when(f[int(test[1])] <= float(test[2]), yes).otherwise(no)
+            return int(test[1]), float(test[2]), yes, no
         number = _NUMBER.match(score, at)
         at = number.end()
-        return F.lit(float(number[1]))
+        return float(number[1])
 
-    total = F.lit(0.0)
+    found = []
     while at < len(score):
         weight = value()
         at += len(" * ")
-        total = total + weight * value()
+        found.append((weight, value()))
         at += len(" + ")
-    return total
+    return found
+
+
+def _scored(score: str, f: Column) -> Column:
+    """The score over an array of features.
+
+    The trees are arrays of numbers, filled up to the same depth, and not part of the plan: each node of the plan costs the
+    driver time and memory.
+    """
+    trees = _trees(score)
+
+    def depth(node) -> int:
+        return 1 + max(map(depth, node[2:])) if isinstance(node, tuple) else 0
+
+    levels = max((depth(root) for _, root in trees), default=0)
+    inner = 2**levels - 1
+    features, limits, leaves = [], [], []
+    for weight, root in trees:
+        nodes = [root]
+        for i in range(inner):
+            # A leaf above the last level stands for both its sides.
+            feature, limit, yes, no = nodes[i] if isinstance(nodes[i], tuple) else (0, 0.0, nodes[i], nodes[i])
+            features.append(feature)
+            limits.append(limit)
+            nodes += [yes, no]
+        leaves += [weight * x for x in nodes[inner:]]
+    numbers = lambda values, kind: F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+    features, limits, leaves = numbers(features, "int"), numbers(limits, "double"), numbers(leaves, "double")
+
+    def leaf(tree: Column) -> Column:
+        down = lambda i, _: 2 * i + F.when(F.get(f, F.get(features, tree * inner + i)) <= F.get(limits, tree * inner + i), 1).otherwise(2)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.lit(0), down) - inner if levels else F.lit(0)
+
+    if not trees:
+        return F.lit(0.0)
+    every = F.sequence(F.lit(0), F.lit(len(trees) - 1))
+    return F.aggregate(every, F.lit(0.0), lambda total, tree: total + F.get(leaves, tree * (inner + 1) + leaf(tree)))
 
 
 def _best(found: Column) -> Column:
