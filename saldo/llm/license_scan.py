@@ -33,6 +33,10 @@ from pyspark.sql import functions as F
 
 from saldo.llm.license_texts import TEXTS
 
+#: The wording of each template, and the license that it states.
+_NAMED = TEXTS | {"MIT-permission": TEXTS["MIT-grant"]}  # an earlier name
+TEMPLATES = {name: wording for name, (_, wording) in _NAMED.items()}
+NAMES = {name: license_name for name, (license_name, _) in _NAMED.items()}
 #: What a block must hold to be compressed at all.
 CANDIDATE = (
     r"(?i)licen[cs]|copyright|spdx|redistribut|permission\s+(?:is|to)\s|creative\s+commons|all\s+rights\s+reserved|public\s+domain"
