@@ -25,10 +25,10 @@ import contextlib
 import ctypes
 import gc
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ from saldo.session import new_folder
 
 CAPACITY = 1024
 END = 2
-#: Different runs whose ids a worker keeps in each of two generations.
-MEMO = 80_000
+#: Different runs whose ids a worker keeps, about; some 50 MB.
+MEMO = 1_000_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -64,39 +64,76 @@ _SECOND[[0x97, 0xB7]] = False
 CHUNK = (1 << 20) - 2
 
 
-class _Memo(dict):
-    """Ids of runs as bytes; of two generations, the older is dropped when the newer is full."""
+class _Memo:
+    """Ids of runs in arrays, found by the hashes of the runs, as these differ within a chunk anyway.
+
+    When it is full, the runs that no second chunk has asked for are dropped, and all if that leaves too many.
+    """
 
     def __init__(self, tokenizer, most: int):
-        super().__init__()
-        self._model, self._most, self._older = tokenizer.model, most, {}
-        self._tokenize = self._model.tokenize
+        self._tokenize, self._most = tokenizer.model.tokenize, most
         # The vocabulary writes every byte as a printable character: itself, or one from 256 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self._signs = dict.fromkeys(plain) | {x: 256 + i for i, x in enumerate(x for x in range(256) if x not in plain)}
         self._signs = {x: x if y is None else y for x, y in self._signs.items()}
         self._space = chr(self._signs[0x20])
+        self.forget()
 
-    def __missing__(self, run: str) -> bytes:
+    def _coded(self, run: str) -> list[int]:
         """run: the bytes of a plain run as Latin-1 characters."""
-        found = self._older.get(run)
-        if found is None:
-            if run.isascii() and run != "\n":
-                signs = self._space + run[1:] if run[0] == " " else run
-            else:
-                signs = run.translate(self._signs)
-            found = array("I", [x.id for x in self._tokenize(signs)]).tobytes()
-        self[run] = found
-        return found
+        if run.isascii() and run != "\n":
+            signs = self._space + run[1:] if run[0] == " " else run
+        else:
+            signs = run.translate(self._signs)
+        return [x.id for x in self._tokenize(signs)]
 
     def forget(self) -> None:
-        self._older = {}
-        self.clear()
-
-    def tidy(self) -> None:
-        if len(self) > self._most:
-            self._older = dict(self)
-            self.clear()
+        self._hashes, self._numbers = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int32)  # by hash; of the entries
+        self._bounds, self.pool = np.zeros(1, dtype=np.int64), np.empty(0, dtype="<u4")  # of the ids of each entry
+        self._again = np.empty(0, dtype=bool)
+
+    def _tidy(self) -> None:
+        if len(self._numbers) <= self._most and len(self.pool) <= 8 * self._most:
+            return
+        kept = np.flatnonzero(self._again)
+        sizes = np.diff(self._bounds)[kept]
+        if 2 * len(kept) > self._most or sizes.sum() > 4 * self._most:
+            self.forget()
+            return
+        self.pool = self.pool[_stretches(self._bounds[kept], sizes)]
+        self._bounds = np.append(0, np.cumsum(sizes))
+        stays = self._again[self._numbers]
+        renumbered = np.cumsum(self._again, dtype=np.int32) - np.int32(1)
+        self._hashes, self._numbers = self._hashes[stays], renumbered[self._numbers[stays]]
+        self._again = np.zeros(len(kept), dtype=bool)
+
+    def __call__(self, hashes: np.ndarray, first: np.ndarray, ends: np.ndarray, text: str) -> tuple[np.ndarray, ...]:
+        """Where the ids of the runs text[first:end] begin in the pool, and how many they are; their hashes ascend and differ."""
+        self._tidy()
+        at = np.searchsorted(self._hashes, hashes)
+        known = at < len(self._hashes)
+        known[known] = self._hashes[at[known]] == hashes[known]
+        numbers = np.empty(len(hashes), dtype=np.int32)
+        numbers[known] = self._numbers[at[known]]
+        self._again[numbers[known]] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            coded = [self._coded(text[a:b]) for a, b in zip(first[new].tolist(), ends[new].tolist(), strict=True)]
+            sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+            pool = np.fromiter(chain.from_iterable(coded), dtype="<u4", count=int(sizes.sum()))
+            numbers[new] = np.arange(len(self._numbers), len(self._numbers) + len(new))
+            self._bounds = np.concatenate((self._bounds, len(self.pool) + np.cumsum(sizes)))
+            self.pool = np.concatenate((self.pool, pool))
+            self._again = np.concatenate((self._again, np.zeros(len(new), dtype=bool)))
+            self._hashes = np.insert(self._hashes, at[new], hashes[new])
+            self._numbers = np.insert(self._numbers, at[new], numbers[new])
+        return self._bounds[numbers], self._bounds[numbers + 1] - self._bounds[numbers]
+
+
+def _stretches(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches that begin at and have so many, one after the other."""
+    total = np.cumsum(sizes)
+    return np.repeat(begins - (total - sizes), sizes) + np.arange(int(total[-1]) if len(total) else 0)
 
 
 def plain_runs(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,27 +174,29 @@ class Ids:
 
     def _many(self, data: np.ndarray, begins: np.ndarray) -> Iterator[np.ndarray]:
         starts, plain = plain_runs(data, begins)
-        ends = np.append(starts[1:], len(data))
-        self._memo.tidy()
-        _, first, which = np.unique(hash_runs(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        # Runs of other texts may cut characters; what they are coded as is not used.
-        text = raw.decode("latin-1")
-        runs = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        coded = list(map(self._memo.__getitem__, runs))
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-        pool, places = np.frombuffer(b"".join(coded), dtype="<u4"), np.cumsum(sizes) - sizes
-        sizes = sizes[which]
-        total = np.cumsum(sizes)
-        ids = pool[np.repeat(places[which] - (total - sizes), sizes) + np.arange(total[-1])]
-        cuts = np.concatenate(([0], total))[np.searchsorted(starts, np.append(begins, len(data)))]
-        bounds = np.append(begins, len(data)).tolist()
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            yield ids[a:b] if plain[i] else self.whole(raw[bounds[i] : bounds[i + 1]].decode())
-
-    def forget(self) -> None:
-        """Gives the memory of remembered runs back; workers live on between tasks."""
-        self._memo.forget()
+        bounds, raw = np.append(begins, len(data)), data.tobytes()
+        if plain.any():
+            ends = np.append(starts[1:], len(data))
+            # Runs of other texts may cut characters.
+            coded = np.repeat(plain, np.diff(np.searchsorted(starts, bounds)))
+            starts, ends = starts[coded], ends[coded]
+            places, sizes = self._runs(data, starts, ends, raw.decode("latin-1"))
+            ids = self._memo.pool[_stretches(places, sizes)]
+            cuts = np.append(0, np.cumsum(sizes))[np.searchsorted(starts, bounds)].tolist()
+        bounds = bounds.tolist()
+        for i, whole in enumerate((~plain).tolist()):
+            yield self.whole(raw[bounds[i] : bounds[i + 1]].decode()) if whole else ids[cuts[i] : cuts[i + 1]]
+
+    def _runs(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each run begin in the memo's pool, and how many they are."""
+        found = pa.array(hash_runs(data, starts, ends)).dictionary_encode()
+        which, hashes = found.indices.to_numpy(), found.dictionary.to_numpy()
+        first = np.empty(len(hashes), dtype=np.int64)
+        first[which] = np.arange(len(which))  # any run of the same hash
+        order = np.argsort(hashes)
+        places, sizes = np.empty_like(first), np.empty_like(first)
+        places[order], sizes[order] = self._memo(hashes[order], starts[first[order]], ends[first[order]], text)
+        return places[which], sizes[which]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -179,7 +218,7 @@ class Ids:
 
 @lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
-    """One tokenizer per Python worker, kept between tasks."""
+    """One tokenizer per Python worker, kept with the runs it remembers between tasks, until a worker sweeps."""
     return Ids(path)
 
 
@@ -215,7 +254,6 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names
                 )
-        ids.forget()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 

@@ -1,5 +1,7 @@
 """Operators that work on single texts, against brute force."""
 
+import itertools
+import random
 import re
 import zlib
 
@@ -62,6 +64,27 @@ def test_ids_are_the_tokenizers(texts):
     assert [x.tolist() for x in ids(pa.array(texts, pa.string()))] == [ids.whole(x).tolist() for x in texts]
 
 
+def test_ids_with_a_full_memo(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 300)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("aeilnrst\u00e9", k=rng.randint(1, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, weights=range(400, 0, -1), k=30)) + rng.choice(["", ".\n42", " it's", "\n\n"]) for _ in range(300)]
+    for most in (20, 60, 300):
+        ids = packing.Ids(public_tokenizers.path(packing.VOCABULARY), most)
+        assert [x.tolist() for x in ids(pa.array(texts, pa.string()))] == [ids.whole(x).tolist() for x in texts]
+
+
+def test_runs_are_coded_once():
+    ids = packing.Ids(public_tokenizers.path(packing.VOCABULARY))
+    tokenize, calls = ids._memo._tokenize, []
+    ids._memo._tokenize = lambda run: calls.append(run) or tokenize(run)
+    words = ["".join(x) for x in itertools.product("abcdefghijklmnopqrst", repeat=4)] + ["".join(x) for x in itertools.product("uvwxyzABCDEFGHIJKLMN", repeat=4)]
+    texts = pa.array([" " + " ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)], pa.large_string())
+    first = [x.tolist() for x in ids(texts)]
+    assert [x.tolist() for x in ids(texts)] == first
+    assert len(calls) == len(set(calls)) == len(words)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_sweep_is_best_fit_decreasing(counts):
