@@ -118,7 +118,8 @@ def _candidates(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """Classes that may have links or copies: class, high, low, first_id, copies, n, tokens."""
     some = _candidates(docs).select(F.col("doc_id").alias("id"))
-    texts = docs.join(some, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # Candidates grow with the documents too, and so do the groups below: merge joins at every size.
+    texts = docs.join(some.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     made = texts.mapInArrow(_sets, "doc_id long, high long, low long, tokens array<long>").where("size(tokens) > 0")
     grouped = made.groupBy("high", "low").agg(
         F.min("doc_id").alias("first_id"),
@@ -182,7 +183,7 @@ def links_of_classes(sets: DataFrame) -> DataFrame:
         F.array(F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     )
     groups = written(groups.select("pivot", "class", "blocks", F.explode(at).alias("block")), "groups")
-    rows = groups.join(sets.select("class", "n", "tokens"), "class")
+    rows = groups.hint("merge").join(sets.select("class", "n", "tokens"), "class")
     links = written(rows.groupBy("pivot", "block").applyInPandas(_within, "a long, b long").distinct(), "links")
     # Groups of several blocks: what is still apart in different blocks is compared across them.
     parted = groups.where("blocks > 1").select("pivot", "class").distinct()
@@ -214,7 +215,7 @@ def links_across(placed: DataFrame, sets: DataFrame, block: int = BLOCK) -> Data
     rows = rows.withColumn("at", F.expr("cast(IF(out, at, at + outs) AS int)"))
     rows = rows.withColumn("with", F.explode(F.expr("sequence(0, IF(out, outs + ins, outs) - 1)")))
     rows = rows.select("pivot", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "class", "place")
-    rows = rows.join(sets.select("class", "n", "tokens"), "class")
+    rows = rows.hint("merge").join(sets.select("class", "n", "tokens"), "class")
     return rows.groupBy("pivot", "i", "j").applyInPandas(_across, "a long, b long").distinct()
 
 

@@ -116,6 +116,21 @@ def test_jaccard_join_in_small_blocks(odd, monkeypatch, classes, shingles):
     assert in_order(got) == in_order(x[:3] for x in links(odd.collect()))
 
 
+def test_jaccard_join_moves_texts_and_sets_alike_at_every_size(spark, monkeypatch):
+    plans, write = {}, jaccard_join.written
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written", seen)
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text), (2, text + " eleven"), (3, text), (4, "none of these")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.joined(docs).collect())) == [(1, 6, 1), (2, 7, 1), (3, 6, 1), (4, 1, 4)]
+    for name in ("classes", "links"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
+
+
 def test_first_of_each(odd):
     kept = jaccard_join.first_of_each(odd).collect()
     assert kept[0].asDict().keys() == odd.limit(1).collect()[0].asDict().keys()
