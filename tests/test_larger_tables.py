@@ -33,6 +33,68 @@ def responses_of(spark, *rows):
     return spark.createDataFrame([(*r[:-1], bytearray(r[-1].encode())) for r in rows], columns)
 
 
+def test_texts_are_packed_and_go_once_staged(spark, tmp_path, monkeypatch):
+    store, seen, codecs = LedgerStore(spark, str(tmp_path / "store")), [], set()
+    write, drop = store.write, sync.Staged.drop_texts
+
+    def dropped(staged):
+        for d, _, names in os.walk(staged.folder):
+            codecs.update(pq.ParquetFile(f"{d}/{f}").metadata.row_group(0).column(0).compression for f in names if f.endswith(".parquet"))
+        drop(staged)
+
+    def noted(table, rows, batch_id):
+        seen.append((table, os.path.exists(f"{store.root}/_staged/batch_id={batch_id}/texts"), spark.conf.get(CLEANUP)))
+        write(table, rows, batch_id)
+
+    monkeypatch.setattr(sync.Staged, "drop_texts", dropped)
+    monkeypatch.setattr(store, "write", noted)
+    before = spark.conf.get(CLEANUP, None)
+    sync.refresh(store, responses_of(spark, ("1", "ledgers", "1", "p", ledgers("A")), ("2", "odd", "1", "q", "<ENVELOPE/>")), 0, AT)
+    assert codecs == {"ZSTD"} and spark.conf.get(CLEANUP, None) == before
+    assert {t for t, _, _ in seen} >= {"documents", "ledgers"} and all(not texts and free == "true" for _, texts, free in seen)
+    assert [r["name"] for r in store.read("ledgers").collect()] == ["A"]
+    errors = {r["section"]: r["error"] for r in store.committed("documents").collect()}
+    assert errors == {"ledgers": None, "odd": "Unknown section"}
+
+
+def test_what_a_store_does_not_hold_is_not_joined(spark, tmp_path):
+    store = LedgerStore(spark, str(tmp_path / "store"))
+    store.write("change_markers", spark.createDataFrame([("1", "7")], "company_id string, alter_id string"), 0)
+    store.commit(0, AT)
+    standing = store.standing("change_markers")
+    assert "Join" not in standing._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["company_id"], r["alter_id"]) for r in standing.collect()] == [("1", "7")]
+    assert store.read("vouchers").schema["date"].dataType.simpleString() == "date" and store.read("vouchers").count() == 0
+    store.remove_companies(spark.createDataFrame([("1",)], "company_id string"), "9")
+    store.write("change_markers", spark.createDataFrame([("1", "8", "8")], "company_id string, alter_id string, fetched_at string"), 1)
+    store.commit(1, AT)
+    assert store.standing("change_markers").count() == 0  # a removal that there is still holds
+
+
+def test_shuffle_files_go_with_their_jobs_and_settings_come_back(spark, tmp_path):
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before, files = spark.conf.get(CLEANUP, None), shuffled()
+    inside, leave = threading.Event(), threading.Event()
+
+    def other():
+        with shuffles_freed(spark):
+            inside.set()
+            leave.wait(60)
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with shuffles_freed(spark):
+        spark.range(1000).repartition(5, "id").write.parquet(str(tmp_path / "x"))
+    assert spark.conf.get(CLEANUP) == "true"
+    leave.set()
+    thread.join()
+    assert spark.conf.get(CLEANUP, None) == before and not shuffled() - files
+
+
 def test_numbers_are_cut_out_once(spark):
     texts = [None, "", " ", "12\x85", "12 ", "1_0.5e1/x", " -1,200.50 Nos", "/5 x", "5d", "inf", "- 5", "1 2 3", "\t3 pcs.", "a1", "1 \n a", "1\xa0a b"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
