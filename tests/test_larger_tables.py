@@ -33,6 +33,28 @@ def responses_of(spark, *rows):
     return spark.createDataFrame([(*r[:-1], bytearray(r[-1].encode())) for r in rows], columns)
 
 
+def test_packed_landing_files_are_read_with_plain_ones(spark, tmp_path):
+    texts = {"a+b": ledgers("é 1", "2").encode("utf-16"), "c d": ledgers("3").encode()}
+    for company, content in texts.items():
+        folder = tmp_path / "landing" / f"company={company}" / "section=ledgers" / "fetched_at=1"
+        folder.mkdir(parents=True)
+        (folder / "x.gz").write_bytes(gzip.compress(content))
+        (folder / "y.txt").write_bytes(ledgers("plain").encode())
+    store = LedgerStore(spark, str(tmp_path / "store"))
+    # A packed file counts as one row, whatever the limit.
+    start_refresh(spark, str(tmp_path / "landing"), store, str(tmp_path / "checkpoint"), every=None, clock=lambda: AT).awaitTermination()
+    found = sorted((r["company_id"], r["name"]) for r in store.read("ledgers").collect())
+    assert found == [("a+b", "2"), ("a+b", "plain"), ("a+b", "é 1"), ("c d", "3"), ("c d", "plain")]
+
+
+def test_refreshed_lands_packed_files(spark, tmp_path):
+    docs = spark.createDataFrame([("1", 0, bytearray(ledgers("A").encode()))], "company_id string, chunk int, content binary")
+    docs = docs.withColumn("content_type", F.lit(None).cast("string"))
+    changes.land(SimpleNamespace(spark=spark), docs, "ledgers", "1", str(tmp_path / "landing"), "gzip")
+    files = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "landing") for f in names if f.startswith("part-")]
+    assert [gzip.open(f).read().decode().strip() for f in files] == [ledgers("A")]
+
+
 def test_texts_are_packed_and_go_once_staged(spark, tmp_path, monkeypatch):
     store, seen, codecs = LedgerStore(spark, str(tmp_path / "store")), [], set()
     write, drop = store.write, sync.Staged.drop_texts
