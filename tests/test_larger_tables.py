@@ -164,3 +164,20 @@ def test_items_are_written_before_they_are_gathered(spark):
     assert "lambda" not in docs._jdf.queryExecution().analyzed().toString()
 
 
+def test_both_stores_of_split_batches_are_filled_side_by_side(spark, tmp_path, monkeypatch):
+    both, batches = threading.Barrier(2, timeout=60), []
+    docs = spark.createDataFrame([(f"p{i}",) for i in range(6)], "path string")
+
+    def refresh(store, rows, batch, at):
+        if batch == 0:
+            both.wait()  # fails unless the other store is being filled too
+        batches.append((batch, sorted(r["path"] for r in rows.collect())))
+
+    monkeypatch.setattr(changes, "parted", lambda m: {})
+    monkeypatch.setattr(changes, "landing_rows", lambda m, sections, stamp: docs)
+    monkeypatch.setattr(changes.Y, "refresh", refresh)
+    row = spark.createDataFrame([("t", "1", "n", 1)], "table string, company_id string, name string, amount int")
+    monkeypatch.setattr(changes, "named", lambda store, name: row)
+    found = changes.split_batches(SimpleNamespace(spark=spark)).collect()
+    assert [(r["stores"], r["least"], r["most"]) for r in found] == [(2, len(changes.SPLIT), len(changes.SPLIT))]
+    assert sorted(p for _, paths in batches for p in paths) == sorted(f"p{i}" for i in range(6) for _ in range(2))
